@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, entities, features, history
+from ..operators import entities, features, history
+from ..session import materialize
 from .oracle import sql
 from .table_queries import US
 
@@ -13,12 +14,15 @@ BOUNDARY = 5.0
 
 
 def rounded(df, digits=6):
-    """Round doubles, so that sums taken in another order compare equal."""
-    return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Round doubles, so that sums taken in another order compare equal.
+
+    The tiny shift moves values off the rounding boundary (means of cents often lie on it).
+    """
+    return df.select([F.round(F.col(c) + 1e-9, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r6(*names, digits=6):
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+    return ", ".join(f"round({n} + 1e-9::DOUBLE, {digits}) AS {n}" for n in names)
 
 
 def accounts(s):
@@ -27,6 +31,11 @@ def accounts(s):
     return entities.build_accounts(s.real(), s.injected(), scope, customers)
 
 
+def stored_accounts(s):
+    """The account table, written once: the feature groups all start from it."""
+    return materialize(accounts(s), "accounts")
+
+
 ACCOUNTS = {
     "cust": "SELECT customer_id FROM emp_map UNION SELECT customer_id FROM profile_changes",
     "scope": "SELECT account_id FROM targets UNION SELECT account_id FROM scenario_accounts UNION SELECT from_account "
@@ -143,7 +152,7 @@ def customer_features(s):
 
 def matrix(s, rule_results=None):
     return features.feature_matrix(
-        accounts(s), s.ledger(), s.access_events(), s.profile_changes(), s.employee_map(), s.customers(),
+        stored_accounts(s), s.ledger(), s.access_events(), s.profile_changes(), s.employee_map(), s.customers(),
         rule_results, BOUNDARY,
     )
 
@@ -196,7 +205,7 @@ def employee_roster(s):
 
 def history_summary(s):
     return history.history_summary(
-        accounts(s), s.ledger(), s.access_events(), s.profile_changes(), s.employee_map(), s.customers()
+        stored_accounts(s), s.ledger(), s.access_events(), s.profile_changes(), s.employee_map(), s.customers()
     )
 
 
@@ -206,7 +215,7 @@ def reconciliation(s):
 
 def account_history(s):
     return history.account_history(
-        accounts(s), s.ledger(), s.access_events(), s.profile_changes(), s.customers(), s.employee_map(), s.employees()
+        stored_accounts(s), s.ledger(), s.access_events(), s.profile_changes(), s.customers(), s.employee_map(), s.employees()
     ).withColumn("ts", F.unix_micros("ts"))
 
 
