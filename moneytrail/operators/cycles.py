@@ -9,7 +9,7 @@ from ..session import materialize
 from .windows import MICROS_PER_HOUR, micros
 
 
-def trim_to_rings(edges: DataFrame, rounds: int = 3) -> DataFrame:
+def trim_to_rings(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Drop payments that cannot lie on a ring: both ends must pay and be paid."""
     for _ in range(rounds):
         payers = edges.select(F.col("from_account").alias("_a")).distinct()

@@ -424,7 +424,11 @@ def unique_results(results: DataFrame) -> DataFrame:
 
 
 def fired_rules(results: DataFrame) -> DataFrame:
-    """Per account: distinct fired rules in order, and the 0/1 rule score."""
-    return results.filter("triggered").groupBy("account_id").agg(
-        F.array_sort(F.collect_set("rule_id")).alias("fired_rules"), F.lit(1.0).alias("rule_score")
+    """Per account: distinct fired rules in registration order, and the 0/1 rule score."""
+    rank = F.lit(len(RULES))
+    for i, rule in enumerate(RULES):
+        rank = F.when(F.col("rule_id") == rule.rule_id, i).otherwise(rank)
+    found = results.filter("triggered").groupBy("account_id").agg(
+        F.array_sort(F.collect_set(F.struct(rank.alias("rank"), "rule_id"))).alias("r")
     )
+    return found.select("account_id", F.col("r.rule_id").alias("fired_rules"), F.lit(1.0).alias("rule_score"))

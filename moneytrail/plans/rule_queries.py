@@ -355,8 +355,9 @@ QUERIES = {
     "fired_rules": (
         fired_rules,
         _rules(
-            "SELECT account_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS fired_rules, 1.0::DOUBLE AS "
-            "rule_score FROM results GROUP BY 1"
+            "SELECT account_id, string_agg(rule_id, ';' ORDER BY CASE rule_id WHEN 'INSIDER.PRIVILEGE_CHANGE' THEN "
+            "0 WHEN 'AML.CIRCULAR_TRANSFER' THEN 1 ELSE 2 END) AS fired_rules, 1.0::DOUBLE AS rule_score FROM (SELECT "
+            "DISTINCT account_id, rule_id FROM results) GROUP BY 1"
         ),
     ),
     "fan_out_windows": (fan_out, sql("SELECT * FROM fout", "ledger", **FANS)),
