@@ -277,3 +277,54 @@ def random_walks(
         if step % 6 == 0:
             state = materialize(state, "walks")
     return state.select("start", "walk", "path")
+
+
+# Above this many accounts a model that keeps the whole vocabulary on the driver is no option.
+DRIVER_VOCABULARY = 2_000_000
+
+
+def embed_walks(
+    walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42, vocabulary_limit: int = DRIVER_VOCABULARY
+) -> DataFrame:
+    """(account_id, vector) from random walks.
+
+    Skip-gram training keeps one vector per account on the driver, so it is used up to
+    ``vocabulary_limit`` accounts; beyond, vectors come from a projection of co-occurrence counts.
+    """
+    accounts = walks.select("start").distinct().count()
+    if accounts > vocabulary_limit:
+        return project_cooccurrence(walks, dimensions, window, seed)
+    from pyspark.ml.feature import Word2Vec
+
+    model = Word2Vec(
+        vectorSize=dimensions, windowSize=window, minCount=1, seed=seed, inputCol="path", outputCol="unused",
+        maxSentenceLength=1000,
+    ).fit(walks.select("path"))
+    from pyspark.ml.functions import vector_to_array
+
+    return model.getVectors().select(F.col("word").alias("account_id"), vector_to_array("vector", "float32").alias("vector"))
+
+
+def project_cooccurrence(walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42) -> DataFrame:
+    """(account_id, vector): log co-occurrence counts within ``window`` steps, summed with hashed signs.
+
+    Walks are short, so the pairs of one walk are bounded by its length times the window.
+    """
+    spots = walks.select(F.posexplode("path").alias("i", "account_id"), "path")
+    near = F.slice("path", F.greatest(F.lit(1), F.col("i") + 1 - window), F.lit(2 * window + 1))
+    pairs = spots.select("account_id", F.explode(near).alias("other")).filter(F.col("account_id") != F.col("other"))
+    counts = pairs.groupBy("account_id", "other").agg(F.count(F.lit(1)).alias("n"))
+    slot = F.xxhash64(F.lit(seed), F.col("other"))
+    sign = F.when(F.pmod(F.shiftright(slot, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    parts = counts.groupBy("account_id", F.pmod(slot, F.lit(dimensions)).cast("int").alias("d")).agg(
+        F.sum(F.log1p("n") * sign).alias("x")
+    )
+    filled = parts.groupBy("account_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
+    values = F.transform(
+        F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0)).cast("float")
+    )
+    projected = filled.select("account_id", values.alias("vector"))
+    alone = walks.select(F.col("start").alias("account_id")).distinct().join(projected, "account_id", "left_anti")
+    return projected.unionByName(
+        alone.withColumn("vector", F.array_repeat(F.lit(0.0).cast("float"), dimensions))
+    )

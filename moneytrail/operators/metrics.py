@@ -38,18 +38,24 @@ def ranking_table(df: DataFrame, label: str, score: str, keys: Sequence[str] = (
     return _with_totals(through, totals, keys)
 
 
-# How a score row counts towards the measures.
-_BELOW = F.col("neg_through") - F.col("neg") + F.col("neg") / 2  # negatives a positive beats
-_ABOVE = F.col("P") - F.col("pos_through") + F.col("pos") / 2  # positives that beat a negative
-_TP = F.col("P") - F.col("pos_through") + F.col("pos")
-_FP = F.col("N") - F.col("neg_through") + F.col("neg")
+def _standing() -> dict[str, Column]:
+    """How a score row of the ranking table counts towards the measures."""
+    c = F.col
+    return {
+        # negatives below a positive, and positives above a negative; ties count half
+        "below": c("neg_through") - c("neg") + c("neg") / 2,
+        "above": c("P") - c("pos_through") + c("pos") / 2,
+        "tp": c("P") - c("pos_through") + c("pos"),
+        "fp": c("N") - c("neg_through") + c("neg"),
+    }
 
 
 def ranking_quality(ranked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC (ties count half) and average precision."""
+    at = _standing()
     return ranked.groupBy(*keys).agg(
-        (F.sum(F.col("pos") * _BELOW) / (F.max("P") * F.max("N"))).alias("roc_auc"),
-        F.sum(F.col("pos") / F.col("P") * _TP / (_TP + _FP)).alias("average_precision"),
+        (F.sum(F.col("pos") * at["below"]) / (F.max("P") * F.max("N"))).alias("roc_auc"),
+        F.sum(F.col("pos") / F.col("P") * at["tp"] / (at["tp"] + at["fp"])).alias("average_precision"),
     )
 
 
@@ -86,12 +92,12 @@ def jackknife(df: DataFrame, label: str, score: str, cut: float = 0.5, keys: Seq
     No row is compared with all the others.  Leaving a row out changes the AUC by the pairs it won,
     which its rank tells; the other measures change by which of four outcomes the row had.
     """
-    keys = list(keys)
+    keys, at = list(keys), _standing()
     ranked = ranking_table(df, label, score, keys)
-    wins = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * _BELOW).alias("U"))
+    wins = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * at["below"]).alias("U"))
     each = _with_totals(ranked, wins, keys)
-    without_pos = (F.col("U") - _BELOW) / ((F.col("P") - 1) * F.col("N"))
-    without_neg = (F.col("U") - _ABOVE) / (F.col("P") * (F.col("N") - 1))
+    without_pos = (F.col("U") - at["below"]) / ((F.col("P") - 1) * F.col("N"))
+    without_neg = (F.col("U") - at["above"]) / (F.col("P") * (F.col("N") - 1))
     auc = each.select(
         *keys,
         F.explode(

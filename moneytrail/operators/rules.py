@@ -20,15 +20,24 @@ from .clean import keep_first
 from .history import last_record
 from .skew import HOT_ROWS, positions
 
-RESULT_SCHEMA = T.StructType.fromDDL(
-    "rule_id string, rule_name string, detection_category string, triggered boolean, entity_type string, "
-    "entity_id string, account_id string, employee_id string, customer_id string, result_key string, "
-    "record_count bigint, metrics map<string,string>, thresholds map<string,string>, explanation string, "
-    "window_start timestamp, window_end timestamp"
+_TYPES = {
+    "text": T.StringType(), "flag": T.BooleanType(), "count": T.LongType(), "time": T.TimestampType(),
+    "map": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+RESULT_SCHEMA = _schema(
+    rule_id="text", rule_name="text", detection_category="text", triggered="flag", entity_type="text", entity_id="text",
+    account_id="text", employee_id="text", customer_id="text", result_key="text", record_count="count", metrics="map",
+    thresholds="map", explanation="text", window_start="time", window_end="time",
 )
-EVIDENCE_SCHEMA = T.StructType.fromDDL(
-    "rule_id string, result_key string, source_dataset string, record_type string, record_id string, role string, "
-    "details map<string,string>"
+EVIDENCE_SCHEMA = _schema(
+    rule_id="text", result_key="text", source_dataset="text", record_type="text", record_id="text", role="text",
+    details="map",
 )
 
 

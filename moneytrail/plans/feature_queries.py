@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import entities, features, history
 from ..session import materialize
 from .oracle import sql
-from .table_queries import US
+from .table_queries import ts_us
 
 # The amounts of the event ledger are small, so the reporting boundary of the queries is too.
 BOUNDARY = 5.0
@@ -190,7 +190,7 @@ def linked_employees(s):
 
 def account_ledger(s):
     return entities.account_payments(s.ledger()).select(
-        "account_id", "transaction_id", US, "account_role", "is_synthetic"
+        "account_id", "transaction_id", ts_us(), "account_role", "is_synthetic"
     )
 
 
@@ -220,7 +220,7 @@ def account_history(s):
 
 
 def ledger_preview(s):
-    return history.ledger_preview(s.ledger()).select("account_id", "transaction_id", "account_role", "is_synthetic", US)
+    return history.ledger_preview(s.ledger()).select("account_id", "transaction_id", "account_role", "is_synthetic", ts_us())
 
 
 _LINKED = """SELECT a.account_id, m.employee_id, m.relationship_type, e.name, e.role FROM accounts a

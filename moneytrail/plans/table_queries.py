@@ -18,12 +18,14 @@ from ..session import scratch_path
 from ..sources import io
 from .oracle import sql
 
-US = F.unix_micros("ts").alias("ts_us")
+
+def ts_us():
+    return F.unix_micros("ts").alias("ts_us")
 
 
 def _ledger_rows(df):
     return df.select(
-        "transaction_id", US, "from_bank", "from_account", "to_bank", "to_account", "amount_paid",
+        "transaction_id", ts_us(), "from_bank", "from_account", "to_bank", "to_account", "amount_paid",
         "payment_currency", "payment_format", "is_laundering",
     )
 
@@ -88,12 +90,12 @@ def normalized_text(s):
 
 def usable_payments(s):
     df = clean.usable_payments(s.raw_ledger())
-    return df.select("transaction_id", US, "from_account", "to_account", "amount_paid", "payment_format")
+    return df.select("transaction_id", ts_us(), "from_account", "to_account", "amount_paid", "payment_format")
 
 
 def usable_transfers(s):
     df = clean.usable_payments(s.raw_ledger(), needs_amount=False)
-    return df.select("transaction_id", US, "from_account", "to_account")
+    return df.select("transaction_id", ts_us(), "from_account", "to_account")
 
 
 def parsed_timestamps(s):
@@ -110,7 +112,7 @@ def safe_numbers(s):
 
 def label_guard(s):
     kept = clean.assert_no_labels(clean.drop_labels(s.ledger().withColumn("source", F.lit("bank"))))
-    return kept.select("transaction_id", US, "from_account", "to_account", "amount_paid").withColumn(
+    return kept.select("transaction_id", ts_us(), "from_account", "to_account", "amount_paid").withColumn(
         "kept_columns", F.lit(len(kept.columns))
     )
 
