@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space when text is stripped.
-WHITESPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The three accepted timestamp layouts, tried in this order.
 TIMESTAMP_LAYOUTS = ("yyyy/M/d H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m")
@@ -17,8 +20,7 @@ TIMESTAMP_LAYOUTS = ("yyyy/M/d H:m", "yyyy-M-d H:m:s", "yyyy-M-d H:m")
 
 def clean_text(value: Column) -> Column:
     """Text without surrounding white space; null becomes the empty string."""
-    stripped = F.regexp_replace(value.cast("string"), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
-    return F.coalesce(stripped, F.lit(""))
+    return F.coalesce(F.btrim(value.cast("string"), F.lit(WHITESPACE)), F.lit(""))
 
 
 def parse_timestamp(value: Column) -> Column:

@@ -16,8 +16,13 @@ def explode_ids(df: DataFrame, column: str, name: str = "account_id", separators
 
 
 def distinct_ids(*columns: tuple[DataFrame, str], name: str = "account_id") -> DataFrame:
-    """Union of id columns (delimited lists allowed), each id once."""
-    parts = [explode_ids(df.select(c), c, "_id").select(F.col("_id").alias(name)) for df, c in columns]
+    """Union of id columns (delimited lists allowed), each id once.  Columns of one table share a scan."""
+    tables: dict[int, tuple[DataFrame, list[str]]] = {}
+    for df, column in columns:
+        tables.setdefault(id(df), (df, []))[1].append(column)
+    parts = [
+        df.select(F.explode(F.concat(*[split_ids(F.col(c)) for c in names])).alias(name)) for df, names in tables.values()
+    ]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

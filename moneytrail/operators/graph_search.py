@@ -179,8 +179,8 @@ def betweenness(simple: DataFrame, accounts: DataFrame, sources: int | None = No
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id that can be reached, ignoring direction.
 
-    Every vertex hooks onto the neighbour of smallest hash, linked vertices are contracted, and the
-    shrinking edge table goes into the next round.  A hub vanishes in the first round.
+    Every vertex hooks onto the smallest hash within two steps, hooked vertices are contracted, and
+    the shrinking edge table goes into the next round.  A hub vanishes in the first round.
     """
     left, right = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     open_edges = edges.filter(F.col("src") != F.col("dst")).select(left, right).distinct()
@@ -189,28 +189,22 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         open_edges = materialize(open_edges, "open")
         if open_edges.isEmpty():
             break
-
-        def tag(column):
-            return F.struct(F.xxhash64(F.lit(len(hooks)), F.col(column)).alias("h"), F.col(column).alias("v"))
-
+        src, dst = F.col("src"), F.col("dst")
+        pairs = [(src, dst), (dst, src), (src, src), (dst, dst)]
         ends = open_edges.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("src").alias("u"), tag("dst").alias("t")),
-                    F.struct(F.col("dst").alias("u"), tag("src").alias("t")),
-                    F.struct(F.col("src").alias("u"), tag("src").alias("t")),
-                    F.struct(F.col("dst").alias("u"), tag("dst").alias("t")),
-                )
-            ).alias("e")
-        ).select("e.u", "e.t")
-        hook = materialize(ends.groupBy("u").agg(F.min("t").alias("t")).select("u", F.col("t.v").alias("to")), "hooks")
+            F.explode(F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in pairs])).alias("e")
+        ).select("e.u", "e.v")
+        tag = F.struct(F.xxhash64(F.lit(len(hooks)), F.col("v")).alias("h"), F.col("v").alias("v"))
+        near = ends.groupBy("u").agg(F.min(tag).alias("t"))
+        far = ends.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("t").alias("t"))
+        hook = materialize(far.select("u", F.col("t.v").alias("to")), "hooks")
         hooks.append(hook)
         moved = (
             open_edges.join(hook.select(F.col("u").alias("src"), F.col("to").alias("p")), "src")
             .join(hook.select(F.col("u").alias("dst"), F.col("to").alias("q")), "dst")
             .select(F.col("p").alias("src"), F.col("q").alias("dst"))
         )
-        open_edges = moved.filter(F.col("src") != F.col("dst")).select(left, right).distinct()
+        open_edges = moved.filter(src != dst).select(left, right).distinct()
 
     roots = None
     for hook in reversed(hooks):

@@ -204,12 +204,11 @@ def unique_relationships(s):
     )
 
 
-# The same white-space class for RE2, whose escapes match.
-_TRIM = f"'^[{WHITESPACE}]+|[{WHITESPACE}]+$'"
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
 
 
 def _text(value):
-    return f"coalesce(regexp_replace({value}, {_TRIM}, '', 'g'), '')"
+    return f"coalesce(trim({value}, {_BLANKS}), '')"
 
 
 _PARSED = "try_strptime(timestamp, ['%Y/%m/%d %H:%M', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M'])"

@@ -5,7 +5,7 @@ Each function reads only the columns it needs; nothing is cached here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +27,34 @@ def _cycle(number, *values):
     return picked
 
 
-@dataclass(frozen=True)
+def _once(method):
+    """Build the plan of a table once per instance; the plan is lazy, no data is kept."""
+
+    @wraps(method)
+    def wrapper(self, *args):
+        key = (method.__name__, *args)
+        if key not in self._plans:
+            self._plans[key] = method(self, *args)
+        return self._plans[key]
+
+    return wrapper
+
+
 class StarSchema:
-    spark: SparkSession
-    folder: str
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._plans = spark, folder, {}
 
+    @_once
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @_once
     def _events(self) -> DataFrame:
         return self.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumn(
             "ts", F.col("ts").cast("timestamp")
         )
 
+    @_once
     def ledger(self) -> DataFrame:
         e = self._events()
         return e.select(
@@ -65,12 +80,15 @@ class StarSchema:
             ).alias("scenario_id"),
         )
 
+    @_once
     def real(self) -> DataFrame:
         return self.ledger().filter(~F.col("is_synthetic")).drop("is_synthetic", "scenario_id")
 
+    @_once
     def injected(self) -> DataFrame:
         return self.ledger().filter("is_synthetic").drop("is_synthetic")
 
+    @_once
     def raw_ledger(self) -> DataFrame:
         """Text columns with blank ids, unparsable times and amounts, as an export might hold."""
         e = self._events()
@@ -88,6 +106,7 @@ class StarSchema:
             F.when(n % 23 == 0, "").otherwise(F.col("event_type")).alias("payment_format"),
         )
 
+    @_once
     def trade_ledger(self) -> DataFrame:
         """A larger ledger with day-grain times and many ties: line items paid by the ordering account."""
         lines = self.table("lineitem").select(
@@ -102,6 +121,7 @@ class StarSchema:
             F.col("l_extendedprice").alias("amount_paid"),
         )
 
+    @_once
     def access_events(self) -> DataFrame:
         e = self._events().filter(F.col("event_type").isin("signup", "error"))
         n, k = F.col("event_id"), F.col("k")
@@ -118,6 +138,7 @@ class StarSchema:
             F.date_trunc("hour", "ts").alias("ts"),
         )
 
+    @_once
     def profile_changes(self) -> DataFrame:
         e = self._events().filter(F.col("event_type") == "click")
         return e.select(
@@ -130,6 +151,7 @@ class StarSchema:
             F.date_trunc("hour", "ts").alias("ts"),
         )
 
+    @_once
     def customers(self) -> DataFrame:
         c = self.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
         n = self.table("nation").select("n_nationkey", "n_name")
@@ -144,6 +166,7 @@ class StarSchema:
             .alias("risk_rating"),
         )
 
+    @_once
     def employees(self) -> DataFrame:
         s = self.table("supplier").select("s_suppkey", "s_name", "s_nationkey")
         return s.select(
@@ -153,6 +176,7 @@ class StarSchema:
             _cycle(F.col("s_nationkey"), "Retail", "Risk").alias("department"),
         )
 
+    @_once
     def employee_map(self) -> DataFrame:
         o = self.table("orders").filter(F.col("o_orderkey") % 20 == 0)
         return o.select(
@@ -164,6 +188,7 @@ class StarSchema:
             .alias("relationship_type"),
         ).distinct()
 
+    @_once
     def scenarios(self) -> DataFrame:
         d = F.col("doc_id")
         first, second = (d * 10).cast("string"), (d * 10 + 10).cast("string")
