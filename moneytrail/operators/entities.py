@@ -50,7 +50,9 @@ def account_payments(ledger: DataFrame) -> DataFrame:
 def account_stats(real: DataFrame, injected: DataFrame) -> DataFrame:
     """Per account: rows by origin, first and last time, home bank and laundering rows.
 
-    Bank: the earliest payment sent, else received; real payments before injected ones.
+    Bank: the earliest payment sent, else received; real payments before injected ones; of several
+    payments at one time the lowest bank.  Time and bank are packed into one number, so that the
+    aggregate stays a hash aggregate: with rows or texts as buffers it would sort the ledger.
     """
     columns = ["transaction_id", "ts", "from_bank", "from_account", "to_bank", "to_account", "is_laundering"]
     ledger = real.select(*columns, F.lit(False).alias("is_synthetic")).unionByName(
@@ -61,9 +63,12 @@ def account_stats(real: DataFrame, injected: DataFrame) -> DataFrame:
     receives = F.col("account_role").isin("receiver", "self")
     real_row = ~F.col("is_synthetic")
 
+    digits = 10**10
+    time = F.unix_micros("ts").cast("decimal(20,0)") * F.lit(digits).cast("decimal(11,0)")
+
     def first_bank(side, bank, origin):
-        chosen = side & origin
-        return F.min_by(F.when(chosen, F.col(bank)), F.when(chosen, F.struct("ts", "transaction_id")))
+        earliest = F.min(F.when(side & origin, time + F.col(bank)))
+        return (earliest % F.lit(digits).cast("decimal(11,0)")).cast("int")
 
     return rows.groupBy("account_id").agg(
         F.coalesce(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_ids
 from .clean import assert_no_labels, drop_labels
 from .entities import explode_ids
 
@@ -164,10 +165,8 @@ def staff_features(employee_map: DataFrame, accounts: DataFrame) -> DataFrame:
 def country_codes(customers: DataFrame) -> DataFrame:
     """country, code: rank of the country among all countries, from 1.
 
-    The list of countries is short (a fixed set of names), so one ordered window is enough.
+    There are at most a few hundred countries, so ordering the distinct names takes one small task.
     """
-    from pyspark.sql import Window
-
     countries = customers.select("country").filter(F.col("country").isNotNull()).distinct()
     return countries.select("country", F.row_number().over(Window.orderBy("country")).cast("double").alias("code"))
 
@@ -238,8 +237,6 @@ def select_features(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def labeled_scenarios(scenarios: DataFrame) -> DataFrame:
     """Add the first account and a 0/1 label; any other scenario type is an error."""
-    from ..functions.text import split_ids
-
     kind = F.lower("scenario_type")
     label = (
         F.when(kind == "suspicious", 1)

@@ -285,17 +285,17 @@ def embed_walks(
     Skip-gram training keeps one vector per account on the driver, so it is used up to
     ``vocabulary_limit`` accounts; beyond, vectors come from a projection of co-occurrence counts.
     """
-    accounts = walks.select("start").distinct().count()
-    if accounts > vocabulary_limit:
-        return project_cooccurrence(walks, dimensions, window, seed)
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
+    size = walks.agg(F.count_distinct("start").alias("accounts"), F.count(F.lit(1)).alias("walks")).first()
+    if size.accounts > vocabulary_limit:
+        return project_cooccurrence(walks, dimensions, window, seed)
+    # Left alone, training would run in a single task.
     model = Word2Vec(
         vectorSize=dimensions, windowSize=window, minCount=1, seed=seed, inputCol="path", outputCol="unused",
-        maxSentenceLength=1000,
+        maxSentenceLength=1000, numPartitions=1 + size.walks // 50_000,
     ).fit(walks.select("path"))
-    from pyspark.ml.functions import vector_to_array
-
     return model.getVectors().select(F.col("word").alias("account_id"), vector_to_array("vector", "float32").alias("vector"))
 
 

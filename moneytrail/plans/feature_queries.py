@@ -41,10 +41,10 @@ ACCOUNTS = {
     "scope": "SELECT account_id FROM targets UNION SELECT account_id FROM scenario_accounts UNION SELECT from_account "
     "FROM injected UNION SELECT to_account FROM injected UNION SELECT customer_id FROM cust",
     "stats": """SELECT account_id,
-        coalesce(arg_min(from_bank, (ts, transaction_id)) FILTER (NOT is_synthetic AND account_role <> 'receiver'),
-            arg_min(to_bank, (ts, transaction_id)) FILTER (NOT is_synthetic AND account_role <> 'sender'),
-            arg_min(from_bank, (ts, transaction_id)) FILTER (is_synthetic AND account_role <> 'receiver'),
-            arg_min(to_bank, (ts, transaction_id)) FILTER (is_synthetic AND account_role <> 'sender')) AS bank_id,
+        coalesce(arg_min(from_bank, (ts, from_bank)) FILTER (NOT is_synthetic AND account_role <> 'receiver'),
+            arg_min(to_bank, (ts, to_bank)) FILTER (NOT is_synthetic AND account_role <> 'sender'),
+            arg_min(from_bank, (ts, from_bank)) FILTER (is_synthetic AND account_role <> 'receiver'),
+            arg_min(to_bank, (ts, to_bank)) FILTER (is_synthetic AND account_role <> 'sender')) AS bank_id,
         min(ts) AS first_seen, max(ts) AS last_seen, count(*) FILTER (NOT is_synthetic) AS real_txn_count,
         count(*) FILTER (is_synthetic) AS synthetic_txn_count, count(*) AS total_transaction_count,
         count(*) FILTER (NOT is_synthetic AND is_laundering = 1) AS background_real_laundering_count
