@@ -258,18 +258,19 @@ def evidence_header(
 
 
 def dossier_lines(cases: DataFrame, header: DataFrame, nodes: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
-    """A case and its evidence as JSON lines: (case_id, section, body), to be written as text.
+    """Cases and their evidence as JSON lines: (section, body), to be written as text.
 
-    One line per record instead of one document, so that no case has to fit in one row.
+    One line per record instead of one document per case.  Case and alert lines name their evidence
+    group; nodes, edges and events are exported once per group that a case refers to.
     """
-    picked = cases.join(header.select("account_id", "group_id"), "account_id")
+    known = cases.join(header.select("account_id", "group_id"), "account_id")
+    alerts = known.select("case_id", "account_id").join(header, "account_id")
+    wanted = known.select("group_id").distinct()
 
     def lines(df, section):
-        body = [c for c in df.columns if c not in ("case_id", "group_id")]
-        return df.select("case_id", F.lit(section).alias("section"), F.to_json(F.struct(*body)).alias("body"))
-
-    keys = picked.select("case_id", "group_id")
-    case_lines = lines(cases, "case")
-    signals = lines(cases.select("case_id", "account_id").join(header, "account_id"), "alert")
-    parts = [lines(keys.join(df, "group_id"), name) for name, df in (("node", nodes), ("edge", edges), ("event", events))]
-    return reduce(DataFrame.unionByName, [case_lines, signals, *parts])
+        return df.select(F.lit(section).alias("section"), F.to_json(F.struct(*df.columns)).alias("body"))
+
+    parts = [lines(known, "case"), lines(alerts, "alert")]
+    for section, df in (("node", nodes), ("edge", edges), ("event", events)):
+        parts.append(lines(df.join(wanted, "group_id", "left_semi"), section))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, graph_search, isolation, metrics, models
 from ..session import materialize, scratch_path
-from .feature_queries import FEATURE_RELATIONS, FEATURES, matrix, rounded
+from .feature_queries import ACCOUNT_RELATIONS, ACCOUNTS, FEATURE_RELATIONS, FEATURES, matrix, rounded
 from .graph_queries import account_nodes, sent
 from .oracle import sql
 from .quality_queries import _LONG, BASELINE_FEATURES
@@ -96,7 +96,7 @@ def validation_quality(s):
 
 def fixed_holdout(s):
     rows = training_rows(s, stored_matrix(s))
-    return models.fixed_holdout(rows, NAMES, ["S1", "S2"], maxIter=TREES)
+    return models.fixed_holdout(rows, NAMES, ["S0", "S1"], maxIter=TREES)
 
 
 def feature_set_comparison(s):
@@ -175,12 +175,17 @@ def embedding_clusters(s):
     return density.cluster_table(density.dbscan(points, [1.5]))
 
 
+def _every_account(columns):
+    """Checks that must hold for every account."""
+    return sql(f"SELECT account_id, {columns} FROM accounts", *ACCOUNT_RELATIONS, **ACCOUNTS)
+
+
 QUERIES = {
     "classifier_scores": (classifier_scores, None),
-    "tree_row_scores": (tree_row_scores, None),
+    "tree_row_scores": (tree_row_scores, _every_account("true AS same")),
     "feature_contributions": (contributions, None),
     "top_contributions": (top_contributions, None),
-    "contribution_sums": (contribution_sums, None),
+    "contribution_sums": (contribution_sums, _every_account("true AS adds_up")),
     "feature_importance": (feature_importance, None),
     "mean_absolute_deviation": (
         mean_absolute_deviation,
@@ -189,7 +194,7 @@ QUERIES = {
             *FEATURE_RELATIONS, **FEATURES,
         ),
     ),
-    "model_reload": (model_reload, None),
+    "model_reload": (model_reload, _every_account("true AS same, 10 AS features")),
     "group_validation": (group_validation, None),
     "validation_quality": (validation_quality, None),
     "fixed_holdout": (fixed_holdout, None),

@@ -127,10 +127,6 @@ class Evidence:
         ).distinct()
 
 
-def _ids(df):
-    return df.select(F.concat_ws("/", *df.columns).alias("id"))
-
-
 def scenario_completion(s):
     e = Evidence(s)
     return e.members.select("group_id", F.lit("account").alias("kind"), F.col("account_id").alias("id")).unionByName(
@@ -200,26 +196,22 @@ def end_to_end_risk(s):
 
 
 def case_dossiers(s):
-    """JSON lines of the eight most risky accounts' evidence, written and read back."""
+    """JSON lines of a case for every account, written and read back: lines per section."""
     e = Evidence(s)
-    table = risk_table(s)
     none = e.accounts.select("account_id", F.lit(False).alias("is_on_any_cycle"))
     factors = e.accounts.select("account_id", F.lit(None).cast("string").alias("contributing_factors"))
+    table = risk_table(s)
     header = materialize(evidence.evidence_header(table, e.groups, e.leads, e.transactions, none, factors), "header")
-    cases = risk.alert_queue(table, "Low").limit(8).select(F.concat(F.lit("CASE-"), "account_id").alias("case_id"), "account_id")
-    cases = materialize(cases, "cases")
-    nodes = materialize(
-        evidence.subgraph_nodes(e.members, e.transactions, e.staff, graph_queries.nodes(s, e.accounts)), "nodes"
-    )
+    cases = table.select(F.concat(F.lit("CASE-"), "account_id").alias("case_id"), "account_id")
+    nodes = evidence.subgraph_nodes(e.members, e.transactions, e.staff, graph_queries.nodes(s, e.accounts))
     edges = evidence.subgraph_edges(e.members, e.transactions, e.staff, graph_queries.edges(s))
     events = evidence.timeline(
         e.accounts, e.groups, e.leads, s.access_events(), s.profile_changes(), e.transactions, s.injected()
     )
-    lines = evidence.dossier_lines(cases, header, nodes, edges, events)
     path = scratch_path(s.spark, "dossiers")
-    lines.write.partitionBy("case_id", "section").text(path)
-    back = s.spark.read.text(path)
-    return back.groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("lines"))
+    evidence.dossier_lines(cases, header, nodes, edges, events).write.partitionBy("section").text(path)
+    back = s.spark.read.text(path).filter(F.get_json_object("value", "$.group_id").isNotNull())
+    return back.groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def streamed_splitting(s):
@@ -296,6 +288,37 @@ def _evidence(body, **extra):
     return sql(body, *GRAPH_RELATIONS, "injected", recursive=True, **EVIDENCE, **extra)
 
 
+_NODES = """SELECT group_id, CASE type WHEN 'Account' THEN 'ACCT_' || raw_id WHEN 'Customer' THEN 'CUST_' || raw_id ELSE
+            raw_id END AS id, type, coalesce(label, type || ' ' || raw_id) AS label, raw_id FROM (SELECT group_id, account_id AS
+            raw_id, 'Account' AS type FROM members UNION ALL SELECT group_id, employee_id, 'Employee' FROM staff UNION ALL
+            SELECT group_id, transaction_id, 'Transaction' FROM gtx UNION ALL SELECT group_id, account_id, 'Customer' FROM
+            members WHERE account_id IN (SELECT customer_id FROM customers)) LEFT JOIN nodes ON node_id = raw_id AND node_type =
+            type"""
+
+_EDGES = """SELECT a.group_id, source, target, edge_type, record_id, epoch_us(min(ts)) AS ts_us FROM typed t JOIN ids a ON
+            a.raw_id = t.source_id JOIN ids b ON b.group_id = a.group_id AND b.raw_id = t.target_id WHERE NOT (edge_type =
+            'SENT_TO' AND NOT is_synthetic AND source_id = target_id) GROUP BY ALL"""
+
+_TIMELINE = """SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ts, event_type, record_id, account_id) AS position
+            FROM (SELECT group_id, account_id, epoch_us(ts) AS ts, 'access_event' AS event_type, CASE WHEN x.employee_id =
+            l.employee_id THEN 'scenario_evidence' ELSE 'background_context' END AS category, event_id AS record_id, CASE WHEN
+            x.employee_id = l.employee_id THEN 'Access modification by ' || x.employee_id || ': ' || action || ' (' || old_value
+            || ' -> ' || new_value || ')' ELSE '[Background] Access event by ' || x.employee_id || ': ' || action END AS summary
+            FROM (SELECT DISTINCT account_id, event_id, employee_id, action, old_value, new_value, ts FROM targets) x JOIN groups
+            USING (account_id) JOIN lead l USING (account_id)
+            UNION ALL SELECT group_id, a.account_id, epoch_us(ts), 'profile_change', CASE WHEN changed_by_employee_id =
+            l.employee_id THEN 'scenario_evidence' ELSE 'background_context' END, change_id, CASE WHEN changed_by_employee_id =
+            l.employee_id THEN '' ELSE '[Background] ' END || 'Customer profile change by employee ' || changed_by_employee_id ||
+            ': ' || field_changed FROM profile_changes p JOIN accounts a ON a.linked_customer_id = p.customer_id JOIN groups g ON
+            g.account_id = a.account_id JOIN lead l ON l.account_id = a.account_id
+            UNION ALL SELECT group_id, NULL, epoch_us(ts), 'transaction', 'scenario_evidence', transaction_id, 'Scenario transaction ' || transaction_id || ': ' || from_account || ' -> ' || to_account || ' (' || format('{:,.2f}',
+            amount_paid) || ' ' || payment_currency || ' via ' || payment_format || ')' FROM gtx JOIN injected USING
+            (transaction_id))"""
+
+_LINES = f"""SELECT 'case' AS section, count(*) AS lines FROM accounts UNION ALL SELECT 'alert', count(*) FROM accounts
+    UNION ALL SELECT 'node', count(*) FROM ({_NODES}) UNION ALL SELECT 'edge', count(*) FROM ({_EDGES})
+    UNION ALL SELECT 'event', count(*) FROM ({_TIMELINE}) WHERE category = 'scenario_evidence'"""
+
 QUERIES = {
     "fused_risk": (
         fused_risk,
@@ -352,17 +375,14 @@ QUERIES = {
         current_cases,
         _risk(
             """SELECT case_id, c.account_id, 'ALT-' || c.account_id AS alert_id, coalesce(title, 'Investigation into Account '
-            || c.account_id || ' (' || coalesce(risk_tier, 'Unknown') || ' Risk)') AS title, 'Initial case created from
-            detection alert.' AS notes, coalesce(assigned, 'Unassigned') AS assigned_to, coalesce(priority, CASE WHEN risk_tier
+            || c.account_id || ' (' || coalesce(risk_tier, 'Unknown') || ' Risk)') AS title, 'Initial case created from detection alert.' AS notes, coalesce(assigned, 'Unassigned') AS assigned_to, coalesce(priority, CASE WHEN risk_tier
             = 'Critical' THEN 'CRITICAL' ELSE 'HIGH' END) AS priority, 'OPEN' AS status, coalesce(risk_tier, 'Unknown') AS
             risk_tier, coalesce(risk_score, 0) AS risk_score, created_at, updated_at FROM (SELECT 'CASE-' || lpad('' ||
             user_id, 4, '0') AS case_id, 'A' || user_id AS account_id, arg_min_null(CASE WHEN event_id % 4 = 0 THEN 'Case of ' ||
             event_id END, ts) FILTER (event_type = 'view') AS title, arg_min_null(CASE WHEN event_id % 3 = 0 THEN 'LOW' END, ts)
             FILTER (event_type = 'view') AS priority, arg_max('R' || (event_id % 7), ts) FILTER (event_type = 'click') AS
             assigned, epoch_us(min(ts)) AS created_at, epoch_us(max(ts)) AS updated_at FROM events WHERE event_type IN ('view',
-            'click') GROUP BY user_id) c LEFT JOIN risk r ON r.account_id = c.account_id""".replace(
-                "from\n            detection", "from detection"
-            )
+            'click') GROUP BY user_id) c LEFT JOIN risk r ON r.account_id = c.account_id""",
         ),
     ),
     "scenario_completion": (
@@ -374,46 +394,9 @@ QUERIES = {
     ),
     "lead_employees": (lead_employees, _evidence("SELECT * FROM lead")),
     "typed_edges": (typed_edges, _evidence("SELECT edge_type, source, target, record_id FROM typed")),
-    "subgraph_nodes": (
-        subgraph_nodes,
-        _evidence(
-            """SELECT group_id, CASE type WHEN 'Account' THEN 'ACCT_' || raw_id WHEN 'Customer' THEN 'CUST_' || raw_id ELSE
-            raw_id END AS id, type, coalesce(label, type || ' ' || raw_id) AS label, raw_id FROM (SELECT group_id, account_id AS
-            raw_id, 'Account' AS type FROM members UNION ALL SELECT group_id, employee_id, 'Employee' FROM staff UNION ALL
-            SELECT group_id, transaction_id, 'Transaction' FROM gtx UNION ALL SELECT group_id, account_id, 'Customer' FROM
-            members WHERE account_id IN (SELECT customer_id FROM customers)) LEFT JOIN nodes ON node_id = raw_id AND node_type =
-            type"""
-        ),
-    ),
-    "subgraph_edges": (
-        subgraph_edges,
-        _evidence(
-            """SELECT a.group_id, source, target, edge_type, record_id, epoch_us(min(ts)) AS ts_us FROM typed t JOIN ids a ON
-            a.raw_id = t.source_id JOIN ids b ON b.group_id = a.group_id AND b.raw_id = t.target_id WHERE NOT (edge_type =
-            'SENT_TO' AND NOT is_synthetic AND source_id = target_id) GROUP BY ALL"""
-        ),
-    ),
-    "evidence_timeline": (
-        evidence_timeline,
-        _evidence(
-            """SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ts, event_type, record_id, account_id) AS position
-            FROM (SELECT group_id, account_id, epoch_us(ts) AS ts, 'access_event' AS event_type, CASE WHEN x.employee_id =
-            l.employee_id THEN 'scenario_evidence' ELSE 'background_context' END AS category, event_id AS record_id, CASE WHEN
-            x.employee_id = l.employee_id THEN 'Access modification by ' || x.employee_id || ': ' || action || ' (' || old_value
-            || ' -> ' || new_value || ')' ELSE '[Background] Access event by ' || x.employee_id || ': ' || action END AS summary
-            FROM (SELECT DISTINCT account_id, event_id, employee_id, action, old_value, new_value, ts FROM targets) x JOIN groups
-            USING (account_id) JOIN lead l USING (account_id)
-            UNION ALL SELECT group_id, a.account_id, epoch_us(ts), 'profile_change', CASE WHEN changed_by_employee_id =
-            l.employee_id THEN 'scenario_evidence' ELSE 'background_context' END, change_id, CASE WHEN changed_by_employee_id =
-            l.employee_id THEN '' ELSE '[Background] ' END || 'Customer profile change by employee ' || changed_by_employee_id ||
-            ': ' || field_changed FROM profile_changes p JOIN accounts a ON a.linked_customer_id = p.customer_id JOIN groups g ON
-            g.account_id = a.account_id JOIN lead l ON l.account_id = a.account_id
-            UNION ALL SELECT group_id, NULL, epoch_us(ts), 'transaction', 'scenario_evidence', transaction_id, 'Scenario
-            transaction ' || transaction_id || ': ' || from_account || ' -> ' || to_account || ' (' || format('{:,.2f}',
-            amount_paid) || ' ' || payment_currency || ' via ' || payment_format || ')' FROM gtx JOIN injected USING
-            (transaction_id))""".replace("'Scenario\n            transaction '", "'Scenario transaction '")
-        ),
-    ),
+    "subgraph_nodes": (subgraph_nodes, _evidence(_NODES)),
+    "subgraph_edges": (subgraph_edges, _evidence(_EDGES)),
+    "evidence_timeline": (evidence_timeline, _evidence(_TIMELINE)),
     "alert_narratives": (
         alert_narratives,
         sql(
@@ -435,7 +418,7 @@ QUERIES = {
         ),
     ),
     "end_to_end_risk": (end_to_end_risk, None),
-    "case_dossiers": (case_dossiers, None),
+    "case_dossiers": (case_dossiers, _evidence(_LINES)),
     "streamed_splitting": (
         streamed_splitting,
         """SELECT 'A' || user_id AS from_account, epoch_us(w) AS start_us, count(*) AS outgoing, count(*) FILTER (value < 5.0)
