@@ -150,11 +150,6 @@ def eps_report(s):
     return rounded(density.eps_report(density.dbscan(vectors(s), EPS_GRID)))
 
 
-def clusters(s):
-    named = vectors(s).withColumn("id", F.concat(F.lit("A"), F.col("id").cast("string")))
-    return density.cluster_table(density.dbscan(named, [EPS]))
-
-
 def account_clusters(s):
     labels = density.dbscan(vectors(s), [EPS])
     return density.cluster_table(labels).withColumn("account_id", F.concat(F.lit("A"), F.col("account_id").cast("string")))

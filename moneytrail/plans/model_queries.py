@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, graph_search, isolation, metrics, models
+from ..operators import density, features, graph_search, isolation, metrics, models
+from ..operators.graph import undirected_edges
 from ..session import materialize, scratch_path
 from .feature_queries import ACCOUNT_RELATIONS, ACCOUNTS, FEATURE_RELATIONS, FEATURES, matrix, rounded
 from .graph_queries import account_nodes, sent
@@ -157,20 +158,12 @@ def model_results(s):
 
 
 def account_embeddings(s):
-    links = materialize(graph_embedding_links(s), "links")
+    links = materialize(undirected_edges(sent(s)), "links")
     walks = graph_search.random_walks(account_nodes(s), links, 5, 10)
     return graph_search.embed_walks(materialize(walks, "walks"), dimensions=16)
 
 
-def graph_embedding_links(s):
-    from ..operators.graph import undirected_edges
-
-    return undirected_edges(sent(s))
-
-
 def embedding_clusters(s):
-    from ..operators import density
-
     points = account_embeddings(s).select(F.col("account_id").alias("id"), "vector")
     return density.cluster_table(density.dbscan(points, [1.5]))
 

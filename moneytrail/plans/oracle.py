@@ -125,6 +125,6 @@ def sql(body: str, *needed: str, recursive: bool = False, **extra: str) -> str:
     for name in needed:
         add(name)
     parts = [f"{n} AS ({RELATIONS[n][1]})" for n in order]
-    parts += [f"{n} AS ({text})" if "(" not in n else f"{n} AS ({text})" for n, text in extra.items()]
+    parts += [f"{n} AS ({text})" for n, text in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ",\n".join(parts) + "\n" if parts else "") + body

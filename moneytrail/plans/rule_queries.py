@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any
 from ..operators import cycles, features, rule_config, rules, skew, windows
+from ..operators.entities import explode_ids
 from ..session import materialize
 from .feature_queries import ACCOUNT_RELATIONS, ACCOUNTS, BOUNDARY, stored_accounts
 from .oracle import sql
@@ -42,8 +42,8 @@ def splitting_windows(s):
 
 
 def splitting_members(s):
-    """Payments inside the splitting windows, for 6-hour windows of the day-grain trade ledger."""
-    ledger = s.trade_ledger()
+    """Payments inside the 7-day splitting windows of the day-grain trade ledger, written once for both uses."""
+    ledger = materialize(s.trade_ledger(), "trade")
     found = windows.splitting_windows(ledger, 24 * 7, 3, 10000.0)
     ordered = skew.positions(
         ledger.select("from_account", "transaction_id", "ts"), ["from_account"], [F.col("ts"), F.col("transaction_id")]
@@ -163,8 +163,6 @@ def pattern_recall(s):
     number = F.substring("scenario_id", 2, 20).cast("bigint")
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (number % 4 + 1).cast("int"))
     patterns = s.scenarios().select(F.col("scenario_id").alias("alert_id"), kind.alias("alert_type"))
-    from ..operators.entities import explode_ids
-
     members = explode_ids(s.scenarios(), "account_id", "_a").select(
         F.col("scenario_id").alias("alert_id"), F.col("_a").alias("account_id")
     )

@@ -11,7 +11,6 @@ from ..functions.text import (
     contains_any,
     parse_timestamp,
     safe_double,
-    split_ids,
 )
 from ..operators import clean, entities, features
 from ..session import scratch_path
