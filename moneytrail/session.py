@@ -75,12 +75,24 @@ def scratch_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_release_at_exit, spark)
     _written.append(path)
     return path
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release_scratch(spark)
+    except Exception:
+        pass  # the JVM is gone already; what is left falls under the folder's own retention
+
+
 def release_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables this process wrote, once the results built on them are stored."""
+    """Delete the scratch tables this process wrote, once the results built on them are stored.
+
+    Also done when the process ends.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     gone = 0
     while _written:

@@ -41,7 +41,28 @@ def test_standard_names():
     assert names == ["timestamp", "from_bank", "from_account", "to_bank", "to_account"]
 
 
-def test_scratch_needs_a_shared_folder(monkeypatch, spark):
+def test_scratch_tables(monkeypatch, spark):
+    import os
+
+    from moneytrail import session
+
+    monkeypatch.setattr(session, "_written", [])
+    stored = session.materialize(spark.range(3), "x")
+    assert stored.count() == 3
+    (path,) = session._written
+    assert path.startswith(session.scratch_dir(spark)) and os.path.isdir(path)
+    assert session.release_scratch(spark) == 1 and not os.path.exists(path)
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
     from moneytrail import session
 
-    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+    context = Fake(getCheckpointDir=lambda: Fake(isDefined=lambda: False))
+    cluster = Fake(
+        conf=Fake(get=lambda key, default: default),
+        sparkContext=Fake(master="spark://somewhere:7077", _jsc=Fake(sc=lambda: context)),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(cluster)
