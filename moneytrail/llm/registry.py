@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, sharding
+from . import chat, mixing, packing, quality, sharding
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op8_sharding": sharding.op8_sharding,
 }
