@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, sharding
+from . import chat, extraction, mixing, packing, quality, sharding
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
+    "op7_extraction": extraction.op7_extraction,
     "op8_sharding": sharding.op8_sharding,
 }
 SQL = {"op3_mixing": mixing.OP3_SQL, "op4_chat_formatting": chat.OP4_SQL}
