@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, extraction, mixing, packing, quality, sharding
+from . import chat, extraction, line_dedup, mixing, packing, quality, sharding
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
@@ -11,8 +11,13 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_extraction": extraction.op7_extraction,
     "op8_sharding": sharding.op8_sharding,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+}
+SQL = {
+    "op3_mixing": mixing.OP3_SQL,
+    "op4_chat_formatting": chat.OP4_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
-SQL = {"op3_mixing": mixing.OP3_SQL, "op4_chat_formatting": chat.OP4_SQL}
 
 
 def callables() -> dict:
