@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, extraction, line_dedup, mixing, packing, quality, sharding
+from . import chat, exact_dedup, extraction, line_dedup, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality": quality.op5_quality,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
