@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, extraction, line_dedup, mixing, packing, quality, sharding
+from . import chat, embedding_dedup, exact_dedup, extraction, line_dedup, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_extraction": extraction.op7_extraction,
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
