@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, exact_dedup, extraction, line_dedup, mixing, packing, quality, sharding
+from . import chat, embedding_dedup, exact_dedup, extraction, line_dedup, minhash, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_minhash": minhash.op2_minhash,
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_quality": quality.op5_quality,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_minhash": minhash.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import string
 import struct
 
 # At most this many words are kept with their ids in a worker; an emptied memory only costs time.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 400_000
 LONGEST_REMEMBERED = 48
 END_ID = 1
+# Latin letters up to U+00FF: composed already, and each lower-cased to one letter of this range.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """Byte-level vocabularies write bytes that are not printable in Latin-1 as code points from 256 on."""
+    hidden = [b for b in range(256) if not chr(b).isprintable() or b == 32]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class WordTokenizer:
@@ -16,8 +25,8 @@ class WordTokenizer:
 
     Only for tokenizers like ``word_bpe_49k`` that lower the case, drop white space and start a new
     word at it and between letters and punctuation.  The words between ASCII white space are encoded
-    once each and put together again.  A word of ASCII letters, with or without punctuation after it,
-    goes to the merge table directly; all others take the tokenizer's full way.
+    once each and put together again.  A word of Latin letters, with or without ASCII punctuation after
+    it, goes to the merge table directly; all others take the tokenizer's full way.
     """
 
     def __init__(self, definition: str):
@@ -25,6 +34,7 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_str(definition)
         self._merge = self._tokenizer.model.tokenize
+        self._visible = _visible_bytes()
         self._known: dict[str, bytes] = {"": b""}
         self._parts: dict[str, bytes] = {"": b""}
 
@@ -50,7 +60,7 @@ class WordTokenizer:
         known, once, odd = self._known, {}, []
         for word in words:
             core = word.rstrip(string.punctuation)
-            if len(word) <= LONGEST_REMEMBERED and core.isascii() and (core.isalpha() or not core):
+            if len(word) <= LONGEST_REMEMBERED and _LETTERS.fullmatch(core):
                 known[word] = self._part(core.lower()) + self._part(word[len(core) :])
             else:
                 odd.append(word)
@@ -63,7 +73,8 @@ class WordTokenizer:
     def _part(self, part: str) -> bytes:
         ids = self._parts.get(part)
         if ids is None:
-            ids = self._parts[part] = _bytes([token.id for token in self._merge(part)])
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self._visible)
+            ids = self._parts[part] = _bytes([token.id for token in self._merge(shown)])
         return ids
 
 
