@@ -31,7 +31,6 @@ def test_entry(spark):
 
 def test_registry_is_complete():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert not any("pipeline" in name for name in driver.queries())
 
 
 def test_standard_names():
