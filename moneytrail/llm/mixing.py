@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import key_of, prefix_sums, table, word_count
+from .common import WORD_PATTERN, key_of, prefix_sums, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -124,9 +124,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
             )
         ).alias("words"),
     )
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("words").cast("string"), F.lit("}"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD_PATTERN}"), F.lit(0))
     text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(
-        F.regexp_extract(F.col("row.text"), pattern, 0)
+        F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
     )
     fields = []
     for c in names:
