@@ -87,7 +87,7 @@ class ByteNetwork:
             for first in range(0, len(starts), per_piece):
                 mine = starts[first : first + per_piece]
                 base = mine[0]
-                piece = text[base : mine[-1] + CHUNK_BYTES] + pad
+                piece = (text[base : mine[-1] + CHUNK_BYTES] or b"\0") + pad
                 for start in mine:
                     bounds.append((size + start - base, size + max(start - base + 1, min(len(piece) - len(pad), start - base + CHUNK_BYTES))))
                     owners.append(i)
