@@ -61,7 +61,8 @@ def radix_groups(docs: DataFrame) -> DataFrame:
     shared = materialize(shared.withColumn("group", F.monotonically_increasing_id()), "radix-first")
 
     kind = "bytes bigint, head binary, doc_id bigint, chars bigint, text_sha256 string, rest binary"
-    split = rows.mapInArrow(_digits(True), kind).join(shared, ["bytes", "head"], "left").select(
+    # A merge join at every size: each row moves once, and a hot digit is split over several tasks.
+    split = rows.mapInArrow(_digits(True), kind).join(shared.hint("merge"), ["bytes", "head"], "left").select(
         "bytes", "doc_id", "chars", "text_sha256", "group", F.when(F.col("group").isNotNull(), F.col("rest")).alias("rest")
     )
     split = materialize(split.withColumn("row_id", F.monotonically_increasing_id()), "radix-rows")
