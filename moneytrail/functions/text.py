@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -44,7 +43,10 @@ def split_ids(value: Column, separators: str = ";") -> Column:
 def contains_any(parts: Sequence[Column], terms: Sequence[str]) -> Column:
     """Do the joined, lower-cased parts contain any term as a substring?"""
     text = F.concat_ws(" ", *[F.lower(clean_text(p)) for p in parts])
-    return F.rlike(text, F.lit("|".join(re.escape(term.strip().lower()) for term in terms)))
+    found = F.lit(False)
+    for term in terms:
+        found = found | F.contains(text, F.lit(term.strip().lower()))
+    return found
 
 
 def money(value: Column) -> Column:

@@ -68,7 +68,7 @@ def account_stats(real: DataFrame, injected: DataFrame) -> DataFrame:
 
     def first_bank(side, bank, origin):
         earliest = F.min(F.when(side & origin, time + F.col(bank)))
-        return (earliest % F.lit(digits).cast("decimal(11,0)")).cast("int")
+        return F.pmod(earliest, F.lit(digits).cast("decimal(11,0)")).cast("int")
 
     return rows.groupBy("account_id").agg(
         F.coalesce(

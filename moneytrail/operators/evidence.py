@@ -130,14 +130,16 @@ def timeline(
 ) -> DataFrame:
     """Events of every group in time order.
 
-    Access events and profile changes of the lead employee are scenario evidence; the others are
-    background context, left out unless asked for.
+    Access events and profile changes of the lead employee, and those with a scenario id, are scenario
+    evidence; the others are background context, left out unless asked for.
     """
     lead = leads.withColumnRenamed("employee_id", "lead")
     base = groups.join(lead, "account_id", "left")
 
     def tied(df, employee):
         mine = F.coalesce(F.col(employee) == F.col("lead"), F.lit(False))
+        if "scenario_id" in df.columns:
+            mine = mine | F.col("scenario_id").isNotNull()
         df = df.withColumn("tied", mine)
         return df if include_background else df.filter("tied")
 

@@ -14,31 +14,34 @@ from .entities import explode_ids
 # Feature names by group.
 FEATURE_GROUPS = {
     "activity": (
-        "real_txn_count synthetic_txn_count total_transaction_count has_linked_customer bank_id_encoded "
-        "account_age_days activity_span_days txn_density synthetic_fraction"
-    ).split(),
+        "real_txn_count", "synthetic_txn_count", "total_transaction_count", "has_linked_customer", "bank_id_encoded",
+        "account_age_days", "activity_span_days", "txn_density", "synthetic_fraction",
+    ),
     "amounts": (
-        "mean_amount std_amount max_amount min_amount wire_fraction ach_fraction cross_currency_fraction "
-        "cross_bank_ratio unique_counterparties_out unique_counterparties_in total_sent_amount "
-        "total_received_amount sub_threshold_fraction amount_cv counterparty_diversity max_amount_zscore"
-    ).split(),
+        "mean_amount", "std_amount", "max_amount", "min_amount", "wire_fraction", "ach_fraction",
+        "cross_currency_fraction", "cross_bank_ratio", "unique_counterparties_out", "unique_counterparties_in",
+        "total_sent_amount", "total_received_amount", "sub_threshold_fraction", "amount_cv",
+        "counterparty_diversity", "max_amount_zscore",
+    ),
     "access": (
-        "access_event_count modify_count revoke_count grant_count unique_employee_accessors access_event_rate"
-    ).split(),
+        "access_event_count", "modify_count", "revoke_count", "grant_count", "unique_employee_accessors",
+        "access_event_rate",
+    ),
     "profile": (
-        "profile_change_count high_risk_field_change_count limit_field_change_count "
-        "unique_profile_change_employees profile_change_rate"
-    ).split(),
-    "staff": "managing_employee_count has_approver has_account_manager".split(),
-    "customer": "risk_rating_encoded country_encoded".split(),
-    "rules": "privilege_change_triggered circular_transfer_triggered transaction_splitting_triggered".split(),
+        "profile_change_count", "high_risk_field_change_count", "limit_field_change_count",
+        "unique_profile_change_employees", "profile_change_rate",
+    ),
+    "staff": ("managing_employee_count", "has_approver", "has_account_manager"),
+    "customer": ("risk_rating_encoded", "country_encoded"),
+    "rules": ("privilege_change_triggered", "circular_transfer_triggered", "transaction_splitting_triggered"),
 }
 
 # The ten features of the supervised model.
 SIGNAL_FEATURES = (
-    "txn_density max_amount_zscore cross_currency_fraction unique_counterparties_out sub_threshold_fraction "
-    "profile_change_rate total_transaction_count mean_amount wire_fraction access_event_rate"
-).split()
+    "txn_density", "max_amount_zscore", "cross_currency_fraction", "unique_counterparties_out",
+    "sub_threshold_fraction", "profile_change_rate", "total_transaction_count", "mean_amount", "wire_fraction",
+    "access_event_rate",
+)
 
 # Profile fields that matter for risk.
 HIGH_RISK_FIELDS = ("spending_limit", "wire_transfer_limit", "risk_rating", "beneficial_owner", "account_type")

@@ -196,7 +196,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             F.explode(F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in pairs])).alias("e")
         ).select("e.u", "e.v")
         tag = F.struct(F.xxhash64(F.lit(len(hooks)), F.col("v")).alias("h"), F.col("v").alias("v"))
-        near = ends.groupBy("u").agg(F.min(tag).alias("t"))
+        # Stored, so that the join below reads two exchanges and a hub's rows can be split.
+        near = materialize(ends.groupBy("u").agg(F.min(tag).alias("t")), "near")
         far = ends.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("t").alias("t"))
         hook = materialize(far.select("u", F.col("t.v").alias("to")), "hooks")
         hooks.append(hook)
@@ -272,33 +273,7 @@ def random_walks(
     return state.select("start", "walk", "path")
 
 
-# Above this many accounts a model that keeps the whole vocabulary on the driver is no option.
-DRIVER_VOCABULARY = 2_000_000
-
-
-def embed_walks(
-    walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42, vocabulary_limit: int = DRIVER_VOCABULARY
-) -> DataFrame:
-    """(account_id, vector) from random walks.
-
-    Skip-gram training keeps one vector per account on the driver, so it is used up to
-    ``vocabulary_limit`` accounts; beyond, vectors come from a projection of co-occurrence counts.
-    """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    size = walks.agg(F.count_distinct("start").alias("accounts"), F.count(F.lit(1)).alias("walks")).first()
-    if size.accounts > vocabulary_limit:
-        return project_cooccurrence(walks, dimensions, window, seed)
-    # Left alone, training would run in a single task.
-    model = Word2Vec(
-        vectorSize=dimensions, windowSize=window, minCount=1, seed=seed, inputCol="path", outputCol="unused",
-        maxSentenceLength=1000, numPartitions=1 + size.walks // 50_000,
-    ).fit(walks.select("path"))
-    return model.getVectors().select(F.col("word").alias("account_id"), vector_to_array("vector", "float32").alias("vector"))
-
-
-def project_cooccurrence(walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42) -> DataFrame:
+def embed_walks(walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42) -> DataFrame:
     """(account_id, vector): log co-occurrence counts within ``window`` steps, summed with hashed signs.
 
     Walks are short, so the pairs of one walk are bounded by its length times the window.

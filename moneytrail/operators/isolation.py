@@ -21,14 +21,21 @@ def tree_samples(matrix: DataFrame, trees: int = 200, size: int = 256, seed: int
     """The ``size`` rows of smallest hash for every tree.
 
     A row is offered to a tree only if its hash is small enough to have a fair chance, so nearly all
-    rows are dropped before the shuffle; the rank limit does the rest.
+    rows are dropped before the shuffle; the rank limit does the rest.  Should a tree come up short,
+    more rows are offered.
     """
     rows = matrix.count()
     h = F.xxhash64(F.lit(seed), F.col("tree"), F.col("account_id"))
-    offered = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", h)
-    share = min(1.0, 8.0 * size / max(rows, 1))
-    if share < 1.0:
-        offered = offered.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
+    exploded = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", h)
+    share = 8.0 * size / max(rows, 1)
+    while share < 1.0:
+        offered = materialize(exploded.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64))), "offered")
+        counts = [r.n for r in offered.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()]
+        if len(counts) == trees and min(counts) >= size:
+            break
+        share *= 4
+    else:
+        offered = exploded
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "account_id"))
     return offered.withColumn("_r", rank).filter(F.col("_r") <= size).drop("_h", "_r")
 

@@ -164,9 +164,13 @@ def feature_baselines(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def ranked_anomalies(df: DataFrame, score: str, threshold: float | Column, keep: int | None = 15) -> DataFrame:
     """Rank by falling score (ties by account); ``keep=None`` keeps all."""
-    ranked = positions(df, [], [F.col(score).desc(), F.col("account_id")], "rank")
-    ranked = ranked.withColumn("above_threshold", F.col(score) >= threshold)
-    return ranked if keep is None else ranked.filter(F.col("rank") <= keep)
+    order = [F.col(score).desc(), F.col("account_id")]
+    if keep is not None:
+        df = df.orderBy(*order).limit(keep)  # a top-k: no more rows than asked for are ranked
+        ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    else:
+        ranked = positions(df, [], order, "rank")
+    return ranked.withColumn("above_threshold", F.col(score) >= threshold)
 
 
 def top_per_account(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -190,14 +190,16 @@ def current_cases(events: DataFrame, risk: DataFrame) -> DataFrame:
     """Latest state of each case from an append-only event table.
 
     ``events``: case_id, account_id, event (create or assign), title, notes, assigned_to, priority,
-    at.  Missing values get defaults; a null priority follows the tier of the account.
+    at, and event_id where events have one: it orders those of one instant.  Missing values get
+    defaults; a null priority follows the tier of the account.
     """
     made = F.col("event") == "create"
+    place = F.struct("at", "event_id") if "event_id" in events.columns else F.struct("at", "event", "assigned_to")
 
     def first(name):
-        return F.min_by(F.when(made, F.col(name)), F.when(made, F.col("at"))).alias(name)
+        return F.min_by(F.when(made, F.col(name)), F.when(made, place)).alias(name)
 
-    assigned = F.when(F.col("assigned_to").isNotNull(), F.col("at"))
+    assigned = F.when(F.col("assigned_to").isNotNull(), place)
     state = events.groupBy("case_id").agg(
         first("account_id"), first("title"), first("notes"), first("priority"),
         F.max_by(F.trim("assigned_to"), assigned).alias("assigned_to"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_text, contains_any, money, split_ids
 from ..session import materialize
 from . import cycles, rule_config, windows
-from .clean import keep_first
+from .clean import keep_first, merge_sources, usable_payments
 from .history import last_record
 from .skew import HOT_ROWS, positions
 
@@ -112,10 +112,13 @@ def _pair_keys(config):
 def paired_changes(events: DataFrame, changes: DataFrame, config: rule_config.PrivilegeConfig) -> DataFrame:
     """(event, target, change) of the same time, account and, if required, employee."""
     keys = _pair_keys(config)
-    right = changes.select(*[F.col(b).alias(a) for a, b in keys.items()], "change_id", "field_changed")
+    facts = [F.col(c) if c in changes.columns else F.lit(None).cast("string").alias(c) for c in ("old_value", "new_value")]
+    who = F.col("changed_by_employee_id").alias("_changed_by")
+    right = changes.select(*[F.col(b).alias(a) for a, b in keys.items()], "change_id", "field_changed", *facts, who)
     left = events.select("event_id", "target_number", *dict.fromkeys(["account_id", "ts", "employee_id"]))
     return left.join(right, list(keys)).select(
-        "event_id", "target_number", "account_id", "employee_id", "ts", "change_id", "field_changed"
+        "event_id", "target_number", "account_id", "employee_id", "ts", "change_id", "field_changed", "old_value", "new_value",
+        F.col("_changed_by").alias("changed_by_employee_id"),
     )
 
 
@@ -192,12 +195,42 @@ def privilege_change(context: Mapping[str, DataFrame], settings: Mapping) -> Rul
         record_id=F.col("change_id"),
         role="paired_profile_change",
         details=text_map(
-            customer_id=F.col("account_id"), field_changed=F.col("field_changed"), timestamp=F.col("ts")
+            customer_id=F.col("account_id"), field_changed=F.col("field_changed"), old_value=F.col("old_value"),
+            new_value=F.col("new_value"), changed_by_employee_id=F.col("changed_by_employee_id"), timestamp=F.col("ts"),
         ),
     )
     return RuleOutput(results, own.unionByName(paired))
 
 
+# --- payments for the rules -------------------------------------------------------------
+
+
+def merged_payments(sources) -> DataFrame:
+    """Raw payment tables as one: unusable rows go, then the first source that holds an id wins.
+
+    ``sources`` holds ``(source_dataset, record_type, raw payments)`` in order of priority.
+    """
+    return merge_sources([(dataset, kind, usable_payments(raw)) for dataset, kind, raw in sources])
+
+
+def rule_payments(payments: DataFrame, needs_amount: bool = True) -> DataFrame:
+    """Payments as rules may count them, with their provenance.
+
+    Rows without time, id, account or, if asked, a number as amount go.  Unless the table was merged
+    before, of rows with one id the earliest stays; its provenance is then the ledger.
+    """
+    good = F.col("ts").isNotNull()
+    for name in ("transaction_id", "from_account", "to_account"):
+        good = good & (F.trim(F.col(name).cast("string")) != "")
+    if needs_amount:
+        good = good & F.col("amount_paid").isNotNull() & ~F.isnan(F.col("amount_paid").cast("double"))
+    payments = payments.filter(good)
+    if "source_dataset" in payments.columns:
+        return payments
+    payments = keep_first(payments, ["transaction_id"], [F.col("ts"), F.col("from_account"), F.col("to_account")])
+    return payments.withColumns({"source_dataset": F.lit("ledger"), "record_type": F.lit("transaction")})
+
+
 # --- transaction splitting --------------------------------------------------------------
 
 
@@ -205,7 +238,7 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
     config = rule_config.SplittingConfig.from_mapping(settings)
     rule, name = rule_config.SPLITTING, "Transaction splitting"
     hours, boundary = config.time_window_hours, float(config.below_reporting_boundary)
-    payments = context["payments"]
+    payments = materialize(rule_payments(context["payments"]), "payments")
     limit = settings.get("hot_rows", HOT_ROWS)
     found = windows.splitting_windows(payments, hours, config.minimum_outgoing_transactions, boundary, limit)
     results = shaped(
@@ -245,7 +278,9 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
         window_end=F.col("window_end"),
     )
     ordered = positions(
-        payments.select("from_account", "transaction_id", "to_account", "ts", "amount_paid", "payment_format"),
+        payments.select(
+            "from_account", "transaction_id", "to_account", "ts", "amount_paid", "payment_format", "source_dataset", "record_type"
+        ),
         ["from_account"], [F.col("ts"), F.col("transaction_id")], limit=limit,
     )
     members = windows.window_members(found, ordered)
@@ -254,8 +289,8 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
         EVIDENCE_SCHEMA,
         rule_id=rule,
         result_key=F.col("window_id"),
-        source_dataset="ledger",
-        record_type="transaction",
+        source_dataset=F.col("source_dataset"),
+        record_type=F.col("record_type"),
         record_id=F.col("transaction_id"),
         role="transaction_splitting_group_member",
         details=text_map(
@@ -273,7 +308,8 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
 def circular_transfer(context: Mapping[str, DataFrame], settings: Mapping) -> RuleOutput:
     config = rule_config.CircularConfig.from_mapping(settings)
     rule, name, hours = rule_config.CIRCULAR, "Circular transfer", config.time_window_hours
-    found = cycles.circular_transfers(context["payments"], hours, config.minimum_transactions, config.max_hops)
+    payments = materialize(rule_payments(context["payments"], needs_amount=False), "payments")
+    found = cycles.circular_transfers(payments, hours, config.minimum_transactions, config.max_hops)
     found = materialize(found, "rings")
     path = F.concat_ws(" -> ", "accounts", "account_id")
     key = F.array_join("transaction_ids", ">")
@@ -306,16 +342,20 @@ def circular_transfer(context: Mapping[str, DataFrame], settings: Mapping) -> Ru
         window_start=F.col("window_start"),
         window_end=F.col("window_end"),
     )
+    cited = found.select(key.alias("k"), path.alias("path"), F.explode("transaction_ids").alias("transaction_id"))
     evidence = shaped(
-        found.select(key.alias("k"), path.alias("path"), F.explode("transaction_ids").alias("id")),
+        cited.join(payments, "transaction_id"),
         EVIDENCE_SCHEMA,
         rule_id=rule,
         result_key=F.col("k"),
-        source_dataset="ledger",
-        record_type="transaction",
-        record_id=F.col("id"),
+        source_dataset=F.col("source_dataset"),
+        record_type=F.col("record_type"),
+        record_id=F.col("transaction_id"),
         role="circular_path_transaction",
-        details=text_map(path=F.col("path"), time_window_hours=hours),
+        details=text_map(
+            from_account=F.col("from_account"), to_account=F.col("to_account"), timestamp=F.col("ts"), path=F.col("path"),
+            time_window_hours=hours,
+        ),
     )
     return RuleOutput(results, evidence)
 
@@ -380,42 +420,44 @@ def in_scope(
     return results
 
 
-def _checked(rule: Rule, output: RuleOutput) -> RuleOutput:
+def _checked(rule: Rule, output: RuleOutput, with_evidence: bool) -> RuleOutput:
     if not isinstance(output, RuleOutput):
         raise TypeError("a rule must return a RuleOutput")
     if output.results.columns != RESULT_SCHEMA.names or output.evidence.columns != EVIDENCE_SCHEMA.names:
         raise TypeError(f"{rule.rule_id} returned tables of another shape")
     results = materialize(output.results, "results")
+    evidence = materialize(output.evidence, "evidence") if with_evidence else output.evidence.limit(0)
     if not results.filter(~F.col("rule_id").eqNullSafe(F.lit(rule.rule_id))).isEmpty():
         raise ValueError("rule_id of a result does not match the rule")
-    return RuleOutput(results, output.evidence)
+    return RuleOutput(results, evidence)
 
 
 def run_rules(
     registry: RuleRegistry,
     context: Mapping[str, DataFrame],
     configuration: Mapping | None = None,
+    with_evidence: bool = True,
     **scope: str,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(results, evidence, failures)`` of all active rules.
 
-    Plans are lazy, so each rule's results are written within its own guard: an error shows up
-    there and the other rules go on.
+    Plans are lazy, so each rule's results and evidence are written within its own guard: an error
+    shows up there and the other rules go on.  Without ``with_evidence`` that table stays empty.
     """
     spark = next(iter(context.values())).sparkSession
     results = spark.createDataFrame([], RESULT_SCHEMA)
     evidence = spark.createDataFrame([], EVIDENCE_SCHEMA)
     failures = []
     for rule in registry.active():
-        settings = rule_config.settings_for(configuration, rule.rule_id)
         try:
+            settings = rule_config.settings_for(configuration, rule.rule_id)
             if not isinstance(settings.get("enabled", True), bool):
                 raise ValueError("'enabled' must be boolean")
             if not settings.get("enabled", True):
                 continue
-            output = _checked(rule, rule.evaluate(context, settings))
+            output = _checked(rule, rule.evaluate(context, settings), with_evidence)
         except Exception as error:
-            failures.append((rule.rule_id, rule.rule_name, type(error).__name__, str(error)[:500]))
+            failures.append((rule.rule_id, rule.rule_name, type(error).__name__, str(error)))
             continue
         kept = in_scope(output.results, **scope)
         results = results.unionByName(kept)

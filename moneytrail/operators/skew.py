@@ -57,6 +57,7 @@ def running(
     """
     if not keys:
         return _sliced_running(df, keys, order, values, inclusive)
+    df = materialize(df, "running")  # counted for hot keys, then read by the windows
     cold, hot = split_hot(df, keys, limit)
     end = Window.currentRow if inclusive else -1
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)

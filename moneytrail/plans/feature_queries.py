@@ -166,7 +166,7 @@ def signal_features(s):
 
 
 def labeled_dataset(s):
-    return rounded(features.labeled_rows(matrix(s), s.scenarios(), features.SIGNAL_FEATURES[:4]))
+    return rounded(features.labeled_rows(matrix(s), s.scenarios(), features.SIGNAL_FEATURES))
 
 
 def background_split(s):
@@ -257,7 +257,7 @@ _PREVIEW = """SELECT account_id, transaction_id, account_role, is_synthetic, epo
     WHERE is_synthetic OR account_role = 'receiver' OR (account_role = 'sender' AND rn <= 10)
     OR (account_role = 'self' AND rn <= 3)"""
 
-_ALL = (
+ALL_FEATURES = (
     "activity JOIN amounts USING (account_id) JOIN access USING (account_id) JOIN profile USING (account_id) "
     "JOIN staff USING (account_id) JOIN custf USING (account_id)"
 )
@@ -284,16 +284,16 @@ QUERIES = {
     "profile_features": (profile_features, _features(f"SELECT account_id, {r6(*_G['profile'])} FROM profile")),
     "staff_features": (staff_features, _features("SELECT * FROM staff")),
     "customer_features": (customer_features, _features("SELECT * FROM custf")),
-    "feature_matrix": (feature_matrix, _features(f"SELECT account_id, {r6(*MATRIX_COLUMNS)} FROM {_ALL}")),
+    "feature_matrix": (feature_matrix, _features(f"SELECT account_id, {r6(*MATRIX_COLUMNS)} FROM {ALL_FEATURES}")),
     "signal_features": (
-        signal_features, _features(f"SELECT account_id, {r6(*features.SIGNAL_FEATURES)} FROM {_ALL}")
+        signal_features, _features(f"SELECT account_id, {r6(*features.SIGNAL_FEATURES)} FROM {ALL_FEATURES}")
     ),
     "labeled_dataset": (
         labeled_dataset,
         sql(
             "SELECT scenario_id, scenario_type, employee_id, account_id, CASE WHEN scenario_type = 'suspicious' THEN 1 "
-            f"ELSE 0 END AS label, {r6(*features.SIGNAL_FEATURES[:4])} FROM scenario_accounts JOIN (SELECT scenario_id, "
-            f"employee_id FROM scenarios) USING (scenario_id) JOIN ({'SELECT * FROM ' + _ALL}) USING (account_id) "
+            f"ELSE 0 END AS label, {r6(*features.SIGNAL_FEATURES)} FROM scenario_accounts JOIN (SELECT scenario_id, "
+            f"employee_id FROM scenarios) USING (scenario_id) JOIN ({'SELECT * FROM ' + ALL_FEATURES}) USING (account_id) "
             "WHERE pos = 1",
             *FEATURE_RELATIONS, **FEATURES,
         ),

@@ -186,9 +186,10 @@ def evidence_groups(s):
 
 
 def trade_components(s):
-    """Components of the pairs ordering account - supplying account with large orders."""
-    big = s.trade_ledger().filter(F.col("amount_paid") >= 90000.0)
-    pairs = big.select(F.concat(F.lit("C"), "from_account").alias("src"), F.concat(F.lit("S"), "transaction_id").alias("dst"))
+    """Components of the pairs ordering account - supplying account of the whole trade ledger."""
+    trade = s.trade_ledger()
+    pairs = trade.select(F.concat(F.lit("C"), "from_account").alias("src"), F.concat(F.lit("S"), "to_account").alias("dst"))
+    pairs = materialize(pairs.distinct(), "trade-pairs")
     vertices = graph.distinct_ids((pairs, "src"), (pairs, "dst"), name="id")
     return graph_search.connected_components(vertices, pairs)
 
@@ -453,10 +454,14 @@ QUERIES = {
     "trade_components": (
         trade_components,
         sql(
-            "SELECT 'C' || from_account AS id, 'C' || from_account AS component FROM trade WHERE amount_paid >= 90000.0 "
-            "UNION SELECT 'S' || transaction_id, min('C' || from_account) FROM trade WHERE amount_paid >= 90000.0 GROUP BY "
-            "transaction_id",
+            "SELECT id, min(b) AS component FROM reach GROUP BY 1",
             "trade",
+            recursive=True,
+            **{
+                "pairs": "SELECT DISTINCT 'C' || from_account AS u, 'S' || to_account AS v FROM trade",
+                "reach(id, b)": "SELECT u, u FROM pairs UNION SELECT v, v FROM pairs UNION SELECT r.id, x.v FROM reach r "
+                "JOIN (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs) x ON x.u = r.b",
+            },
         ),
     ),
 }

@@ -80,7 +80,7 @@ RELATIONS = {
         (),
         """SELECT DISTINCT 'E' || (o_custkey % 5) AS employee_id, 'A' || (o_custkey % 150) AS customer_id,
             CASE o_orderpriority WHEN '1-URGENT' THEN 'approver' WHEN '2-HIGH' THEN 'account_manager'
-                ELSE 'reviewer' END AS relationship_type FROM orders WHERE o_orderkey % 20 = 0""",
+                ELSE 'reviewer' END AS relationship_type FROM orders""",
     ),
     "scenarios": (
         (),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features, metrics, quality
 from ..operators.skew import quantiles
 from ..session import materialize
-from .feature_queries import FEATURE_RELATIONS, FEATURES, matrix, r6, rounded
+from .feature_queries import ALL_FEATURES, FEATURE_RELATIONS, FEATURES, matrix, r6, rounded
 from .oracle import sql
 from .rule_queries import RULE_RELATIONS, RULE_ROWS, rule_results
 
@@ -66,7 +66,7 @@ def background_threshold(s):
     return rounded(quantiles(background, "score", [0.95, 0.5]).select(F.col("q0").alias("threshold"), F.col("q1").alias("median")))
 
 
-BASELINE_FEATURES = features.FEATURE_GROUPS["activity"] + features.FEATURE_GROUPS["amounts"][:10]
+BASELINE_FEATURES = [n for group, names in features.FEATURE_GROUPS.items() if group != "rules" for n in names]
 
 
 def feature_baselines(s):
@@ -118,7 +118,7 @@ def detection_summary(s):
 
 
 def evidence_audit(s):
-    results, evidence, _ = rule_results(s)
+    results, evidence, _ = rule_results(s, with_evidence=True)
     return quality.evidence_audit(
         s.scenarios(), results, evidence, s.access_events(), s.profile_changes(), s.injected()
     )
@@ -149,9 +149,10 @@ _JACK = """WITH RECURSIVE sc AS ({sc}), c AS (SELECT i.account_id AS i, j.label,
         UNION ALL SELECT i, 'accuracy', ok::DOUBLE / n FROM k)
     SELECT measure, round(sqrt((count(*) - 1) * var_pop(x)) + 1e-9, 6) AS standard_error FROM m GROUP BY 1"""
 
-_LONG = "SELECT account_id, unnest([" + ", ".join(f"'{c}'" for c in BASELINE_FEATURES) + "]) AS feature, unnest([" + ", ".join(
-    BASELINE_FEATURES
-) + "]) AS value FROM activity JOIN amounts USING (account_id)"
+_LONG = (
+    "SELECT account_id, unnest([" + ", ".join(f"'{c}'" for c in BASELINE_FEATURES) + "]) AS feature, unnest(["
+    + ", ".join(f"CAST({c} AS DOUBLE)" for c in BASELINE_FEATURES) + f"]) AS value FROM {ALL_FEATURES}"
+)
 
 _RATE = """SELECT '{name}' AS "check", count(*) AS distinct_keys, count(*) FILTER (hit) AS matched_keys,
     CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (hit), 0) AS BIGINT) AS matched_rows,

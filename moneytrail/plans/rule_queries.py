@@ -29,8 +29,8 @@ def context(s):
     }
 
 
-def rule_results(s):
-    return rules.run_rules(rules.default_registry(), context(s), CONFIG)
+def rule_results(s, with_evidence=False):
+    return rules.run_rules(rules.default_registry(), context(s), CONFIG, with_evidence)
 
 
 def splitting_windows(s):
@@ -95,7 +95,7 @@ def rule_run(s):
         raise RuntimeError("this rule cannot run")
 
     registry.register(rules.Rule("TEST.BROKEN", "Broken rule", "AML", broken))
-    results, _, failures = rules.run_rules(registry, context(s), CONFIG)
+    results, _, failures = rules.run_rules(registry, context(s), CONFIG, with_evidence=False)
     counted = results.groupBy("rule_id").agg(F.count(F.lit(1)).alias("results"))
     return counted.withColumn("error_type", F.lit(None).cast("string")).unionByName(
         failures.select("rule_id", F.lit(0).cast("bigint").alias("results"), "error_type")
@@ -115,12 +115,34 @@ def unique_results(s):
 
 
 def rule_evidence(s):
-    _, evidence, _ = rules.run_rules(
-        rules.default_registry(), context(s), {**CONFIG, rule_config.SPLITTING: {"enabled": False}}
-    )
+    _, evidence, _ = rule_results(s, with_evidence=True)
     return evidence.groupBy("rule_id", "record_type", "role").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _overlapping(s):
+    """Raw payment tables with bad rows, repeated ids and ids of both tables, in order of priority."""
+    raw = s.ledger().select(
+        "transaction_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "from_account", "to_account",
+        F.col("amount_paid").cast("string").alias("amount_paid"), "payment_format", "is_synthetic",
+    )
+    number = F.col("transaction_id").cast("bigint")
+    bad = raw.withColumns(
+        {
+            "amount_paid": F.when(number % 11 == 3, "n/a").otherwise(F.col("amount_paid")),
+            "from_account": F.when(number % 13 == 5, " ").otherwise(F.col("from_account")),
+        }
+    )
+    later = raw.filter(number % 3 == 0).withColumn("amount_paid", F.lit("1.0"))
+    return [("injected", "synthetic", raw.filter("is_synthetic")), ("bank", "real", bad), ("copy", "real", later)]
+
+
+def prepared_rule_run(s):
+    payments = materialize(rules.merged_payments(_overlapping(s)), "merged")
+    only = {rule_config.PRIVILEGE_CHANGE: {"enabled": False}, rule_config.CIRCULAR: {"enabled": False}}
+    _, evidence, _ = rules.run_rules(rules.default_registry(), {**context(s), "payments": payments}, {**CONFIG, **only})
+    return evidence.groupBy("result_key", "source_dataset", "record_type").agg(F.count(F.lit(1)).alias("records"))
+
+
 def results_in_scope(s):
     out = rules.privilege_change(context(s), {}).results
     parts = (
@@ -327,7 +349,24 @@ QUERIES = {
             "SELECT 'INSIDER.PRIVILEGE_CHANGE' AS rule_id, 'access_event' AS record_type, 'triggering_access_event' AS "
             "role, count(*) AS records FROM pe UNION ALL SELECT 'INSIDER.PRIVILEGE_CHANGE', 'profile_change', "
             "'paired_profile_change', count(*) FROM pairs UNION ALL SELECT 'AML.CIRCULAR_TRANSFER', 'transaction', "
-            "'circular_path_transaction', CAST(sum(n) AS BIGINT) FROM rings"
+            "'circular_path_transaction', CAST(sum(n) AS BIGINT) FROM rings UNION ALL SELECT 'AML.TRANSACTION_SPLITTING', "
+            "'transaction', 'transaction_splitting_group_member', CAST(sum(outgoing_transaction_count) AS BIGINT) FROM split"
+        ),
+    ),
+    "prepared_rule_run": (
+        prepared_rule_run,
+        sql(
+            "SELECT w.transaction_id AS result_key, p.source_dataset, p.record_type, count(*) AS records FROM ("
+            + SPLIT.format(boundary=BOUNDARY, ledger="merged", hours=48)
+            + ") w JOIN merged p ON p.from_account = w.from_account AND epoch_us(p.ts) BETWEEN w.start_us AND w.end_us GROUP BY ALL",
+            "ledger",
+            overlap="""SELECT transaction_id, date_trunc('second', ts) AS ts, from_account, to_account, amount_paid, 0 AS rank,
+                'injected' AS source_dataset, 'synthetic' AS record_type FROM ledger WHERE is_synthetic
+                UNION ALL SELECT transaction_id, date_trunc('second', ts), from_account, to_account, amount_paid, 1, 'bank', 'real'
+                FROM ledger WHERE CAST(transaction_id AS BIGINT) % 11 <> 3 AND CAST(transaction_id AS BIGINT) % 13 <> 5
+                UNION ALL SELECT transaction_id, date_trunc('second', ts), from_account, to_account, 1.0, 2, 'copy', 'real'
+                FROM ledger WHERE CAST(transaction_id AS BIGINT) % 3 = 0""",
+            merged="SELECT * FROM overlap QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY rank) = 1",
         ),
     ),
     "results_in_scope": (

@@ -12,7 +12,7 @@ from ..functions.text import (
     parse_timestamp,
     safe_double,
 )
-from ..operators import clean, entities, features
+from ..operators import clean, entities, features, rule_config
 from ..session import scratch_path
 from ..sources import io
 from .oracle import sql
@@ -82,9 +82,10 @@ def table_inventory(s):
 
 def normalized_text(s):
     padded = F.concat(F.lit(" 　\t"), F.col("text"), F.lit(" \n"))
-    text = F.when(F.col("doc_id") % 5 == 0, None).otherwise(padded)
-    cleaned = clean_text(text)
-    return s.table("documents").select("doc_id", F.md5(cleaned).alias("text_md5"), F.length(cleaned).alias("n"))
+    cleaned, blanked = clean_text(padded), clean_text(F.when(F.col("doc_id") % 5 != 0, padded))
+    return s.table("documents").select(
+        "doc_id", F.md5(cleaned).alias("text_md5"), F.length(cleaned).alias("n"), F.length(blanked).alias("n_with_nulls")
+    )
 
 
 def usable_payments(s):
@@ -116,10 +117,7 @@ def label_guard(s):
     )
 
 
-# Terms that make an access change worth reporting.
-TERMS = (
-    "access limit auth fraud monitoring kyc risk payee beneficial account view_only api batch wire forex screen"
-).split()
+TERMS = rule_config.ADMINISTRATIVE_TERMS
 
 
 def keyword_events(s):
@@ -274,9 +272,12 @@ QUERIES = {
     ),
     "normalized_text": (
         normalized_text,
-        "SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n FROM (SELECT doc_id, "
-        + _text("CASE WHEN doc_id % 5 = 0 THEN NULL ELSE ' ' || chr(12288) || chr(9) || text || chr(160) || chr(10) END")
-        + " AS t FROM documents)",
+        "SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n, CAST(CASE WHEN doc_id % 5 = 0 THEN length(e) "
+        "ELSE length(t) END AS INTEGER) AS n_with_nulls FROM (SELECT doc_id, "
+        + _text("' ' || chr(12288) || chr(9) || text || chr(160) || chr(10)")
+        + " AS t, "
+        + _text("CAST(NULL AS VARCHAR)")
+        + " AS e FROM documents)",
     ),
     "usable_payments": (
         usable_payments,

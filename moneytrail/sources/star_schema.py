@@ -178,7 +178,7 @@ class StarSchema:
 
     @_once
     def employee_map(self) -> DataFrame:
-        o = self.table("orders").filter(F.col("o_orderkey") % 20 == 0)
+        o = self.table("orders").select("o_custkey", "o_orderpriority")
         return o.select(
             _employee(F.col("o_custkey") % 5).alias("employee_id"),
             _account(F.col("o_custkey") % 150).alias("customer_id"),

@@ -171,5 +171,5 @@ def test_projection_keeps_communities_apart(spark):
         [(a, 0, [a, b, a, b]) for a, b in (("A", "B"), ("B", "A"), ("C", "D"), ("D", "C"))] + [("E", 0, ["E"])],
         "start string, walk int, path array<string>",
     )
-    got = {r.account_id: np.array(r.vector) for r in graph_search.embed_walks(walks, 8, 2, vocabulary_limit=1).collect()}
+    got = {r.account_id: np.array(r.vector) for r in graph_search.embed_walks(walks, 8, 2).collect()}
     assert set(got) == set("ABCDE") and not got["E"].any() and got["A"].any()

@@ -151,11 +151,18 @@ def test_run_isolates_failures_and_scopes(spark):
         bad = out.results.withColumn("rule_id", F.raise_error(F.lit("late")).cast("string"))
         return rules.RuleOutput(bad, out.evidence)
 
+    def unproven(tables, settings):
+        out = rules.privilege_change(tables, {})
+        results = out.results.withColumn("rule_id", F.lit("T.UNPROVEN"))
+        return rules.RuleOutput(results, out.evidence.withColumn("record_id", F.raise_error(F.lit("x" * 900)).cast("string")))
+
+    registry.register(rules.Rule("T.UNPROVEN", "Unproven", "AML", unproven))
     registry.register(rules.Rule("T.BROKEN", "Broken", "AML", broken))
     registry.register(rules.Rule("T.LATE", "Late", "AML", late))
     registry.switch(rule_config.SPLITTING, False)
     results, evidence, failures = rules.run_rules(registry, context(spark, EVENTS, CHANGES))
-    assert sorted(r.rule_id for r in failures.collect()) == ["T.BROKEN", "T.LATE"]
+    assert sorted(r.rule_id for r in failures.collect()) == ["T.BROKEN", "T.LATE", "T.UNPROVEN"]
+    assert "x" * 900 in {r.rule_id: r.message for r in failures.collect()}["T.UNPROVEN"]
     counted = {r.rule_id: r["count"] for r in results.groupBy("rule_id").count().collect()}
     assert counted == {rule_config.PRIVILEGE_CHANGE: 3, rule_config.CIRCULAR: 1}
     assert rules.in_scope(results, account_id="A").count() == 2
@@ -167,6 +174,39 @@ def test_run_isolates_failures_and_scopes(spark):
     assert fired["A"] == [rule_config.PRIVILEGE_CHANGE, rule_config.CIRCULAR]
 
 
+def test_rules_drop_unusable_and_repeated_payments(spark):
+    good = [(0, "A", "B", 1.0), (1, "A", "B", 1.0)]
+    run = lambda df: rules.transaction_splitting({"payments": df}, {}).results.count()
+    assert run(payments(spark, [*good, (2, "A", "B", 1.0)])) == 1
+    assert run(payments(spark, good).unionByName(payments(spark, [(2, "A", "B", 1.0)]).withColumn("amount_paid", F.lit(None).cast("double")))) == 0
+    assert run(payments(spark, good).unionByName(payments(spark, good))) == 0
+    blank = payments(spark, [(i, " ", "B", 1.0) for i in range(4)])
+    assert run(blank) == 0
+
+
+def test_evidence_keeps_its_source(spark):
+    raw = spark.createDataFrame(
+        [(str(i), f"2024-01-01 0{i}:00:00", "A", "B", "5", "Wire") for i in range(4)],
+        "transaction_id string, timestamp string, from_account string, to_account string, amount_paid string, payment_format string",
+    )
+    merged = rules.merged_payments([("injected", "synthetic", raw.limit(1)), ("bank", "real", raw)])
+    out = rules.transaction_splitting({"payments": merged}, {})
+    proof = {(r.record_id, r.source_dataset, r.record_type) for r in out.evidence.collect()}
+    assert {x for x in proof if x[0] == "0"} == {("0", "injected", "synthetic")}
+    assert {x[1:] for x in proof if x[0] != "0"} == {("bank", "real")}
+    ring = rules.circular_transfer({"payments": payments(spark, RING)}, {}).evidence.collect()
+    assert all(r.details["from_account"] and r.details["to_account"] and r.details["timestamp"] for r in ring)
+
+
+def test_times_before_1970(spark):
+    from moneytrail.operators.entities import account_stats
+
+    df = spark.createDataFrame([("1", 7, "A", 9, "B", 0)], "transaction_id string, from_bank int, from_account string, to_bank int, to_account string, is_laundering int")
+    df = df.withColumn("ts", F.lit("1969-05-01 10:00:00").cast("timestamp"))
+    got = {r.account_id: r.bank_id for r in account_stats(df, df.limit(0)).collect()}
+    assert got == {"A": 7, "B": 9}
+
+
 @pytest.mark.parametrize(
     "kind, settings",
     [
