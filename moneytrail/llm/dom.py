@@ -48,7 +48,10 @@ CUES = {
     "nav": ("nav", "navigation", "menu", "breadcrumb", "breadcrumbs", "navbar", "topbar", "pagination", "pager", "toc"),
     "header": ("header", "masthead", "banner", "logo", "branding", "top"),
     "footer": ("footer", "copyright", "legal", "colophon", "contentinfo", "bottom", "imprint"),
-    "side": ("sidebar", "aside", "widget", "related", "recommended", "rail", "complementary", "trending", "popular", "more"),
+    "side": (
+        "sidebar", "side", "aside", "widget", "related", "recommended", "rail", "complementary", "trending", "popular", "more",
+        "secondary", "latest", "tags",
+    ),
     "advert": ("ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion", "banner", "adslot"),
     "notice": (
         "cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "overlay",

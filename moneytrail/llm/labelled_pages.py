@@ -78,7 +78,8 @@ class PageMaker:
             f"<p>{self.text(high=3)}</p>", f"<h4>{self.word()}</h4><p>{self.text(high=2)}</p>", self.text(high=2),
         ))
         inner = "".join(part() for _ in range(self.r.randint(1, 3)))
-        return f"<{tag}{self.named('sidebar', 'related', 'widget', 'rail', 'popular', chance=0.97 if tag != 'aside' else 0.5)}>{inner}</{tag}>"
+        names = self.named("sidebar", "related", "widget", "rail", "popular", "side", "secondary", "latest", chance=0.97 if tag != "aside" else 0.4)
+        return f"<{tag}{names}>{inner}</{tag}>"
 
     def comments(self) -> str:
         tag = self.r.choice(("section", "div", "div", "ol"))
@@ -114,7 +115,7 @@ class PageMaker:
             head = f"<header{g}>{head}</header>"
         if self.r.random() < 0.85 or not parts:
             parts.insert(0, head)
-        for extra, chance in ((self.advert, 0.2), (self.share, 0.12), (self.sidebar, 0.08), (self.comments, 0.1), (self.notice, 0.06), (self.form, 0.06), (self.menu, 0.05)):
+        for extra, chance in ((self.advert, 0.2), (self.share, 0.12), (self.sidebar, 0.2), (self.comments, 0.1), (self.notice, 0.06), (self.form, 0.06), (self.menu, 0.05)):
             if self.r.random() < chance:
                 parts.insert(self.r.randint(min(1, len(parts)), len(parts)), extra())
         tag = self.r.choice(("article", "article", "main", "div", "div", "section", "td"))
