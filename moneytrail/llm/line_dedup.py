@@ -190,7 +190,8 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("_key"),
     )
-    joined = packed.join(lost, F.col("_key") == F.col("_id"), "left").select("row", "text", "drop")
+    # A merge join at every size: each text moves once.
+    joined = packed.join(lost.hint("merge"), F.col("_key") == F.col("_id"), "left").select("row", "text", "drop")
     schema = T.StructType(
         [
             packed.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()),

@@ -106,7 +106,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     decided = materialize(decided, "decided")
     r = decided.select(
         F.col("doc_id").alias("d"), F.col("source_key").alias("s"), F.col("size").alias("z"), "taken", "rows"
-    )
+    ).hint("merge")  # at every size, so each text moves once
     joined = packed.join(
         r, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("source_key") == F.col("s")) & (F.col("size") == F.col("z"))
     )
