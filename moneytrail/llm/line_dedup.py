@@ -118,9 +118,9 @@ def repeated_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, batc
     lowest = F.lit(-(2**63)).cast("bigint")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("doc_id"), F.col("text").cast("string"))
     lines = rows.mapInArrow(_hash_lines, "doc_id bigint, hi bigint, lo bigint")
-    cuts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).approxQuantile(
-        "doc_id", [1 - i / batches for i in range(1, batches)], 0.01
-    )
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    shares = [1 - i / batches for i in range(1, batches)]
+    cuts = ids.approxQuantile("doc_id", shares, 0.01) if shares else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + F.when(F.col("doc_id") <= F.lit(int(cut)), 1).otherwise(0)
