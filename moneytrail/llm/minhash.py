@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 
 from ..operators.graph_search import connected_components
 from ..session import materialize
-from .common import table
+from .common import partitions, table
 from .shingles import Shingler, set_digest, similar
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-SKETCH = 64
-# Two sketches of linked documents share this part of their values, bar an event of 5 standard
-# deviations: linked sets share 89 % of either at equal size, and 64 values deviate by 2.8.
-SHARED = 0.625
-# How far below the threshold an estimate from a union sketch may lie: 5 standard deviations.
-SLACK = 0.25
-# Rounds in which every list compares all its members with one of them, before all pairs of
-# components that still share a list are compared.
+SKETCH = 96
+# Two sketches of linked documents share this part of their values, bar an event of more than 4
+# standard deviations: linked sets share 89 % of either at equal size, 83 of 96 values, give or take 3.3.
+SHARED = 0.725
+# How far below the threshold an estimate from a union sketch may lie: more than 4 standard deviations.
+SLACK = 0.18
+# Rounds at most in which every list compares all its members with one of them, before all pairs of
+# components that still share a list are compared; fewer if those pairs are at most so many times
+# the rows of all lists.
 STAR_ROUNDS = 4
+PAIRS_PER_ROW = 64
+# Rows of a list that are compared with so many others in one block.
+BLOCK_ROWS = 256
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>"
 
 
@@ -83,6 +87,68 @@ def _estimates(size: int, percent: int):
     return run
 
 
+def least_shared(n: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """How many values the sketch of a set of ``n`` shares at least with that of a linked set."""
+    whole = n <= math.floor(size * percent / 100)  # then both sets lie in their sketches
+    return np.where(whole, -(-n * percent // 100), math.floor(size * SHARED))
+
+
+def _block_pairs(size: int, percent: int):
+    """Possible pairs of the blocks that follow each other in a partition.
+
+    Rows: value, bi, bj, outer, node, n, component, sketch.  Overlaps are counted for an outer row
+    against all rows of its block at once; only pairs that pass them and the estimate come out.
+    """
+
+    def compare(rows: list[tuple], found: list[tuple]) -> None:
+        inner = [r for r in rows if not r[3]]
+        if not inner:
+            return
+        values = np.concatenate([r[7] for r in inner])
+        owner = np.repeat(np.arange(len(inner)), [len(r[7]) for r in inner])
+        node, n, component = (np.array([r[i] for r in inner]) for i in (4, 5, 6))
+        least = least_shared(n, size, percent)
+        for r in rows:
+            if not r[3]:
+                continue
+            shared = np.bincount(owner[np.isin(values, r[7])], minlength=len(inner))
+            need = np.minimum(least, least_shared(np.array([r[5]]), size, percent))
+            fits = 100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])
+            for i in np.flatnonzero((shared >= need) & fits & (component != r[6])):
+                other = inner[i][7]
+                if max(n[i], r[5]) <= size:
+                    score = shared[i] / (n[i] + r[5] - shared[i])
+                    good = 100 * shared[i] >= percent * (n[i] + r[5] - shared[i])
+                else:
+                    score = estimate(r[7], other, size)
+                    good = 100 * (score + SLACK) >= percent
+                if good:
+                    found.append((min(r[4], int(node[i])), max(r[4], int(node[i])), float(score)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, found = None, [], []
+
+        def drain():
+            hubs, nodes, scores = zip(*set(found), strict=True) if found else ((), (), ())
+            found.clear()
+            return pa.record_batch([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64()), pa.array(scores, pa.float64())], names=["hub", "node", "score"])
+
+        for batch in batches:
+            sketches = batch.column(7)
+            flat, offsets = sketches.values.to_numpy().view(np.uint64), sketches.offsets.to_numpy()
+            for i, row in enumerate(zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True)):
+                if row[:3] != last:
+                    compare(rows, found)
+                    last, rows = row[:3], []
+                rows.append((*row, flat[offsets[i] : offsets[i + 1]]))
+            if found:
+                yield drain()
+        compare(rows, found)
+        yield drain()
+
+    return run
+
+
 def _verified(width: int, percent: int):
     """Pairs whose full shingle sets are similar; the set of a repeated hub is kept from row to row."""
 
@@ -117,8 +183,9 @@ class NearDuplicates:
             classes.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.row_id").alias("node")), "classes"
         )
         nodes = self.classes.select(F.col("node").alias("row_id"))
-        self.sketches = self.rows.join(nodes, "row_id", "left_semi").select(
-            F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"
+        first = self.rows.join(nodes.hint("merge"), "row_id", "left_semi")
+        self.sketches = materialize(
+            first.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "class-sketches"
         )
         self.lists = materialize(self._inverted_lists(), "lists")
         self.texts = materialize(self._texts(plain), "texts")
@@ -162,7 +229,8 @@ class NearDuplicates:
                     yield pa.record_batch([*part.columns, pa.array(found, pa.binary())], names=["node", "text", "digest", "found"])
 
         # An id may repeat with other texts: the digest tells which row is meant.
-        candidates = plain.join(wanted, "doc_id").select("node", "text", "digest")
+        # A merge join at every size: each text moves once.
+        candidates = plain.join(wanted.hint("merge"), "doc_id").select("node", "text", "digest")
         checked = candidates.mapInArrow(digests, "node bigint, text string, digest binary, found binary")
         return checked.filter(F.col("digest") == F.col("found")).dropDuplicates(["node"]).select("node", "text")
 
@@ -190,13 +258,12 @@ class NearDuplicates:
         b = self.components.select("node", F.col("component").alias("c2"))
         return pairs.join(a, "hub").join(b, "node").filter("c1 <> c2").drop("c1", "c2")
 
-    def _compare(self, pairs: DataFrame) -> None:
-        """Estimate all pairs; verify the best of each node first, then those that it did not connect."""
-        possible = self._possible(pairs)
+    def _compare(self, possible: DataFrame) -> None:
+        """Verify the best pair of each node first, then those whose ends it did not connect."""
         best = possible.groupBy("node").agg(F.max(F.struct("score", "hub")).alias("b")).select("node", F.col("b.hub").alias("hub"))
         self._verify(best)
-        rest = materialize(self._apart(possible.select("hub", "node")), "rest")
-        rest = rest.join(best.select("hub", "node"), ["hub", "node"], "left_anti")
+        rest = self._apart(possible.select("hub", "node")).join(best, ["hub", "node"], "left_anti")
+        rest = materialize(rest, "rest")
         if not rest.isEmpty():
             self._verify(rest)
 
@@ -210,30 +277,47 @@ class NearDuplicates:
         list with its first member, which then leaves the list, and lists of one component end.
         What is left after a few rounds is compared pair by pair across components.
         """
-        lists = self.lists
+        lists, rows = self.lists, self.lists.count()
         for _ in range(STAR_ROUNDS):
             hubs = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("members"))
             hubs = materialize(
                 hubs.filter("members > 1").select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("n1")), "hubs"
             )
-            if hubs.isEmpty():
-                return
-            joined = lists.join(hubs, "value")
-            pairs = joined.filter((F.col("node") != F.col("hub")) & self._sized("n", "n1")).select("hub", "node").distinct()
-            self._compare(materialize(self._apart(pairs), "pairs"))
-            lists = self._open_lists(joined.filter(F.col("node") != F.col("hub")).select("value", "node", "n"))
-            if lists.isEmpty():
+            joined = lists.select("value", "node", "n").join(hubs, "value").filter(F.col("node") != F.col("hub"))
+            pairs = joined.filter(self._sized("n", "n1")).select("hub", "node").distinct()
+            self._compare(self._possible(materialize(self._apart(pairs), "pairs")))
+            lists, left = self._open_lists(joined.select("value", "node", "n"))
+            if not left:
                 return
-        left = lists.join(self.components, "node")
-        right = left.select("value", F.col("node").alias("hub"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-        pairs = left.join(right, "value").filter((F.col("hub") < F.col("node")) & (F.col("component") != F.col("c1")) & self._sized("n", "n1"))
-        self._compare(materialize(pairs.select("hub", "node").distinct(), "pairs"))
-
-    def _open_lists(self, lists: DataFrame) -> DataFrame:
-        named = lists.join(self.components, "node")
-        mixed = named.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-        mixed = materialize(mixed.select("value"), "mixed")
-        return materialize(lists.join(mixed, "value", "left_semi"), "lists")
+            if left <= PAIRS_PER_ROW * rows:
+                break
+        # Each member outside the largest component of its list meets the whole list, in blocks.
+        sketched = lists.join(self.sketches.select("node", "sketch"), "node")
+        outer = F.col("component") != F.col("largest")
+        bi = F.pmod(F.xxhash64("node"), F.ceil(F.col("outers") / BLOCK_ROWS))
+        bj = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK_ROWS))
+        columns = [F.col(c) for c in ("node", "n", "component", "sketch")]
+        each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(blocks) / BLOCK_ROWS) - 1))
+        left = sketched.filter(outer).select("value", bi.alias("bi"), each("members").alias("bj"), F.lit(True).alias("outer"), *columns)
+        right = sketched.select("value", each("outers").alias("bi"), bj.alias("bj"), F.lit(False).alias("outer"), *columns)
+        order = ["value", "bi", "bj"]
+        dealt = left.unionByName(right).repartition(partitions(lists), *order).sortWithinPartitions(*order)
+        found = dealt.mapInArrow(_block_pairs(self.size, self.percent), "hub bigint, node bigint, score double")
+        self._compare(materialize(found.groupBy("hub", "node").agg(F.max("score").alias("score")), "possible"))
+
+    def _open_lists(self, lists: DataFrame) -> tuple[DataFrame, int]:
+        """Lists of several components with the largest one of each, and how many pairs they may yield."""
+        named = materialize(lists.join(self.components, "node"), "named-lists")
+        counts = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"))
+        top = counts.groupBy("value").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"))
+        mixed = materialize(
+            top.filter("members > top.m").select(
+                "value", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.m")).alias("outers"), "members"
+            ),
+            "mixed",
+        )
+        left = mixed.agg(F.sum(F.col("outers") * F.col("members"))).first()[0] or 0
+        return materialize(named.join(mixed, "value"), "lists"), left
 
     def result(self) -> DataFrame:
         named = self.classes
@@ -277,10 +361,14 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 
     Rows with one id stay together if one of them stays; equal rows become one.  Null ids stay.
     """
-    kept = near_duplicates(docs, **settings).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    kept = materialize(kept, "kept")
-    mine = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("_id")).select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return mine.unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs, **settings).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    kept = materialize(kept, "kept").alias("k").hint("merge")  # at every size, so each text moves once
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("key"), F.col("text").alias("said")
+    )
+    mine = packed.join(kept, F.col("key") == F.col("k.id")).dropDuplicates(["key", "said"]).select("row")
+    both = mine.unionByName(packed.filter(F.col("key").isNull()).select("row"))
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_minhash(spark, folder):

@@ -105,7 +105,7 @@ def test_near_duplicates(spark, rows, width):
 
 
 def test_residual_pairs_are_compared(spark, rows, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", 1e9)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
     got = [tuple(r) for r in minhash.near_duplicates(table(spark, rows), shingle_words=4).collect()]
     assert sorted(x for x in got if x[0] is not None) == components(rows, 4, 80)
 
