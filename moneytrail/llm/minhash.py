@@ -59,7 +59,7 @@ def _sketches(width: int, size: int):
 def estimate(a: np.ndarray, b: np.ndarray, size: int) -> float:
     """Jaccard similarity from the bottom-k of the union of two sketches (sorted, unsigned)."""
     union = np.union1d(a, b)[:size]
-    return np.isin(union, a).__and__(np.isin(union, b)).sum() / len(union)
+    return (np.isin(union, a) & np.isin(union, b)).sum() / len(union)
 
 
 def _estimates(size: int, percent: int):
