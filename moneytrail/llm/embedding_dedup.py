@@ -100,44 +100,76 @@ def _window_pairs(window: int, threshold: float):
 
 
 def near_pairs(
-    vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = SEED
+    rows: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = SEED
 ) -> DataFrame:
     """Distinct pairs (src < dst) of vector ids with one label and a cosine of at least ``threshold``.
 
-    In each pass the vectors of a label are ordered by their key across the whole cluster, and each
-    is compared with a fixed number of neighbours, so the work grows with the rows whatever the size
-    of a label or group.  A pair that no pass brings together is missed.
+    ``rows`` holds vec_id, label and vector, all usable.  In each pass the vectors of a label are
+    ordered by their key across the whole cluster, and each is compared with a fixed number of
+    neighbours, so the work grows with the rows whatever the size of a label or group.  A pair that
+    no pass brings together is missed.  Ties are broken by a hash of their own in every pass.
     """
-    known = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))
-    rows = vectors.filter(known).select(
-        F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), F.col("embedding").alias("vector")
-    )
     kind = rows.schema["vector"].dataType.simpleString()
-    keyed = rows.mapInArrow(
+    keyed = rows.select("vec_id", "label", "vector").mapInArrow(
         _sort_keys(passes, bits, seed), f"number int, label bigint, size int, key binary, vec_id bigint, vector {kind}"
     )
-    order = ["number", "label", "size", "key", "vec_id"]
-    ordered = keyed.repartitionByRange(partitions(vectors), *order).sortWithinPartitions(*order)
+    order = ["number", "label", "size", "key", F.xxhash64("number", "vec_id"), "vec_id"]
+    ordered = keyed.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
     found = ordered.mapInArrow(_window_pairs(window, threshold), "src bigint, dst bigint")
     return materialize(found.distinct(), "near-pairs")
 
 
+def _reached(groups: DataFrame, sizes: DataFrame, several: DataFrame) -> DataFrame:
+    """(g, n_links): the ids but one in the classes of each group; ``groups`` holds distinct (g, node)."""
+    alone = groups.join(sizes, "node").groupBy("g").agg(F.sum("ids").alias("alone"))
+    shared = groups.join(several, "node").select("g", "vec_id").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("shared"))
+    count = F.coalesce("alone", F.lit(0)) + F.coalesce("shared", F.lit(0)) - 1
+    return alone.join(shared, "g", "full").select("g", count.alias("n_links"))
+
+
 def dedup_embeddings(vectors: DataFrame, **settings) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, label, embedding).
 
     Null labels, ids and vectors, zero vectors and those with null or non-finite components link with
     nothing.  Vectors link only with those of their own length.  Rows with one id are one vector:
     a link of any of them counts for all.  A null id has itself as component.
+
+    Equal vectors of a label are one class, which all passes see as one row and links count by its ids.
     """
-    pairs = near_pairs(vectors, **settings)
-    both = pairs.select(F.explode(F.array("src", "dst")).alias("vec_id"))
-    links = both.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = materialize(links, "near-links")
-    components = connected_components(linked.select(F.col("vec_id").alias("id")), pairs)
-    known = linked.join(components.withColumnRenamed("id", "vec_id"), "vec_id")
+    known = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    rows = vectors.filter(known).select(
+        F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), F.col("embedding").alias("vector")
+    )
+    classes = rows.select("label", "vector").distinct().withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "vector-classes")
+    members = materialize(rows.join(classes.hint("merge"), ["label", "vector"]).select("vec_id", "node").distinct(), "members")
+    pairs = near_pairs(classes.select(F.col("node").alias("vec_id"), "label", "vector"), **settings)
+
+    # Ids of several classes belong to each of them and count once.
+    repeated = members.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("first")).filter("c > 1")
+    repeated = materialize(repeated, "repeated-ids")
+    several = materialize(members.join(repeated, "vec_id").select("vec_id", "node", "first"), "several")
+    single = members.join(repeated, "vec_id", "left_anti")
+    sizes = materialize(single.groupBy("node").agg(F.count(F.lit(1)).alias("ids")), "class-sizes")
+    itself = classes.select("node", F.col("node").alias("other"))
+    both = pairs.select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    near = itself.unionByName(both).unionByName(pairs.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+    shared = several.select("vec_id", "node")
+    of_class = _reached(near.select(F.col("node").alias("g"), F.col("other").alias("node")), sizes, shared)
+    links = single.join(of_class.withColumnRenamed("g", "node"), "node").select("vec_id", "n_links")
+    if not repeated.isEmpty():
+        groups = shared.join(near, "node").select(F.col("vec_id").alias("g"), F.col("other").alias("node")).distinct()
+        links = links.unionByName(_reached(groups, sizes, shared).withColumnRenamed("g", "vec_id"))
+
+    bridges = several.select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    components = connected_components(classes.select(F.col("node").alias("id")), pairs.unionByName(bridges))
+    named = members.join(components.withColumnRenamed("id", "node"), "node").select("vec_id", "component").distinct()
+    named = materialize(named, "named")
+    smallest = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    found = named.join(smallest, "component").select("vec_id", "component_id").join(links, "vec_id")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"))
-    joined = rows.join(known, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    joined = rows.join(found, "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.col("vec_id").eqNullSafe(component).alias("kept"),

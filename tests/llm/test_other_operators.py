@@ -265,6 +265,19 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup_embeddings(table.limit(0)).count() == 0
 
 
+def test_equal_vectors_all_link(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=16)
+    close, far = base + r.normal(scale=0.02, size=16), r.normal(size=16)
+    rows = [(i, base.tolist(), 1) for i in range(400)] + [(400, close.tolist(), 1), (401, far.tolist(), 1), (402, base.tolist(), 2)]
+    # One id with two vectors ties their groups; a repeated row counts once.
+    rows += [(403, base.tolist(), 1), (403, far.tolist(), 1), (0, base.tolist(), 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {x["vec_id"]: tuple(x)[1:] for x in embedding_dedup.dedup_embeddings(table).collect()}
+    assert all(got[i] == (401, 0, i == 0) for i in range(401))
+    assert (got[401], got[402], got[403]) == ((1, 0, False), (0, 402, True), (402, 0, False))
+
+
 def test_turn_digest_is_sha256(spark):
     r = chat.op4_chat_formatting(spark, "/root/testdata/sf0.001").filter("conv_id = -7").first()
     said = "\\### Assistant: </turn> ok"
