@@ -11,6 +11,10 @@ INLINE = frozenset(
         "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
         "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
         "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+        # formulas
+        "annotation", "annotation-xml", "maction", "math", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts",
+        "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub",
+        "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics",
     )
 )
 VOID = frozenset(
@@ -19,10 +23,28 @@ VOID = frozenset(
 # Nothing inside these is text of the page.
 DROPPED = frozenset(
     (
-        "audio", "button", "canvas", "datalist", "head", "iframe", "math", "noscript", "object", "option", "script",
+        "audio", "button", "canvas", "datalist", "head", "iframe", "noscript", "object", "option", "script",
         "select", "style", "svg", "template", "textarea", "title", "video",
     )
 )
+# These hold no tags: only their own end tag ends them.
+RAW = frozenset(("iframe", "script", "style", "textarea", "title"))
+HEAD = frozenset(("noscript", "script", "style", "template", "title"))
+# An end tag of an inline element around these does not end them.
+HOLDS = frozenset(("button", "noscript", "object", "select"))
+# Start tags that end an open drawing.
+ENDS_SVG = frozenset(
+    (
+        "article", "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2",
+        "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s",
+        "small", "span", "strike", "strong", "sub", "sup", "table", "tt", "u", "ul", "var",
+    )
+)
+# Start tags that end a dropped element of these kinds.
+ENDS_DROPPED = {
+    "button": ("button",), "option": ("option",), "optgroup": ("option",), "select": ("select",), "input": ("select",),
+    "textarea": ("select",),
+}
 # A start tag ends an open element of these kinds, if none of the stops is in between.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -110,8 +132,8 @@ class PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", -1, 0, (), 0)]
         self.blocks: list[tuple[int, str]] = []
-        self._open: list[tuple[str, int]] = [("html", 0)]  # inline elements carry the node around them
-        self._dropped: list[str] = []
+        # Inline elements carry the node around them, and so do dropped ones with all inside (the flag).
+        self._open: list[tuple[str, int, bool]] = [("html", 0, False)]
         self._links = 0
         self._text: list[str] = []
         self._linked = 0
@@ -133,10 +155,10 @@ class PageParser(HTMLParser):
         return self._open[-1][1]
 
     def _pop_to(self, at: int):
-        for tag, _ in self._open[at:]:
-            if tag == "a":
+        for tag, _, dropped in self._open[at:]:
+            if tag == "a" and not dropped:
                 self._links -= 1
-        if any(tag not in INLINE for tag, _ in self._open[at:]):
+        if any(tag not in INLINE and not dropped for tag, _, dropped in self._open[at:]):
             self._flush()
         del self._open[at:]
 
@@ -149,22 +171,32 @@ class PageParser(HTMLParser):
             if tag in stops:
                 return
 
+    def _start_in_dropped(self, tag):
+        """What a start tag ends while an element is dropped, as browsers do."""
+        if self._open[-1][0] == "head" and tag not in HEAD and tag not in VOID:
+            self._pop_to(len(self._open) - 1)  # an unclosed head ends where the body begins
+            return
+        if tag in ENDS_SVG:
+            self._close(("svg",), ("desc", "foreignobject", "template"))
+        if tag in ENDS_DROPPED:
+            self._close(ENDS_DROPPED[tag], ("template",))
+        kinds, stops = CLOSES.get(tag, ((), ()))
+        for _ in range(2):
+            if kinds and self._open[-1][2]:
+                self._close(kinds, (*stops, "template"))
+
     def handle_starttag(self, tag, attrs):
-        if self._dropped:
-            if tag in DROPPED and tag not in VOID:
-                if tag == "body" or self._dropped[0] == "head" and tag not in ("script", "style", "title", "noscript", "template"):
-                    self._dropped = []
-                else:
-                    self._dropped.append(tag)
-                    return
-            elif self._dropped[0] == "head" and len(self._dropped) == 1 and tag not in VOID:
-                self._dropped = []  # an unclosed head ends where the body begins
-            else:
+        if self._open[-1][2]:
+            if self._open[-1][0] in RAW:
+                return
+            self._start_in_dropped(tag)
+            if self._open[-1][2]:
+                if tag not in VOID:
+                    self._open.append((tag, self._open_node(), True))
                 return
         if tag in DROPPED:
-            self._dropped.append(tag)
-            if tag not in INLINE:
-                self._text.append(" ")
+            self._open.append((tag, self._open_node(), True))
+            self._text.append(" ")
             return
         if tag in INLINE:
             if tag in VOID:
@@ -173,13 +205,13 @@ class PageParser(HTMLParser):
                 return
             if tag == "a":
                 self._links += 1
-            self._open.append((tag, self._open_node()))
+            self._open.append((tag, self._open_node(), False))
             return
         if tag in VOID:
             if tag == "hr":
                 self._flush()
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self._open):
+        if tag in ("html", "body") and any(t == tag for t, *_ in self._open):
             return
         kinds, stops = CLOSES.get(tag, ((), ()))
         if kinds:
@@ -190,7 +222,7 @@ class PageParser(HTMLParser):
         parent = self._open_node()
         self.nodes[parent].kids += 1
         self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, attrs, len(self.blocks)))
-        self._open.append((tag, len(self.nodes) - 1))
+        self._open.append((tag, len(self.nodes) - 1, False))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -200,20 +232,20 @@ class PageParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self._dropped:
-            if tag in self._dropped:
-                while self._dropped.pop() != tag:
-                    pass
+        if self._open[-1][2] and self._open[-1][0] in RAW and tag != self._open[-1][0]:
             return
         for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] == tag:
+            name, _, dropped = self._open[at]
+            if name == tag:
                 self._pop_to(at)
                 return
-            if tag in INLINE and self._open[at][0] not in INLINE:
+            if dropped and (name == "template" or name == "button" and tag == "p"):
+                return
+            if tag in INLINE and name not in INLINE and not (dropped and name not in HOLDS and name not in TAG_GROUP):
                 return
 
     def handle_data(self, data):
-        if not self._dropped:
+        if not self._open[-1][2]:
             self._text.append(data)
             if self._links > 0:
                 self._linked += len(data)

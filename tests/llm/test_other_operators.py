@@ -179,6 +179,29 @@ def test_messages_give_exact_marginals():
     assert joint[1:n].sum((1, 2)) == pytest.approx(1) and joint[1:n, :, 1].sum(1) == pytest.approx(got[1:n])
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "noscript", "video", "audio", "canvas", "datalist", "option"])
+def test_an_unclosed_dropped_element_ends_with_the_element_around_it(tag):
+    said = lambda html: [text for _, text in parse(html).blocks]
+    assert said(f"<body><div><{tag}><b>no</b></div><article><p>yes</p></article></body>") == ["yes"]
+    assert said(f"<body><form><div><{tag}>no<i>no</form><p>a <{tag}><span>no</span></{tag}> b</p>") == ["a b"]
+    assert said(f"<table><tr><td>a<{tag}>no<td>b</table>c") == ["a", "b", "c"]
+
+
+def test_dropped_elements_and_formulas():
+    said = lambda html: [text for _, text in parse(html).blocks]
+    assert said("<div><svg><path d=''><text>no<p>yes</p></div>") == ["yes"]
+    assert said("<div><svg><g><text>no</text></div>yes<a>l<svg><g>no</a> m") == ["yesl m"]
+    assert said("<div><svg><foreignObject><p>no</p></foreignObject></svg>yes</div>") == ["yes"]
+    assert said("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p><p>c</p>") == ["a x=1 b", "c"]
+    assert said("<div><textarea></div><p>no</p></textarea>yes</div>") == ["yes"]
+    assert said("<div><template><div>no</div></div>no</template>yes</div>") == ["yes"]
+    assert said("<head><title>no</title><noscript><link><body><p>yes</p>") == ["yes"]
+    assert said("<head><title>no</title><p>yes</p>") == ["yes"]
+    assert said("<div><button>no<button>no</button>yes</div>") == ["yes"]
+    page = parse("<p><a href='#'>link <svg><a>no</a></a> plain</p>")
+    assert [t for _, t in page.blocks] == ["link plain"] and page.nodes[1].linked < 8
+
+
 def test_labelled_pages_are_read_right():
     model = extraction.trained_model()
     pages = [parse(h) for h in labelled_pages(200, seed=77)]
