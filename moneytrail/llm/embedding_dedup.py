@@ -19,6 +19,9 @@ WINDOW = 64
 # One-bit hashes that are concatenated to a sort key.
 BITS = 64
 SEED = 5
+# Passes go on in a label until this part of its probes, pairs right at the threshold, is found.
+RECALL = 0.99
+PROBES = 512
 
 
 def usable(vector) -> F.Column:
@@ -35,26 +38,59 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def _sort_keys(passes: int, bits: int, seed: int):
-    """Each vector once per pass with the key of the pass: the signs of its random projections."""
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the unit vectors of each label and length in a batch."""
+    for batch in batches:
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            groups.setdefault(key, []).append(i)
+        if groups:
+            sums = [_matrix(batch.column(2).take(pa.array(rows))).sum(0).tolist() for rows in groups.values()]
+            labels, sizes = zip(*groups, strict=True)
+            columns = [pa.array(labels, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sums, pa.list_(pa.float64()))]
+            yield pa.record_batch(columns, names=["label", "size", "total"])
+
+
+def _probes(threshold: float, seed: int):
+    """A vector right above the threshold for each row, in a random direction, with the id -1 - vec_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cosine = min(1.0, threshold + 1e-6)
+        for batch in batches:
+            ids, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            made = []
+            for i in range(batch.num_rows):
+                unit = _matrix(batch.column(3).slice(i, 1))[0]
+                aside = np.random.default_rng([seed, int(ids[i])]).normal(size=sizes[i])
+                aside -= unit * (aside @ unit)
+                length = np.sqrt(aside @ aside)
+                made.append((cosine * unit + (np.sqrt(1 - cosine * cosine) / length * aside if length > 0 else 0)).tolist())
+            columns = [pa.array(-1 - ids), batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.float64()))]
+            yield pa.record_batch(columns, names=["vec_id", "label", "size", "vector"])
+
+    return run
+
+
+def _sort_keys(numbers: range, bits: int, seed: int):
+    """Each vector once per pass with the key of the pass: the signs of random projections from its label's centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes = np.asarray(part.column(2).value_lengths())
+                sizes = part.column(2).to_numpy()
                 for size in np.unique(sizes).tolist():
                     mine = part.take(pa.array(np.flatnonzero(sizes == size)))
-                    unit = _matrix(mine.column(2))
-                    for number in range(passes):
+                    n = mine.num_rows
+                    aside = _matrix(mine.column(3)) - mine.column(4).flatten().to_numpy().reshape(n, -1)
+                    for number in numbers:
                         if (number, size) not in planes:
                             planes[number, size] = np.random.default_rng([seed, number, size]).normal(size=(size, bits))
-                        keys = np.packbits(unit @ planes[number, size] > 0, axis=1)
-                        n = len(unit)
+                        keys = np.packbits(aside @ planes[number, size] > 0, axis=1)
                         columns = [
                             pa.array(np.full(n, number, "i4")), mine.column(1), pa.array(np.full(n, size, "i4")),
-                            pa.array([k.tobytes() for k in keys], pa.binary()), mine.column(0), mine.column(2),
+                            pa.array([k.tobytes() for k in keys], pa.binary()), mine.column(0), mine.column(3),
                         ]
                         yield pa.record_batch(columns, names=["number", "label", "size", "key", "vec_id", "vector"])
 
@@ -99,23 +135,119 @@ def _window_pairs(window: int, threshold: float):
     return run
 
 
+def _block_pairs(threshold: float):
+    """All pairs between two blocks of a label; rows of one pair of blocks follow each other."""
+
+    def compare(key, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        ids, blocks, unit = rows.column(5).to_numpy(), rows.column(4).to_numpy(), _matrix(rows.column(6))
+        a, b = np.flatnonzero(blocks == key[2]), np.flatnonzero(blocks == key[3])
+        close = unit[a] @ unit[b].T >= threshold
+        if key[2] == key[3]:
+            close = np.triu(close, 1)
+        i, j = np.nonzero(close)
+        left, right = ids[a[i]], ids[b[j]]
+        return pa.record_batch([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            edges = np.flatnonzero((groups[1:] != groups[:-1]).any(1)) + 1
+            for first, end in zip([0, *edges], [*edges, len(groups)], strict=True):
+                key = tuple(groups[first].tolist())
+                if parts and key != last:
+                    yield compare(last, parts)
+                    parts = []
+                last = key
+                parts.append(batch.slice(first, end - first))
+        if parts:
+            yield compare(last, parts)
+
+    return run
+
+
+def _all_pairs(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of the vectors of ``labels`` (label, size, n), compared in blocks."""
+    per = F.least(F.lit(4096), F.greatest(F.lit(256), F.ceil(F.col("n") / 64)))
+    sized = rows.join(labels.filter("n > 1").select("label", "size", F.ceil(F.col("n") / per).alias("blocks")), ["label", "size"])
+    mine = sized.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    both = mine.select("label", "size", "block", "vec_id", "vector", other)
+    keys = ["label", "size", "bi", "bj"]
+    dealt = both.select(
+        "label", F.col("size").cast("bigint").alias("size"), F.least("block", "other").alias("bi"),
+        F.greatest("block", "other").alias("bj"), "block", "vec_id", "vector",
+    ).repartition(partitions(rows), *keys).sortWithinPartitions(*keys)
+    return materialize(dealt.mapInArrow(_block_pairs(threshold), "src bigint, dst bigint"), "all-pairs")
+
+
 def near_pairs(
     rows: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = SEED
 ) -> DataFrame:
     """Distinct pairs (src < dst) of vector ids with one label and a cosine of at least ``threshold``.
 
-    ``rows`` holds vec_id, label and vector, all usable.  In each pass the vectors of a label are
-    ordered by their key across the whole cluster, and each is compared with a fixed number of
-    neighbours, so the work grows with the rows whatever the size of a label or group.  A pair that
-    no pass brings together is missed.  Ties are broken by a hash of their own in every pass.
+    ``rows`` holds vec_id (0 or more), label and vector, all usable.  Labels with no more rows than
+    the windows of all passes hold have all their pairs compared, in blocks.  Others go through rounds
+    of ``passes`` passes: the vectors of a label are ordered by their key across the whole cluster,
+    and each is compared with a fixed number of neighbours.  Ties are broken by a hash of their own in
+    every pass.  Probes, vectors right at the threshold from some of the label's, run along; rounds go
+    on until ``RECALL`` of them are found.  A label that would need as many comparisons as it has
+    pairs has all of them compared instead.
     """
+    label = ["label", "size"]
     kind = rows.schema["vector"].dataType.simpleString()
-    keyed = rows.select("vec_id", "label", "vector").mapInArrow(
-        _sort_keys(passes, bits, seed), f"number int, label bigint, size int, key binary, vec_id bigint, vector {kind}"
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = rows.select("vec_id", "label", F.size("vector").alias("size"), F.col("vector").cast(kind).alias("vector"))
+    counts = materialize(rows.groupBy(*label).agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    exact, per_round = F.col("n") <= 2 * passes * window, passes * window
+    found = _all_pairs(rows, counts.filter(exact), threshold)
+    large = counts.filter(~exact)
+    if large.isEmpty():
+        return found
+    mine = rows.join(large, label)
+    sums = mine.select(*label, "vector").mapInArrow(_centres, "label bigint, size int, total array<double>")
+    means = sums.select(*label, F.posexplode("total").alias("at", "x")).groupBy(*label, "at").agg(F.sum("x").alias("x"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"])
+    means = means.groupBy(*label).agg(centre.alias("total"))
+    centred = large.join(means, label).withColumn("centre", F.transform("total", lambda x: x / F.col("n"))).drop("total")
+    left = materialize(centred, "large-labels")
+
+    some = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col("n")) < F.least(F.lit(PROBES), F.col("n") / 16)
+    probes = mine.filter(some).select("vec_id", *label, "vector").mapInArrow(
+        _probes(threshold, seed), "vec_id bigint, label bigint, size int, vector array<double>"
     )
-    order = ["number", "label", "size", "key", F.xxhash64("number", "vec_id"), "vec_id"]
-    ordered = keyed.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
-    found = ordered.mapInArrow(_window_pairs(window, threshold), "src bigint, dst bigint")
+    probes = materialize(probes.withColumn("vector", F.col("vector").cast(kind)), "probes")
+    asked = materialize(probes.groupBy(*label).agg(F.count(F.lit(1)).alias("asked")), "asked")
+    hits, done = None, 0
+    while True:
+        run = rows.unionByName(probes).join(left.select(*label, "centre"), label).select("vec_id", *label, "vector", "centre")
+        keyed = run.mapInArrow(
+            _sort_keys(range(done * passes, (done + 1) * passes), bits, seed),
+            f"number int, label bigint, size int, key binary, vec_id bigint, vector {kind}",
+        )
+        order = ["number", *label, "key", F.xxhash64("number", "vec_id"), "vec_id"]
+        ordered = keyed.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
+        pairs = materialize(ordered.mapInArrow(_window_pairs(window, threshold), "src bigint, dst bigint").distinct(), "near-pairs")
+        found = found.unionByName(pairs.filter("src >= 0"))
+        done += 1
+        hit = pairs.filter("src < 0 AND dst = -1 - src").select(F.col("src").alias("vec_id"))
+        hits = hit if hits is None else hits.unionByName(hit)
+        got = probes.join(hits.distinct(), "vec_id").groupBy(*label).agg(F.count(F.lit(1)).alias("got"))
+        recall = F.coalesce(F.col("got") / F.col("asked"), F.lit(0.0))
+        state = left.join(asked, label, "left").join(got, label, "left").withColumn("recall", recall).drop("asked", "got")
+        state = materialize(state.filter(F.col("recall") < RECALL), "open-labels")
+        if state.isEmpty():
+            break
+        # Rounds that the measured recall lets expect, against all pairs.
+        more = F.when(F.col("recall") > 0, F.log(F.lit(1 - RECALL)) / F.log1p(-F.col("recall"))).otherwise(F.col("n")) * done
+        dear = F.greatest(more, F.lit(done + 1.0)) * per_round >= F.col("n") / 2
+        found = found.unionByName(_all_pairs(rows, state.filter(dear), threshold))
+        left = materialize(state.filter(~dear).drop("recall"), "large-labels")
+        if left.isEmpty():
+            break
     return materialize(found.distinct(), "near-pairs")
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,21 @@ def test_equal_vectors_all_link(spark):
     assert (got[401], got[402], got[403]) == ((1, 0, False), (0, 402, True), (402, 0, False))
 
 
+def test_links_of_a_narrow_cone_are_found(spark):
+    r = np.random.default_rng(4)
+    rows = np.eye(64)[0] + r.normal(scale=np.sqrt(0.05 / 0.95 / 63), size=(20_000, 64)) * (np.arange(64) > 0)
+    rows /= np.linalg.norm(rows, axis=1)[:, None]  # cosines of about 0.95 in one label
+    aside = r.normal(size=(1000, 64))
+    aside -= rows[:1000] * (aside * rows[:1000]).sum(1)[:, None]
+    near = 0.981 * rows[:1000] + np.sqrt(1 - 0.981**2) * aside / np.linalg.norm(aside, axis=1)[:, None]
+    flat = pa.array(np.concatenate([rows, near]).ravel())
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(21_001, dtype="i4") * 64), flat)
+    made = pa.table({"vec_id": pa.array(range(21_000)), "label": pa.array([1] * 21_000), "embedding": vectors})
+    got = {x["vec_id"]: x for x in embedding_dedup.dedup_embeddings(spark.createDataFrame(made)).collect()}
+    assert sum(got[20_000 + i]["component_id"] <= i for i in range(1000)) >= 985
+    assert sum(x["n_links"] > 0 for x in got.values()) < 10_000
+
+
 def test_turn_digest_is_sha256(spark):
     r = chat.op4_chat_formatting(spark, "/root/testdata/sf0.001").filter("conv_id = -7").first()
     said = "\\### Assistant: </turn> ok"
