@@ -110,6 +110,21 @@ def test_residual_pairs_are_compared(spark, rows, monkeypatch):
     assert sorted(x for x in got if x[0] is not None) == components(rows, 4, 80)
 
 
+def test_contained_documents_link(spark):
+    # A document and the same with a passage at its end: similarity 0.80 to 0.82, and no other pair near.
+    r = random.Random(9)
+    found = []
+    for i in range(500):
+        n, part = r.randrange(500, 1000), r.uniform(0.80, 0.82)
+        text = [f"w{i}x{j}" for j in range(int(n / part))]
+        found += [(2 * i, " ".join(text[:n + 4]), None), (2 * i + 1, " ".join(text), None)]
+    got = [tuple(x) for x in minhash.near_duplicates(table(spark, found)).collect()]
+    shingler = Shingler(5)
+    linked = {a[0] for a, b in zip(found[::2], found[1::2], strict=True) if similar(shingler(a[1]), shingler(b[1]), 80)}
+    assert len(linked) > 450
+    assert {x[0] - 1 for x in got if not x[3]} == linked
+
+
 def line_want(rows, at_least=3):
     keys = lambda t: [x.strip(SPACE).encode().lower() for x in (t or "").split("\n")]
     holders = defaultdict(set)
