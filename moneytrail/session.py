@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts and index blocks are wide rows: an Arrow batch ends at this size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 _local_scratch: str | None = None
