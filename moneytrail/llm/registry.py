@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, divergence, embedding_dedup, exact_dedup, extraction, line_dedup, minhash, mixing, packing, pieces, quality, sharding
+from . import chat, divergence, embedding_dedup, exact_dedup, extraction, line_dedup, minhash, mixing, packing, pieces, quality, search, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_search": search.op11_search,
     "op12_pieces": pieces.op12_pieces,
     "op13_divergence": divergence.op13_divergence,
 }
@@ -24,6 +25,7 @@ SQL = {
     "op3_mixing": mixing.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_search": search.OP11_SQL,
     "op13_divergence": divergence.OP13_SQL,
 }
 
