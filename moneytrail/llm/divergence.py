@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,15 @@ from .common import table
 # Documents that a kept term (and so each of its prefixes) occurs in at least.
 LEAST_DOCUMENTS = 3
 # Bytes of the first prefix; each level doubles them.
-FIRST_PREFIX = 4
+FIRST_PREFIX = 8
 # Prefixes that go on are told to the tasks by a table of so many bits (8 MB) at every size of the corpus:
 # two prefixes may share a bit, then one too many goes on; a level never loses one that should.
 FILTER_BITS = 26
 TERM_RANKS = 200
 ONE = 1_000_000_000
-# Rows of counts that a task gathers before it hands them on.
-GATHERED = 400_000
+# Distinct terms of documents, with repeats between them, in a block of one lang and in all open blocks of a task.
+BLOCK_TERMS = 1 << 18
+HELD_TERMS = 1 << 20
 PROFILES_PER_BLOCK = 2048
 END = b"\0"  # closes a whole term; no term holds it
 
@@ -37,100 +39,111 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to (lang, source, terms, counts): distinct terms of each document, in one string."""
+class _Gathered:
+    """Documents of one lang that come together in a task, with one dictionary of their terms."""
+
+    def __init__(self, lang: str):
+        self.lang, self.numbers = lang, {}
+        self.sources, self.sizes, self.terms, self.counts = [], [], [], []
+
+    def add(self, source: str, found: Counter) -> None:
+        numbers = self.numbers
+        self.sources.append(source)
+        self.sizes.append(len(found))
+        self.terms += [numbers.setdefault(t, len(numbers)) for t in found]
+        self.counts += found.values()
+
+    def row(self) -> pa.RecordBatch:
+        columns = [
+            pa.array([self.lang], pa.string()), pa.array([self.sources], pa.list_(pa.string())),
+            pa.array([self.sizes], pa.list_(pa.int32())), pa.array([b" ".join(self.numbers)], pa.binary()),
+            pa.array([np.array(self.terms, "<i4").tobytes()], pa.binary()), pa.array([np.array(self.counts, "<i8").tobytes()], pa.binary()),
+        ]
+        return pa.record_batch(columns, names=["lang", "sources", "sizes", "dictionary", "terms", "counts"])
+
+
+BLOCK_SCHEMA = "lang string, sources array<string>, sizes array<int>, dictionary binary, terms binary, counts binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) to blocks of documents of one lang: their distinct terms by number, and how often each occurs."""
+    open_blocks: dict[str, _Gathered] = {}
+    held = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            terms, counts = [], []
-            for text in part.column(2).to_pylist():
-                found = Counter(terms_of(text))
-                terms.append(b" ".join(found))
-                counts.append(np.fromiter(found.values(), "<i8", len(found)).astype("<i4" if len(text or "") < 1 << 31 else "<i8").tobytes())
-            yield pa.record_batch(
-                [part.column(0), part.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-                names=["lang", "source", "terms", "counts"],
-            )
-
-
-class _Live:
-    """Which prefixes of the level before go on, by the bits of the filter."""
-
-    def __init__(self, pages: dict[int, bytes] | None, length: int):
-        self.length, self.pages = length, pages
-
-    def terms(self, lang: bytes, terms: list[bytes]) -> list[bytes]:
-        from zlib import crc32
-
-        if self.pages is None:
-            return terms
-        pages, length, seed, mask = self.pages, self.length, crc32(lang + END), (1 << FILTER_BITS) - 1
-        found = []
-        for term in terms:
-            slot = crc32((term + END)[:length], seed) & mask
-            page = pages.get(slot >> 15)
-            if page is not None and page[(slot & 32767) >> 3] >> (slot & 7) & 1:
-                found.append(term)
-        return found
-
-
-def _prefix_counts(live: _Live, length: int):
-    """(lang, prefix, documents): every document counts once for each of its prefixes that are still open."""
+            for lang, source, text in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns], strict=True):
+                block = open_blocks.get(lang)
+                if block is None:
+                    block = open_blocks[lang] = _Gathered(lang)
+                block.add(source, found := Counter(terms_of(text)))
+                held += len(found) + 1
+                if len(block.terms) + len(block.sizes) > BLOCK_TERMS:
+                    held -= len(block.terms) + len(block.sizes)
+                    yield open_blocks.pop(lang).row()
+            if held > HELD_TERMS:  # many langs with a few documents each
+                yield from [b.row() for b in open_blocks.values()]
+                open_blocks, held = {}, 0
+    yield from [b.row() for b in open_blocks.values()]
+
+
+def _open_prefixes(lang: str, terms: list[bytes], length: int, before: int, pages: dict[int, bytes] | None) -> list[bytes | None]:
+    """The first ``length`` bytes of each term, None where the level before dropped it.
+
+    ``pages`` are the bits of the prefixes of ``before`` bytes that went on; without them all do.
+    """
+    whole = [t + END for t in terms]
+    if pages is None:
+        return [w[:length] for w in whole]
+    seed, mask, none, found = zlib.crc32(lang.encode() + END), (1 << FILTER_BITS) - 1, bytes(4096), []
+    for w in whole:
+        slot = zlib.crc32(w[:before], seed) & mask
+        found.append(w[:length] if pages.get(slot >> 15, none)[(slot & 32767) >> 3] >> (slot & 7) & 1 else None)
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, Counter] = defaultdict(Counter)
 
-        def drained():
-            langs = [k.decode() for k, c in counts.items() for _ in range(len(c))]
-            prefixes = [p for c in counts.values() for p in c]
-            numbers = [n for c in counts.values() for n in c.values()]
-            counts.clear()
-            columns = [pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(numbers, pa.int64())]
-            return pa.record_batch(columns, names=["lang", "prefix", "documents"])
+def _prefix_counts(length: int, before: int, pages: dict[int, bytes] | None):
+    """(lang, prefix, documents): every document counts once for each of its prefixes that are still open."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lang = lang.encode()
-                counts[lang].update({(t + END)[:length] for t in live.terms(lang, terms.split(b" "))} if terms else ())
-            if sum(map(len, counts.values())) > GATHERED:
-                yield drained()
-        yield drained()
+            for lang, sizes, dictionary, terms in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                numbers: dict[bytes, int] = {}
+                opened = _open_prefixes(lang, dictionary.split(), length, before, pages)
+                number = np.array([-1 if p is None else numbers.setdefault(p, len(numbers)) for p in opened], np.int64)
+                if not numbers:
+                    continue
+                prefix = number[np.frombuffer(terms, "<i4")]
+                document = np.repeat(np.arange(len(sizes)), sizes)
+                pairs = np.unique((document * len(numbers) + prefix)[prefix >= 0])
+                counts = np.bincount(pairs % len(numbers), minlength=len(numbers))
+                columns = [pa.array([lang] * len(numbers), pa.string()), pa.array(list(numbers), pa.binary()), pa.array(counts)]
+                yield pa.record_batch(columns, names=["lang", "prefix", "documents"])
 
     return run
 
 
-def _term_counts(live: _Live):
-    """(lang, source, term, count, documents) of the terms whose prefixes went on to the end."""
+def _term_counts(before: int, pages: dict[int, bytes]):
+    """(lang, source, term, count) of the terms whose prefixes went on to the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
-
-        def drained():
-            rows = [(*key, t, *n) for key, found in gathered.items() for t, n in found.items()]
-            gathered.clear()
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.record_batch(arrays, names=["lang", "source", "term", "count", "documents"])
-
         for batch in batches:
-            for lang, source, terms, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if not terms:
+            for lang, sources, sizes, dictionary, terms, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                split = dictionary.split()
+                if not split:
                     continue
-                split = terms.split(b" ")
-                numbers = np.frombuffer(counts, "<i4" if len(counts) == 4 * len(split) else "<i8").tolist()
-                times = dict(zip(split, numbers, strict=True))
-                own = gathered[lang, source]
-                for term in live.terms(lang.encode(), split):
-                    seen = own.get(term)
-                    if seen is None:
-                        own[term] = [times[term], 1]
-                    else:
-                        seen[0] += times[term]
-                        seen[1] += 1
-            if sum(map(len, gathered.values())) > GATHERED:
-                yield drained()
-        yield drained()
+                live = np.array([p is not None for p in _open_prefixes(lang, split, 1, before, pages)])
+                names, source = np.unique(np.array(sources, object), return_inverse=True)
+                term = np.frombuffer(terms, "<i4")
+                kept = live[term]
+                key = (np.repeat(source, sizes) * len(split) + term)[kept]
+                found, place = np.unique(key, return_inverse=True)
+                sums = np.zeros(len(found), np.int64)
+                np.add.at(sums, place, np.frombuffer(counts, "<i8")[kept])
+                columns = [
+                    pa.array([lang] * len(found), pa.string()), pa.array(names[found // len(split)], pa.string()),
+                    pa.array([split[i] for i in (found % len(split)).tolist()], pa.binary()), pa.array(sums),
+                ]
+                yield pa.record_batch(columns, names=["lang", "source", "term", "count"])
 
     return run
 
@@ -148,26 +161,26 @@ def _filter_pages(prefixes: DataFrame) -> dict[int, bytes]:
 def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS, first_prefix: int = FIRST_PREFIX) -> DataFrame:
     """(lang, source, term, count) of all terms in at least ``least`` documents of their lang.
 
-    ``documents`` has rows as ``_documents`` makes them.  Level by level, prefixes of twice as many bytes
+    ``documents`` has rows as ``_blocks`` makes them.  Level by level, prefixes of twice as many bytes
     are counted by distinct documents, and those below ``least`` are dropped with all that starts with
     them, until every prefix that is left is a whole term (or ends one).
     """
-    live, length = _Live(None, 0), first_prefix
+    pages, before, length = None, 0, first_prefix
     while True:
-        counted = documents.select("lang", "terms").mapInArrow(_prefix_counts(live, length), "lang string, prefix binary, documents bigint")
+        counted = documents.select("lang", "sizes", "dictionary", "terms").mapInArrow(
+            _prefix_counts(length, before, pages), "lang string, prefix binary, documents bigint"
+        )
         summed = counted.groupBy("lang", "prefix").agg(F.sum("documents").alias("documents"))
         prefixes = materialize(summed.filter(F.col("documents") >= least).select("lang", "prefix"), "prefixes")
-        live = _Live(_filter_pages(prefixes), length)
+        pages, before = _filter_pages(prefixes), length
         if prefixes.filter(F.substring("prefix", -1, 1) != F.lit(bytearray(END))).isEmpty():
             break
         length *= 2
-    schema = "lang string, source string, term binary, count bigint, documents bigint"
-    counted = documents.select("lang", "source", "terms", "counts").mapInArrow(_term_counts(live), schema)
-    by_source = counted.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
-    by_source = materialize(by_source, "term-counts")
-    kept = by_source.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
-    kept = kept.select("lang", "term")
-    return materialize(by_source.join(kept, ["lang", "term"]).select("lang", "source", "term", "count"), "kept-terms")
+    # Only whole terms are left, each in enough documents; some more share their bits and go in the join.
+    kept = prefixes.select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("term"))
+    counted = documents.mapInArrow(_term_counts(before, pages), "lang string, source string, term binary, count bigint")
+    summed = counted.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+    return materialize(summed.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "count"), "kept-terms")
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -259,9 +272,9 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TE
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     plain = docs.select(text("lang"), text("source"), text("text"))
-    documents = plain.mapInArrow(_documents, "lang string, source string, terms binary, counts binary")
-    documents = materialize(documents, "document-terms")
-    groups = materialize(documents.select("lang", "source").distinct(), "groups")
+    documents = materialize(plain.mapInArrow(_blocks, BLOCK_SCHEMA), "document-terms")
+    groups = documents.select("lang", F.explode(F.array_distinct("sources")).alias("source"))
+    groups = materialize(groups.distinct(), "groups")
     kept = kept_terms(documents, least, first_prefix)
     by_term = materialize(kept.groupBy("lang", "term").agg(F.sum("count").alias("lang_count")), "lang-terms")
     langs = by_term.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_count").alias("lang_size"))
