@@ -1,4 +1,9 @@
-"""Time-ordered payment chains and closed rings."""
+"""Time-ordered payment chains and closed rings.
+
+A chain that starts at ``t`` must end by ``t + hours``, its deadline.  Payments are listed once for every
+slot of deadlines they may serve, so a chain meets the payments that may follow it in an equi-join on
+(slot, account), and a busy account's payments lie in many small groups.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .windows import MICROS_PER_HOUR, micros
 
+SLOT_HOURS = 12
+
 
 def trim_to_rings(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Drop payments that cannot lie on a ring: both ends must pay and be paid."""
@@ -21,95 +28,111 @@ def trim_to_rings(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return edges
 
 
-def _steps(payments: DataFrame, slot_us: int) -> DataFrame:
-    """Payments keyed by payer and time slot, the side that a growing path is joined to."""
-    return payments.select(
-        F.col("from_account").alias("node"),
-        F.floor(F.col("us") / slot_us).alias("slot"),
-        F.col("to_account").alias("next_node"),
-        F.col("us").alias("next_us"),
-        F.col("transaction_id").alias("next_id"),
+def _transfers(payments: DataFrame) -> DataFrame:
+    return payments.filter(F.col("from_account") != F.col("to_account")).select(
+        "transaction_id", "from_account", "to_account", F.unix_micros("ts").alias("us")
     )
 
 
-def _extend(paths: DataFrame, steps: DataFrame, slot_us: int, closing_only: bool = False) -> DataFrame:
-    """Every path with each payment that can follow it in time.
-
-    Joining on (account, time slot) keeps a busy account's payments in many small groups.
-    """
-    slots = F.sequence(F.floor(F.col("last_us") / slot_us), F.floor(F.col("deadline") / slot_us))
-    opened = paths.withColumn("slot", F.explode(slots))
-    if closing_only:
-        opened = opened.withColumn("next_node", F.col("origin"))
-    keys = ["node", "slot", "next_node"] if closing_only else ["node", "slot"]
-    grown = opened.join(steps, keys).filter(F.col("next_us").between(F.col("last_us"), F.col("deadline")))
-    return grown.select(
-        "origin",
-        "start_us",
-        "deadline",
-        F.col("next_node").alias("node"),
-        F.col("next_us").alias("last_us"),
-        F.concat("ids", F.array("next_id")).alias("ids"),
-        F.concat("accounts", F.array("node")).alias("accounts"),
-    )
+def _by_slot(edges: DataFrame, hours: float, slot_us: int) -> DataFrame:
+    """Each payment with every slot of deadlines of which a chain may hold it."""
+    slots = F.sequence(F.floor(F.col("us") / slot_us), F.floor((F.col("us") + micros(hours)) / slot_us))
+    return edges.select(F.explode(slots).alias("slot"), "transaction_id", "from_account", "to_account", "us")
 
 
-def _first_steps(edges: DataFrame, hours: float) -> DataFrame:
+def _first_steps(edges: DataFrame, hours: float, slot_us: int) -> DataFrame:
+    deadline = F.col("us") + micros(hours)
     return edges.select(
-        F.col("from_account").alias("origin"),
-        F.col("us").alias("start_us"),
-        (F.col("us") + micros(hours)).alias("deadline"),
-        F.col("to_account").alias("node"),
-        F.col("us").alias("last_us"),
-        F.array("transaction_id").alias("ids"),
-        F.array("from_account").alias("accounts"),
+        F.floor(deadline / slot_us).alias("slot"), F.col("from_account").alias("origin"), F.col("us").alias("start_us"),
+        deadline.alias("deadline"), F.col("to_account").alias("node"), F.col("us").alias("last_us"),
+        F.array("transaction_id").alias("ids"), F.array("from_account").alias("accounts"),
     )
 
 
-def _transfers(payments: DataFrame) -> DataFrame:
-    return payments.filter(F.col("from_account") != F.col("to_account")).select(
-        "transaction_id", "from_account", "to_account", F.unix_micros("ts").alias("us")
+def _extend(paths: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every path with each payment that can follow it in time."""
+    steps = listed.select(
+        "slot", F.col("from_account").alias("node"), F.col("to_account").alias("next_node"), F.col("us").alias("next_us"),
+        F.col("transaction_id").alias("next_id"),
+    )
+    grown = paths.join(steps, ["slot", "node"]).filter(F.col("next_us").between(F.col("last_us"), F.col("deadline")))
+    return grown.select(
+        "slot", "origin", "start_us", "deadline", F.col("next_node").alias("node"), F.col("next_us").alias("last_us"),
+        F.concat("ids", F.array("next_id")).alias("ids"), F.concat("accounts", F.array("node")).alias("accounts"),
     )
 
 
-def payment_chains(payments: DataFrame, hours: float, slot_hours: float = 6) -> DataFrame:
+def payment_chains(payments: DataFrame, hours: float, slot_hours: float = SLOT_HOURS) -> DataFrame:
     """Pairs of payments where the payee pays on to a third account within ``hours``."""
     slot_us = int(slot_hours * MICROS_PER_HOUR)
     edges = _transfers(payments)
-    grown = _extend(_first_steps(edges, hours), _steps(edges, slot_us), slot_us)
+    grown = _extend(_first_steps(edges, hours, slot_us), _by_slot(edges, hours, slot_us))
     return grown.filter(F.col("node") != F.col("origin")).select(
         "origin", "node", F.col("ids")[0].alias("first_id"), F.col("ids")[1].alias("second_id"),
         (F.col("last_us") - F.col("start_us")).alias("span_us"),
     )
 
 
+def return_frontier(listed: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(slot, origin, node, latest_us): until when money may leave an account and still come back to the origin.
+
+    Goes backward from the payments that close a ring, one payment a round, and keeps the latest time
+    of each account only, so it has a row for each pair of accounts and slot, not one for each way.
+    Rounds end when no time gets later, or after as many payments as a ring has behind its first one.
+    ``listed`` has payments by slot; chains of a slot hold no others.
+    """
+    keys = ["slot", "origin", "node"]
+    inward = listed.select("slot", F.col("to_account").alias("node"), F.col("from_account").alias("payer"), "us")
+    closing = listed.groupBy("slot", F.col("to_account").alias("origin"), F.col("from_account").alias("node"))
+    known = materialize(closing.agg(F.max("us").alias("latest_us")).withColumn("later", F.lit(True)), "frontier")
+    hops = 1
+    while (max_hops is None or hops < max_hops - 1) and not (changed := known.filter("later")).isEmpty():
+        hops += 1
+        back = changed.join(inward, ["slot", "node"]).filter("us <= latest_us AND payer <> origin")
+        moved = back.select("slot", "origin", F.col("payer").alias("node"), F.lit(None).cast("bigint").alias("was"), F.col("us").alias("latest_us"))
+        held = known.select(*keys, F.col("latest_us").alias("was"), "latest_us")
+        best = held.unionByName(moved).groupBy(*keys).agg(F.max("was").alias("was"), F.max("latest_us").alias("latest_us"))
+        later = F.col("was").isNull() | (F.col("latest_us") > F.col("was"))
+        known = materialize(best.select(*keys, "latest_us", later.alias("later")), "frontier")
+    return known.select(*keys, "latest_us")
+
+
 def circular_transfers(
     payments: DataFrame,
     hours: float = 48,
     minimum: int = 3,
     max_hops: int | None = None,
-    slot_hours: float = 6,
+    slot_hours: float = SLOT_HOURS,
 ) -> DataFrame:
     """Rings of at least ``minimum`` payments in time order, all within ``hours`` of the first.
 
     No account repeats.  Rotations of one ring are one result, kept with its earliest start.
-    ``max_hops=None`` goes on until no path can grow.
+    ``max_hops=None`` goes on until no path can grow.  A path grows only from accounts out of which
+    money can still come back to its origin in time (``return_frontier``).
     """
     slot_us = int(slot_hours * MICROS_PER_HOUR)
     edges = trim_to_rings(_transfers(payments))
-    steps = _steps(edges, slot_us)
-    paths, rings, hops = _first_steps(edges, hours), [], 1
-    while True:
+    listed = materialize(_by_slot(edges, hours, slot_us), "listed")
+    frontier = return_frontier(listed, max_hops)
+
+    closed = F.col("node") == F.col("origin")
+
+    def returning(paths: DataFrame) -> DataFrame:
+        """Paths that are closed or can still be."""
+        judged = paths.join(frontier, ["slot", "origin", "node"], "left")
+        return judged.filter(closed | (F.col("last_us") <= F.col("latest_us"))).drop("latest_us")
+
+    paths, rings, hops = returning(_first_steps(edges, hours, slot_us)), [], 1
+    while max_hops is None or hops < max_hops:
         hops += 1
-        last = max_hops is not None and hops >= max_hops
-        grown = materialize(_extend(paths, steps, slot_us, closing_only=last), "paths")
-        rings.append(grown.filter((F.col("node") == F.col("origin")) & F.lit(hops >= minimum)))
-        if last:
-            break
-        paths = grown.filter(~F.array_contains("accounts", F.col("node")))
+        grown = _extend(paths, listed).filter(closed | ~F.array_contains("accounts", F.col("node")))
+        grown = materialize(returning(grown), "paths")
+        if hops >= minimum:
+            rings.append(grown.filter(closed))
+        paths = grown.filter(~closed)
         if paths.isEmpty():
             break
-    found = rings[0]
+    found = rings[0] if rings else paths.filter(F.lit(False))
     for more in rings[1:]:
         found = found.unionByName(more)
     smallest = F.array_position("ids", F.array_min("ids")).cast("int")

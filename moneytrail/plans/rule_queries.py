@@ -11,10 +11,10 @@ from .feature_queries import ACCOUNT_RELATIONS, ACCOUNTS, BOUNDARY, stored_accou
 from .oracle import sql
 from .table_queries import TERMS
 
-# Settings of the registered queries: small amounts, and a ring window that suits the ledger's density.
+# Settings of the registered queries: a boundary that suits the small amounts of the ledger.
 CONFIG = {
     rule_config.SPLITTING: {"below_reporting_boundary": BOUNDARY},
-    rule_config.CIRCULAR: {"time_window_hours": 12},
+    rule_config.CIRCULAR: {},
     rule_config.PRIVILEGE_CHANGE: {},
 }
 FAN_HOURS, FAN_MINIMUM = 24, 5
@@ -71,7 +71,7 @@ def paired_changes(s):
 
 
 def circular_results(s):
-    found = cycles.circular_transfers(s.ledger(), 12, 3)
+    found = cycles.circular_transfers(s.ledger(), 48, 3)
     return found.select(
         "account_id", F.array_join("transaction_ids", ";").alias("ids"), F.array_join("accounts", ";").alias("accounts"),
         F.col("transaction_count").cast("bigint").alias("n"), F.unix_micros("window_start").alias("start_us"),
@@ -80,7 +80,7 @@ def circular_results(s):
 
 
 def payment_chains(s):
-    return cycles.payment_chains(s.ledger(), 6)
+    return cycles.payment_chains(s.ledger(), 48)
 
 
 def explanations(s):
@@ -189,7 +189,7 @@ def pattern_recall(s):
         F.col("scenario_id").alias("alert_id"), F.col("_a").alias("account_id")
     )
     payers, payees = materialize(fan_out(s), "fan_out"), materialize(fan_in(s), "fan_in")
-    rings = cycles.circular_transfers(s.ledger(), 12, 3).select(F.explode("accounts").alias("hub"))
+    rings = cycles.circular_transfers(s.ledger(), 48, 3).select(F.explode("accounts").alias("hub"))
     both = windows.gather_scatter(payees, payers, 48)
     detections = None
     for name, df in zip(kinds, (rings, payers, payees, both)):
@@ -229,7 +229,7 @@ RINGS = {
         SELECT from_account, us, to_account, us, [transaction_id], [from_account] FROM edges
         UNION ALL SELECT p.origin, p.start_us, e.to_account, e.us, list_append(p.ids, e.transaction_id),
             list_append(p.accs, p.node) FROM paths p JOIN edges e ON e.from_account = p.node AND e.us >= p.last_us
-            AND e.us <= p.start_us + 43200000000 WHERE p.node <> p.origin AND NOT list_contains(p.accs, p.node)""",
+            AND e.us <= p.start_us + 172800000000 WHERE p.node <> p.origin AND NOT list_contains(p.accs, p.node)""",
     "rings": """SELECT origin AS account_id, array_to_string(ids, ';') AS ids, array_to_string(accs, ';') AS accounts,
         CAST(len(ids) AS BIGINT) AS n, start_us, last_us AS end_us, accs FROM (SELECT *, row_number() OVER (PARTITION BY
             list_concat(ids[list_position(ids, list_min(ids)):], ids[:list_position(ids, list_min(ids)) - 1])
@@ -314,7 +314,7 @@ QUERIES = {
         sql(
             "SELECT a.from_account AS origin, b.to_account AS node, a.transaction_id AS first_id, b.transaction_id AS "
             "second_id, b.us - a.us AS span_us FROM e a JOIN e b ON b.from_account = a.to_account AND b.us >= a.us "
-            "AND b.us <= a.us + 21600000000 AND b.to_account <> a.from_account",
+            "AND b.us <= a.us + 172800000000 AND b.to_account <> a.from_account",
             "ledger", e=RINGS["edges"],
         ),
     ),
