@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,12 +236,17 @@ def walk_choice(start, walk, step, degree, seed: int):
 
 
 def random_walks(
-    accounts: DataFrame, undirected: DataFrame, walks: int = 200, length: int = 30, seed: int = 42
+    accounts: DataFrame, undirected: DataFrame, walks: int = 200, length: int = 30, seed: int = 42, p: float = 1.0, q: float = 1.0
 ) -> DataFrame:
-    """(start, walk, path): ``walks`` uniform walks of up to ``length`` accounts from every account.
+    """(start, walk, path): ``walks`` walks of up to ``length`` accounts from every account.
 
     A step is one equi join on (account, neighbour number).  The number is spread by a hash, so the
     walks standing on a hub are spread too, and a row carries the degree of where it goes next.
+
+    With ``p`` or ``q`` other than 1 a step depends on the account before: going back weighs 1 / p,
+    staying among its neighbours 1, going away from it 1 / q.  Such steps are drawn by rejection: a
+    uniform neighbour is proposed, looked up among the neighbours of the account before, and taken with
+    its weight over the largest one; walks that took none propose again.
     """
     numbered = positions(undirected.select("src", "dst"), ["src"], [F.col("dst")], "n")
     sizes = undirected.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("next_degree"))
@@ -258,30 +265,151 @@ def random_walks(
         F.array("account_id").alias("path"),
     )
     for step in range(1, length):
+        if step > 1 and (p, q) != (1.0, 1.0):
+            state = _biased_step(materialize(state, "walks"), links, step, seed, p, q)
+            continue
         keyed = state.withColumn(
             "choice", F.when(F.col("degree") > 0, walk_choice(F.col("start"), F.col("walk"), step, F.col("degree"), seed))
         )
-        state = keyed.join(links, ["node", "choice"], "left").select(
-            "start",
-            "walk",
-            F.coalesce("next", "node").alias("node"),
-            F.coalesce("next_degree", F.lit(0)).alias("degree"),
-            F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
-        )
+        state = _moved(keyed.join(links, ["node", "choice"], "left"))
         if step % 6 == 0:
             state = materialize(state, "walks")
     return state.select("start", "walk", "path")
 
 
-def embed_walks(walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42) -> DataFrame:
-    """(account_id, vector): log co-occurrence counts within ``window`` steps, summed with hashed signs.
+def _moved(proposed: DataFrame) -> DataFrame:
+    return proposed.select(
+        "start",
+        "walk",
+        F.coalesce("next", "node").alias("node"),
+        F.coalesce("next_degree", F.lit(0)).alias("degree"),
+        F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
+    )
+
+
+def _biased_step(state: DataFrame, links: DataFrame, step: int, seed: int, p: float, q: float) -> DataFrame:
+    """One step of all walks; the share that proposes again shrinks by the same factor in every round."""
+    ways = links.select(F.col("node").alias("before"), F.col("next").alias("known")).withColumn("near", F.lit(True))
+    going = state.filter(F.col("degree") > 0).withColumn("before", F.element_at("path", -2))
+    done = [state.filter(F.col("degree") == 0)]
+    most, tried = max(1 / p, 1.0, 1 / q), 0
+    while not going.isEmpty():
+        name = f"{step}.{tried}"
+        drawn = going.withColumn("choice", walk_choice(F.col("start"), F.col("walk"), name, F.col("degree"), seed))
+        met = drawn.join(links, ["node", "choice"]).withColumnRenamed("next", "known").join(ways, ["before", "known"], "left")
+        weight = F.when(F.col("known") == F.col("before"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+        luck = walk_choice(F.col("start"), F.col("walk"), name + ".luck", F.lit(1 << 30), seed) / float(1 << 30)
+        met = materialize(met.withColumn("taken", luck * most < weight), "proposed")
+        done.append(_moved(met.filter("taken").withColumnRenamed("known", "next")))
+        going = met.filter("NOT taken").select("start", "walk", "node", "degree", "path", "before")
+        tried += 1
+    return _union(done)
+
+
+# --- skip-gram --------------------------------------------------------------------------
+
+# Accounts of one block: a task holds the vectors of two blocks and the pairs between them.
+BLOCK_ACCOUNTS = 1024
+NEGATIVES = 5
+
+
+def walk_pairs(walks: DataFrame, window: int = 10) -> DataFrame:
+    """(account_id, other, n): how often two accounts lie within ``window`` steps of a walk.
 
     Walks are short, so the pairs of one walk are bounded by its length times the window.
     """
     spots = walks.select(F.posexplode("path").alias("i", "account_id"), "path")
-    near = F.slice("path", F.greatest(F.lit(1), F.col("i") + 1 - window), F.lit(2 * window + 1))
+    near = F.slice("path", F.greatest(F.lit(1), F.col("i") + 1 - window), F.least(F.col("i"), F.lit(window)) + window + 1)
     pairs = spots.select("account_id", F.explode(near).alias("other")).filter(F.col("account_id") != F.col("other"))
-    counts = pairs.groupBy("account_id", "other").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("account_id", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trained(rate: float, passes: int, seeds: list[int], batch: int = 2048):
+    """Stochastic gradients of one pair of blocks: positives by their counts, negatives by frequency."""
+
+    def run(key, vectors: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        vectors = vectors.sort_values(["side", "account_id"])
+        inner, outer = vectors[vectors.side == 0], vectors[vectors.side == 1]
+        if inner.empty or outer.empty or pairs.empty:
+            return vectors[["side", "account_id", "vector", "gained", "weight"]]
+        u, v = (np.array(side.vector.tolist(), np.float64) for side in (inner, outer))
+        gu, gv = (np.array(side.gained.tolist(), np.float64) for side in (inner, outer))
+        place_u = pd.Series(np.arange(len(u)), inner.account_id.to_numpy())
+        place_v = pd.Series(np.arange(len(v)), outer.account_id.to_numpy())
+        pairs = pairs.sort_values(["account_id", "other"])
+        a, b = place_u[pairs.account_id].to_numpy(), place_v[pairs.other].to_numpy()
+        n = pairs.n.to_numpy(np.float64)
+        n /= pairs["mean"].to_numpy(np.float64)
+        share = np.cumsum(outer.weight.to_numpy(np.float64))
+        rng = np.random.default_rng([*seeds, int(key[0])])
+        for _ in range(passes):
+            order = rng.permutation(len(a))
+            for at in range(0, len(order), batch):
+                now = order[at : at + batch]
+                drawn = np.searchsorted(share, rng.random((len(now), NEGATIVES)) * share[-1], side="right")
+                left = np.repeat(a[now], 1 + NEGATIVES)
+                right = np.concatenate([b[now, None], np.minimum(drawn, len(v) - 1)], axis=1).ravel()
+                wanted = np.tile(np.array([1.0] + [0.0] * NEGATIVES), len(now))
+                score = np.clip((u[left] * v[right]).sum(axis=1), -30, 30)
+                step = (np.repeat(n[now], 1 + NEGATIVES) * (wanted - 1 / (1 + np.exp(-score))))[:, None]
+                du, dv = np.zeros_like(u), np.zeros_like(v)
+                np.add.at(du, left, step * v[right])
+                np.add.at(dv, right, step * u[left])
+                gu += du * du
+                gv += dv * dv
+                u += rate * du / np.sqrt(gu + 1e-8)
+                v += rate * dv / np.sqrt(gv + 1e-8)
+        vectors = vectors.copy()
+        vectors["vector"] = list(np.concatenate([u, v]))
+        vectors["gained"] = list(np.concatenate([gu, gv]))
+        return vectors[["side", "account_id", "vector", "gained", "weight"]]
+
+    return run
+
+
+def skip_gram(
+    walks: DataFrame, dimensions: int = 64, window: int = 10, epochs: int = 5, seed: int = 42, rate: float = 0.05, passes: int = 4
+) -> DataFrame:
+    """(account_id, vector) of every account on a walk, by skip-gram training with negative samples.
+
+    Accounts are dealt into blocks by hash.  In each round a task has the inner vectors of one block, the
+    outer vectors of another and the pairs between both, so no two tasks touch one vector; rounds rotate
+    the outer blocks until every pair of blocks met, which is an epoch.  Vectors live in tables only.
+    Pairs come counted, at most BLOCK_ACCOUNTS^2 in a task.  The same seed gives the same vectors.
+    """
+    pairs = materialize(walk_pairs(walks, window), "walk-pairs")
+    accounts = walks.select(F.explode("path").alias("account_id")).groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    accounts = materialize(accounts, "walked")
+    blocks = max(1, -(-accounts.count() // BLOCK_ACCOUNTS))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(blocks)).cast("bigint")
+    mean = pairs.agg(F.avg("n").alias("mean")).scalar()
+    pairs = materialize(
+        pairs.select("account_id", "other", "n", mean.alias("mean"), block("account_id").alias("bi"), block("other").alias("bj")), "pairs"
+    )
+    # Inner vectors start at hashed values of +-0.5 / dimensions, outer ones at zero.
+    value = lambda d: (F.pmod(F.xxhash64(F.lit(seed), "account_id", d), F.lit(1 << 20)) / float(1 << 20) - 0.5) / dimensions
+    start = F.transform(F.sequence(F.lit(1), F.lit(dimensions)), value)
+    zeros = F.array_repeat(F.lit(0.0), dimensions)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), start.alias("vector")), F.struct(F.lit(1).alias("side"), zeros.alias("vector"))))
+    vectors = accounts.select("account_id", F.pow("n", F.lit(0.75)).alias("weight"), sides.alias("s"))
+    vectors = vectors.select("s.side", "account_id", "s.vector", zeros.alias("gained"), "weight")
+    schema = "side int, account_id string, vector array<double>, gained array<double>, weight double"
+    for epoch in range(epochs):
+        for turn in range(blocks):
+            met = F.when(F.col("side") == 0, block("account_id")).otherwise(F.pmod(block("account_id") - turn, F.lit(blocks)))
+            mine = pairs.filter(F.pmod(F.col("bi") + turn, F.lit(blocks)) == F.col("bj"))
+            both = vectors.withColumn("bi", met).groupBy("bi").cogroup(mine.groupBy("bi"))
+            trained = both.applyInPandas(_trained(rate, passes, [seed, epoch, turn]), schema)
+            vectors = materialize(trained, "vectors")
+    return vectors.filter("side = 0").select("account_id", F.col("vector").cast("array<float>").alias("vector"))
+
+
+def embed_walks(walks: DataFrame, dimensions: int = 64, window: int = 10, seed: int = 42) -> DataFrame:
+    """(account_id, vector): log co-occurrence counts within ``window`` steps, summed with hashed signs.
+
+    A cheap stand-in for ``skip_gram`` that needs one pass over the walks.
+    """
+    counts = walk_pairs(walks, window)
     slot = F.xxhash64(F.lit(seed), F.col("other"))
     sign = F.when(F.pmod(F.shiftright(slot, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     parts = counts.groupBy("account_id", F.pmod(slot, F.lit(dimensions)).cast("int").alias("d")).agg(

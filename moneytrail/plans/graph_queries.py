@@ -12,7 +12,7 @@ from .oracle import sql
 # Unit vectors: radii at which the test embeddings fall into clusters.
 EPS = 1.15
 EPS_GRID = [1.10, 1.15, 1.18, 1.20]
-WALKS, WALK_LENGTH = 3, 8
+WALKS, WALK_LENGTH = 200, 30
 
 
 def ledger(s):
@@ -388,7 +388,7 @@ QUERIES = {
             "FROM sym",
             **{
                 "walks(start, walk, step, node, path)": f"""SELECT account_id, w, 0, account_id, [account_id] FROM anodes,
-                    unnest([{', '.join(str(i) for i in range(WALKS))}]) AS x(w)
+                    unnest(range({WALKS})) AS x(w)
                     UNION ALL SELECT k.start, k.walk, k.step + 1, coalesce(nb.v, k.node), CASE WHEN nb.v IS NULL THEN k.path
                     ELSE list_append(k.path, nb.v) END FROM (SELECT *, CAST('0x' || substr(md5('42:' || start || ':' || walk
                     || ':' || (step + 1)), 1, 8) AS BIGINT) AS h FROM walks WHERE step < {WALK_LENGTH - 1}) k

@@ -159,8 +159,7 @@ def model_results(s):
 
 def account_embeddings(s):
     links = materialize(undirected_edges(sent(s)), "links")
-    walks = graph_search.random_walks(account_nodes(s), links, 5, 10)
-    return graph_search.embed_walks(materialize(walks, "walks"), dimensions=16)
+    return graph_search.skip_gram(materialize(graph_search.random_walks(account_nodes(s), links), "walks"))
 
 
 def embedding_clusters(s):

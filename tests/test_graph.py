@@ -159,7 +159,7 @@ def test_dbscan(spark, block):
     points = spark.createDataFrame(rows, "id long, vector array<double>")
     radii = [0.2, 0.35, 0.6]
     got = {}
-    for r in density.dbscan(points, radii, 5, block=block, pivots=6).collect():
+    for r in density.dbscan(points, radii, 5, block=block, fanout=6).collect():
         got.setdefault(r.eps, {})[r.id] = r.cluster_label
     for eps in radii:
         want = brute_dbscan(x, eps, 5)
@@ -173,3 +173,59 @@ def test_projection_keeps_communities_apart(spark):
     )
     got = {r.account_id: np.array(r.vector) for r in graph_search.embed_walks(walks, 8, 2).collect()}
     assert set(got) == set("ABCDE") and not got["E"].any() and got["A"].any()
+
+
+def test_biased_walks_follow_the_definition(spark):
+    edges = [("A", "B"), ("A", "C"), ("B", "C"), ("C", "D")]
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src string, dst string")
+    accounts = spark.createDataFrame([(a,) for a in "ABCDE"], "account_id string")
+    p, q = 4.0, 0.5
+    rows = graph_search.random_walks(accounts, both, 4000, 3, seed=3, p=p, q=q).collect()
+    seen = {}
+    for r in rows:
+        if r.start == "E":
+            assert r.path == ["E"]
+        else:
+            seen.setdefault((r.path[0], r.path[1]), []).append(r.path[2])
+    out = {a: {y for x, y in edges + [(y, x) for x, y in edges] if x == a} for a in "ABCD"}
+    for (t, v), nexts in seen.items():
+        weight = {x: 1 / p if x == t else 1.0 if x in out[t] else 1 / q for x in out[v]}
+        for x, w in weight.items():
+            assert abs(nexts.count(x) / len(nexts) - w / sum(weight.values())) < 0.06
+
+
+def test_uniform_walks_do_not_change_with_the_bias_off(spark):
+    both = spark.createDataFrame([("A", "B"), ("B", "A"), ("A", "C"), ("C", "A")], "src string, dst string")
+    accounts = spark.createDataFrame([("A",), ("B",), ("C",)], "account_id string")
+    walks = [sorted(graph_search.random_walks(accounts, both, 20, 5, 7, *bias).collect()) for bias in ((), (1.0, 1.0))]
+    assert walks[0] == walks[1] and all(len(r.path) == 5 for r in walks[0])
+
+
+@pytest.mark.parametrize("block", [1024, 9])
+def test_skip_gram_keeps_communities_together(spark, monkeypatch, block):
+    monkeypatch.setattr(graph_search, "BLOCK_ACCOUNTS", block)
+    names = [[f"{g}{i}" for i in range(10)] for g in "ABC"]
+    edges = [(x, y) for group in names for x in group for y in group if x != y] + [("A0", "B0"), ("B0", "A0"), ("B1", "C1"), ("C1", "B1")]
+    accounts = spark.createDataFrame([(x,) for group in names for x in group], "account_id string")
+    walks = graph_search.random_walks(accounts, spark.createDataFrame(edges, "src string, dst string"), 20, 12, seed=5).cache()
+    runs = [{r.account_id: tuple(r.vector) for r in graph_search.skip_gram(walks, 16, 4, seed=1, epochs=4).collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 30
+    v = {k: np.array(x) / np.linalg.norm(x) for k, x in runs[0].items()}
+    near = [max((x for x in v if x != k), key=lambda x: v[x] @ v[k])[0] == k[0] for k in v]
+    assert sum(near) >= 28
+
+
+def test_pivot_tree_compares_in_proportion_to_the_points(spark):
+    rng, compared = np.random.default_rng(4), []
+    for groups in (30, 150):
+        centres = rng.uniform(-60, 60, (groups, 3))
+        x = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in centres])
+        points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+        layout = density.NeighbourBlocks(points, 0.5, fanout=8, block=16)
+        compared.append(layout.compared_pairs() / len(x))
+        got = {r.key: r.n[0] for r in layout.counts([0.5]).collect()}
+        keys = {r.id: r.key for r in layout.ids.collect()}
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) if groups == 30 else None
+        if d is not None:
+            assert [got[keys[i]] for i in range(len(x))] == (d <= 0.5).sum(axis=1).tolist()
+    assert compared[1] < 2 * compared[0]
