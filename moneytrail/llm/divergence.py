@@ -12,17 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table
+from .common import partitions, table
 
 # Documents that a kept term (and so each of its prefixes) occurs in at least.
 LEAST_DOCUMENTS = 3
-# Bytes of the first prefix; each level doubles them.
-FIRST_PREFIX = 8
+# Bytes of the first prefix, and how many times longer they get with each level.
+FIRST_PREFIX, GROWTH = 8, 4
 # Prefixes that go on are told to the tasks by a table of so many bits (8 MB) at every size of the corpus:
 # two prefixes may share a bit, then one too many goes on; a level never loses one that should.
 FILTER_BITS = 26
 TERM_RANKS = 200
-ONE = 1_000_000_000
 # Distinct terms of documents, with repeats between them, in a block of one lang and in all open blocks of a task.
 BLOCK_TERMS = 1 << 18
 HELD_TERMS = 1 << 20
@@ -159,11 +158,11 @@ def _filter_pages(prefixes: DataFrame) -> dict[int, bytes]:
 
 
 def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS, first_prefix: int = FIRST_PREFIX) -> DataFrame:
-    """(lang, source, term, count) of all terms in at least ``least`` documents of their lang.
+    """(lang, term, held) of all terms in at least ``least`` documents of their lang; held: (source, count) of each source.
 
-    ``documents`` has rows as ``_blocks`` makes them.  Level by level, prefixes of twice as many bytes
-    are counted by distinct documents, and those below ``least`` are dropped with all that starts with
-    them, until every prefix that is left is a whole term (or ends one).
+    ``documents`` has rows as ``_blocks`` makes them.  Level by level, prefixes of ``GROWTH`` times as many
+    bytes are counted by distinct documents, and those below ``least`` are dropped with all that starts
+    with them, until every prefix that is left is a whole term.
     """
     pages, before, length = None, 0, first_prefix
     while True:
@@ -175,18 +174,26 @@ def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS, first_prefix:
         pages, before = _filter_pages(prefixes), length
         if prefixes.filter(F.substring("prefix", -1, 1) != F.lit(bytearray(END))).isEmpty():
             break
-        length *= 2
+        length *= GROWTH
     # Only whole terms are left, each in enough documents; some more share their bits and go in the join.
     kept = prefixes.select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("term"))
     counted = documents.mapInArrow(_term_counts(before, pages), "lang string, source string, term binary, count bigint")
-    summed = counted.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
-    return materialize(summed.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "count"), "kept-terms")
+    # One shuffle, by term, serves both sums and the join; blocks have summed up what a task can.
+    dealt = counted.repartition(partitions(documents), "lang", "term")
+    summed = dealt.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+    sure = summed.join(kept.hint("merge"), ["lang", "term"], "left_semi")
+    held = F.array_sort(F.collect_list(F.struct("source", "count"))).alias("held")
+    return materialize(sure.groupBy("lang", "term").agg(held), "kept-terms")
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
-    """p = 1 + floor(10^9 (count + 1) / (total + terms)) in whole numbers of 38 digits."""
-    above = (count + 1).cast("decimal(19,0)") * F.lit(ONE).cast("decimal(10,0)")
-    return (F.call_function("div", above, (total + terms).cast("decimal(19,0)")) + 1).cast("bigint")
+    """p = 1 + floor(10^9 (count + 1) / (total + terms)), by long division in base 1000 as in ``shares``."""
+    over = total + terms
+    found, rest = F.call_function("div", count + 1, over), (count + 1) % over
+    for _ in range(3):
+        found = found * 1000 + F.call_function("div", rest * 1000, over)
+        rest = rest * 1000 % over
+    return found + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -195,31 +202,31 @@ def _gap(p: Column, q: Column) -> Column:
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The same p, by long division in base 1000: ``totals`` (at least counts + 1) below 9 * 10^15."""
-    whole, rest = np.divmod(counts + 1, totals)
-    found = np.zeros_like(rest)
+    """p by long division in base 1000, exact in 64 bits for ``totals`` below 9 * 10^15."""
+    found, rest = np.divmod(counts + 1, totals)
     for _ in range(3):
         more, rest = np.divmod(rest * 1000, totals)
         found = found * 1000 + more
-    return 1 + whole * ONE + found
+    return 1 + found
 
 
 def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, item, value): sums over the terms of the blocks that a task reads, for all pairs of sources.
 
-    Rows: lang, sources, totals (count sums plus kept terms), profiles; a profile has the places of the
-    sources that hold a term, its counts there, and how many terms look like that.
+    Rows: lang, sources, totals (count sums plus kept terms), profiles; a profile has the sources that
+    hold a term, its counts there, and how many terms look like that.
     """
     for batch in batches:
         for lang, sources, totals, profiles in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             size, totals = len(sources), np.array(totals, np.int64)
+            place = {s: i for i, s in enumerate(sources)}
             sums = np.zeros((size, size), np.int64)
             step = max(1, (1 << 20) // (size * size))
             for at in range(0, len(profiles), step):
                 part = profiles[at : at + step]
                 counts, weights = np.zeros((len(part), size), np.int64), np.array([p["terms"] for p in part])
                 for row, p in zip(counts, part, strict=True):
-                    row[p["places"]] = p["counts"]
+                    row[[place[s] for s in p["sources"]]] = p["counts"]
                 p = shares(counts, totals)
                 gap = p[:, :, None] - p[:, None, :]
                 sums += (gap * gap // p[:, None, :] * weights[:, None, None]).sum(axis=0)
@@ -235,19 +242,14 @@ def _pairs(kept: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
     Terms with equal counts in all sources are one profile.  Its arrays have at most as many places as
     the lang has sources, and the result has a row for each two of them.
     """
-    spread = materialize(
-        sizes.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("all")).select(
-            "lang", F.col("all.source").alias("sources"), F.col("all.total").alias("totals")
-        ),
-        "langs",
+    spread = sizes.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("all")).select(
+        "lang", F.col("all.source").alias("sources"), F.col("all.total").alias("totals")
     )
-    places = spread.select("lang", F.posexplode("sources").alias("place", "source"))
-    placed = kept.join(places, ["lang", "source"]).groupBy("lang", "term")
-    profile = placed.agg(F.array_sort(F.collect_list(F.struct("place", "count"))).alias("profile"))
-    profiles = materialize(profile.groupBy("lang", "profile").agg(F.count(F.lit(1)).alias("terms")), "profiles")
+    spread = materialize(spread, "langs")
+    profiles = materialize(kept.groupBy("lang", "held").agg(F.count(F.lit(1)).alias("terms")), "profiles")
     blocks = max(1, profiles.count() // PROFILES_PER_BLOCK)
-    shape = F.struct(F.col("profile.place").alias("places"), F.col("profile.count").alias("counts"), "terms")
-    block = F.pmod(F.xxhash64("profile"), F.lit(blocks))
+    shape = F.struct(F.col("held.source").alias("sources"), F.col("held.count").alias("counts"), "terms")
+    block = F.pmod(F.xxhash64("held"), F.lit(blocks))
     dealt = profiles.groupBy("lang", block.alias("block")).agg(F.collect_list(shape).alias("profiles"))
     summed = dealt.join(spread, "lang").select("lang", "sources", "totals", "profiles").mapInArrow(
         _pair_sums, "lang string, source string, item string, value bigint"
@@ -276,19 +278,18 @@ def audit_sources(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TE
     groups = documents.select("lang", F.explode(F.array_distinct("sources")).alias("source"))
     groups = materialize(groups.distinct(), "groups")
     kept = kept_terms(documents, least, first_prefix)
-    by_term = materialize(kept.groupBy("lang", "term").agg(F.sum("count").alias("lang_count")), "lang-terms")
-    langs = by_term.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_count").alias("lang_size"))
-    langs = materialize(langs, "lang-sizes")
-    sums = kept.groupBy("lang", "source").agg(F.sum("count").alias("size"))
-    sizes = groups.join(langs, "lang").join(sums, ["lang", "source"], "left").select(
-        "lang", "source", F.coalesce("size", F.lit(0)).alias("size"), "kept", "lang_size"
-    )
-    sizes = materialize(sizes, "sizes")
+    uses = kept.select("lang", "term", F.explode("held").alias("h"), F.aggregate("held.count", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("lang_count"))
+    uses = uses.select("lang", "term", F.col("h.source").alias("source"), F.col("h.count").alias("count"), "lang_count")
+    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    sums = uses.groupBy("lang", "source").agg(F.sum("count").alias("size"))
+    sizes = groups.join(langs, "lang").join(sums, ["lang", "source"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    whole = F.sum("size").over(Window.partitionBy("lang"))
+    sizes = materialize(sizes.select("lang", "source", "size", "kept", whole.alias("lang_size")), "sizes")
 
     pairs = _pairs(kept, groups, sizes.select("lang", "source", (F.col("size") + F.col("kept")).alias("total")))
     p = _share(F.col("count"), F.col("size"), F.col("kept"))
     q = _share(F.col("lang_count"), F.col("lang_size"), F.col("kept"))
-    terms = kept.join(by_term, ["lang", "term"]).join(sizes, ["lang", "source"]).withColumns({"p": p, "q": q})
+    terms = uses.join(sizes, ["lang", "source"]).select("lang", "source", "term", p.alias("p"), q.alias("q"))
     terms = terms.filter(F.col("p") > F.col("q")).select(
         "lang", "source", F.col("term").cast("string").alias("item"), _gap(F.col("p"), F.col("q")).cast("bigint").alias("value")
     )
