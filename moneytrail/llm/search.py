@@ -16,8 +16,8 @@ from ..session import materialize
 from .common import partitions, prefix_sums, table
 
 TOP = 20
-# Term occurrences of the documents in one block of a stratum; a longer document is a block of its own.
-BLOCK_TERMS = 1 << 17
+# Term occurrences of the documents in one block of a stratum, about; a longer document is a block of its own.
+BLOCK_TERMS = 1 << 16
 # A pass over the index takes queries of so many distinct terms together (an item counts 256 at least),
 # so what is sent to the tasks has a fixed bound; more queries take more passes.
 PASS_TERMS = 1 << 18
@@ -32,7 +32,7 @@ _TERM_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
 )
 BLOCK_SCHEMA = (
-    "m bigint, doc_ids array<bigint>, terms binary, dfs array<int>, runs array<int>, run_tf array<bigint>, run_size array<int>, docs array<int>"
+    "m bigint, doc_ids array<bigint>, terms binary, dfs array<int>, runs array<int>, run_tf array<int>, run_size array<int>, docs array<int>"
 )
 _BLOCK_NAMES = ["m", "doc_ids", "terms", "dfs", "runs", "run_tf", "run_size", "docs"]
 
@@ -71,24 +71,24 @@ def _block(m: int, rows: list[tuple]) -> pa.RecordBatch:
     columns = [
         np.bincount(term), np.bincount(term[first]), tf[first], np.diff(np.append(first, len(term))), doc,
     ]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int32()] * 5
     lists = [pa.array([c.tolist() if len(c) < 64 else c], pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]
     ids = pa.array([[r[0] for r in rows]], pa.list_(pa.int64()))
     return pa.record_batch([pa.array([m]), ids, pa.array([b" ".join(numbers)], pa.binary()), *lists], names=_BLOCK_NAMES)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the documents of a task, which come ordered by m."""
+    """Blocks of the documents of a task, which come ordered by m and part."""
     last, rows, size = None, [], 0
     for batch in batches:
-        for m, doc_id, n, terms, tfs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if rows and (m != last or size + n > BLOCK_TERMS):
-                yield _block(last, rows)
+        for m, part, doc_id, n, terms, tfs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if rows and ((m, part) != last or size + n > 2 * BLOCK_TERMS):
+                yield _block(last[0], rows)
                 rows, size = [], 0
-            last, size = m, size + n
+            last, size = (m, part), size + n
             rows.append((doc_id, terms, tfs))
     if rows:
-        yield _block(last, rows)
+        yield _block(last[0], rows)
 
 
 @dataclass
@@ -103,8 +103,8 @@ class LengthIndex:
 def build_index(docs: DataFrame) -> LengthIndex:
     """Index every row of ``docs`` by the terms of its whole text.
 
-    Rows are range-partitioned by (m, row), so a stratum with many documents spreads over tasks, and
-    cut into blocks of bounded size.  Documents without terms are not in it.
+    A stratum is dealt by hash into as many parts as it has blocks, so one with many or long documents
+    spreads over tasks.  Documents without terms are not in it.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col("text").cast("string").alias("text"))
     schema = "key bigint, n bigint, distinct bigint, terms binary, tfs binary"
@@ -113,10 +113,14 @@ def build_index(docs: DataFrame) -> LengthIndex:
     wide = lambda c: c.cast("decimal(19,0)")
     above = wide(F.col("n") * SLOPE) * wide(F.lit(sums["documents"]))
     m = (F.call_function("div", above, wide(F.lit(max(1, sums["terms"])))) + FLAT).cast("bigint")
-    # Scattered rows of a stratum: equal texts in a row would make one block of one kind.
-    keyed = counted.select(m.alias("m"), F.xxhash64("row").alias("order"), F.col("key").alias("doc_id"), "n", "terms", "tfs")
-    dealt = keyed.repartitionByRange(partitions(docs), "m", "order").sortWithinPartitions("m")
-    blocks = dealt.select("m", "doc_id", "n", "terms", "tfs").mapInArrow(_blocks, BLOCK_SCHEMA)
+    keyed = counted.withColumn("m", m)
+    # One row per stratum: how many parts of about BLOCK_TERMS occurrences its documents make.
+    parts = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_TERMS)).alias("parts")
+    strata = materialize(keyed.groupBy("m").agg(parts), "strata")
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).alias("part")
+    placed = keyed.join(strata, "m").select("m", part, F.col("key").alias("doc_id"), "n", "terms", "tfs")
+    dealt = placed.repartition(partitions(docs), "m", "part").sortWithinPartitions("m", "part")
+    blocks = dealt.mapInArrow(_blocks, BLOCK_SCHEMA)
     return LengthIndex(materialize(blocks, "index"), sums["documents"], sums["terms"])
 
 
@@ -154,7 +158,7 @@ class _HeldBlock:
     def __init__(self, row: dict, numbers: dict[bytes, int]):
         terms = row["terms"].split(b" ")
         number = np.array([numbers.get(t, -1) for t in terms])
-        runs, run_tf, run_size = row["runs"], row["run_tf"], row["run_size"]
+        runs, run_tf, run_size = row["runs"], row["run_tf"].astype(np.int64), row["run_size"]
         run_number = np.repeat(number, runs)
         wanted = run_number >= 0
         tfs, which = np.unique(run_tf, return_inverse=True)
