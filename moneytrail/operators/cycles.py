@@ -7,13 +7,17 @@ slot of deadlines they may serve, so a chain meets the payments that may follow
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .windows import MICROS_PER_HOUR, micros
 
-SLOT_HOURS = 12
+SLOT_HOURS = 24
+# Payments that paths grow by, and the frontier goes back, between two tables.
+HOPS = 3
 
 
 def trim_to_rings(edges: DataFrame, rounds: int = 2) -> DataFrame:
@@ -50,15 +54,21 @@ def _first_steps(edges: DataFrame, hours: float, slot_us: int) -> DataFrame:
 
 
 def _extend(paths: DataFrame, listed: DataFrame) -> DataFrame:
-    """Every path with each payment that can follow it in time."""
+    """Every open path with each payment that can follow it in time; closed ones stay as they are."""
     steps = listed.select(
         "slot", F.col("from_account").alias("node"), F.col("to_account").alias("next_node"), F.col("us").alias("next_us"),
         F.col("transaction_id").alias("next_id"),
     )
-    grown = paths.join(steps, ["slot", "node"]).filter(F.col("next_us").between(F.col("last_us"), F.col("deadline")))
+    closed = F.col("p.node") == F.col("p.origin")
+    follows = (F.col("s.slot") == F.col("p.slot")) & (F.col("s.node") == F.when(~closed, F.col("p.node")))
+    in_time = F.col("next_us").between(F.col("last_us"), F.col("deadline"))
+    grown = paths.alias("p").join(steps.alias("s"), follows & in_time, "left").filter(closed | F.col("next_id").isNotNull())
+    moved = F.col("next_id").isNotNull()
     return grown.select(
-        "slot", "origin", "start_us", "deadline", F.col("next_node").alias("node"), F.col("next_us").alias("last_us"),
-        F.concat("ids", F.array("next_id")).alias("ids"), F.concat("accounts", F.array("node")).alias("accounts"),
+        "p.slot", "origin", "start_us", "deadline", F.coalesce("next_node", "p.node").alias("node"),
+        F.coalesce("next_us", "last_us").alias("last_us"),
+        F.when(moved, F.concat("ids", F.array("next_id"))).otherwise(F.col("ids")).alias("ids"),
+        F.when(moved, F.concat("accounts", F.array("p.node"))).otherwise(F.col("accounts")).alias("accounts"),
     )
 
 
@@ -76,7 +86,7 @@ def payment_chains(payments: DataFrame, hours: float, slot_hours: float = SLOT_H
 def return_frontier(listed: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(slot, origin, node, latest_us): until when money may leave an account and still come back to the origin.
 
-    Goes backward from the payments that close a ring, one payment a round, and keeps the latest time
+    Goes backward from the payments that close a ring, a few payments a round, and keeps the latest time
     of each account only, so it has a row for each pair of accounts and slot, not one for each way.
     Rounds end when no time gets later, or after as many payments as a ring has behind its first one.
     ``listed`` has payments by slot; chains of a slot hold no others.
@@ -87,11 +97,14 @@ def return_frontier(listed: DataFrame, max_hops: int | None = None) -> DataFrame
     known = materialize(closing.agg(F.max("us").alias("latest_us")).withColumn("later", F.lit(True)), "frontier")
     hops = 1
     while (max_hops is None or hops < max_hops - 1) and not (changed := known.filter("later")).isEmpty():
-        hops += 1
-        back = changed.join(inward, ["slot", "node"]).filter("us <= latest_us AND payer <> origin")
-        moved = back.select("slot", "origin", F.col("payer").alias("node"), F.lit(None).cast("bigint").alias("was"), F.col("us").alias("latest_us"))
-        held = known.select(*keys, F.col("latest_us").alias("was"), "latest_us")
-        best = held.unionByName(moved).groupBy(*keys).agg(F.max("was").alias("was"), F.max("latest_us").alias("latest_us"))
+        found = [known.select(*keys, F.col("latest_us").alias("was"), "latest_us")]
+        for _ in range(HOPS):
+            hops += 1
+            back = changed.join(inward, ["slot", "node"]).filter("us <= latest_us AND payer <> origin")
+            back = back.groupBy("slot", "origin", F.col("payer").alias("node"))
+            changed = back.agg(F.lit(None).cast("bigint").alias("was"), F.max("us").alias("latest_us"))
+            found.append(changed)
+        best = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.max("was").alias("was"), F.max("latest_us").alias("latest_us"))
         later = F.col("was").isNull() | (F.col("latest_us") > F.col("was"))
         known = materialize(best.select(*keys, "latest_us", later.alias("later")), "frontier")
     return known.select(*keys, "latest_us")
@@ -124,11 +137,12 @@ def circular_transfers(
 
     paths, rings, hops = returning(_first_steps(edges, hours, slot_us)), [], 1
     while max_hops is None or hops < max_hops:
-        hops += 1
-        grown = _extend(paths, listed).filter(closed | ~F.array_contains("accounts", F.col("node")))
-        grown = materialize(returning(grown), "paths")
-        if hops >= minimum:
-            rings.append(grown.filter(closed))
+        for _ in range(HOPS if max_hops is None else min(HOPS, max_hops - hops)):
+            hops += 1
+            paths = _extend(paths, listed).filter(closed | ~F.array_contains("accounts", F.col("node")))
+            paths = returning(paths.filter(~closed | (F.size("ids") >= minimum)))
+        grown = materialize(paths, "paths")
+        rings.append(grown.filter(closed))
         paths = grown.filter(~closed)
         if paths.isEmpty():
             break
