@@ -6,95 +6,72 @@ import itertools
 import json
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
-from . import metrics
+from ..session import materialize
+from . import boosting, metrics
+from .boosting import BoostedTrees
 from .rules import EVIDENCE_SCHEMA, RESULT_SCHEMA, shaped, text_map
 
-# Hyper-parameters.  The L1 and L2 penalties of other libraries have no counterpart here.
-PARAMETERS = {
-    "maxIter": 40, "maxDepth": 3, "stepSize": 0.08, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42,
-}
+NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double, gain double"
 
 
-def fit_classifier(rows: DataFrame, names: Sequence[str], **changes) -> PipelineModel:
+def fit_classifier(rows: DataFrame, names: Sequence[str], **changes) -> BoostedTrees:
     """Boosted trees on the named feature columns and the 0/1 column ``label``."""
-    settings = {**PARAMETERS, **changes}
-    assembler = VectorAssembler(inputCols=list(names), outputCol="features")
-    trees = GBTClassifier(labelCol="label", featuresCol="features", **settings)
-    return Pipeline(stages=[assembler, trees]).fit(rows.select("label", *names))
+    found, _ = boosting.fit_folds(rows.select("label", *[c for c in rows.columns if c != "label"]), names, **changes)
+    return found[boosting.ALL]
 
 
-def _names(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
-
-
-def score_accounts(model: PipelineModel, matrix: DataFrame, cut: float = 0.5) -> DataFrame:
+def score_accounts(model: BoostedTrees, matrix: DataFrame, cut: float = 0.5) -> DataFrame:
     """account_id, model_probability, predicted_label for every row of the matrix."""
-    missing = [n for n in _names(model) if n not in matrix.columns]
+    missing = [n for n in model.names if n not in matrix.columns]
     if missing:
         raise ValueError(f"missing feature columns: {missing}")
-    p = vector_to_array("probability")[1]
-    scored = model.transform(matrix).withColumn("model_probability", p)
+    scored = matrix.withColumn("model_probability", 1.0 / (1.0 + F.exp(-model.margin())))
     return scored.select(
         "account_id", "model_probability", (F.col("model_probability") >= cut).cast("int").alias("predicted_label")
     )
 
 
-def save_model(model: PipelineModel, path: str, **metadata) -> None:
-    """The model and a JSON row with its feature order and any further facts."""
-    spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
-    facts = {"feature_names": _names(model), **metadata}
-    spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").write.mode("overwrite").text(
+def save_model(model: BoostedTrees, path: str, **metadata) -> None:
+    """The nodes as a table, and a JSON row with feature order, settings and any further facts."""
+    tree_nodes(model).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    facts = {"feature_names": model.names, "edges": model.edges, "settings": asdict(model.settings), **metadata}
+    SparkSession.active().createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").write.mode("overwrite").text(
         f"{path}/metadata"
     )
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
+def load_model(path: str) -> tuple[BoostedTrees, dict]:
     spark = SparkSession.active()
     facts = json.loads(spark.read.text(f"{path}/metadata").first().value)
-    return PipelineModel.load(f"{path}/model"), facts
+    settings = boosting.Settings(**facts.pop("settings"))
+    model = BoostedTrees(facts["feature_names"], facts.pop("edges"), settings)
+    model.trees = [boosting.Tree.empty(settings.depth) for _ in range(settings.trees)]
+    for n in spark.read.parquet(f"{path}/nodes").collect():  # trees * 2^(depth + 1) rows at most
+        tree = model.trees[n.tree]
+        tree.feature[n.node], tree.value[n.node], tree.cover[n.node], tree.gain[n.node] = n.feature, n.value, n.cover, n.gain
+        if n.feature >= 0:
+            tree.split[n.node] = model.edges[n.feature].index(n.threshold)
+    return model, facts
 
 
-def tree_nodes(model: PipelineModel) -> DataFrame:
-    """The trees as rows: tree, node, feature (number), threshold, left, right, value, cover, weight."""
-    spark = SparkSession.active()
-    path = scratch_path(spark, "trees")
-    model.stages[1].write().save(path)
-    weights = spark.read.parquet(f"{path}/treesMetadata")
-    tree, _, weight = weights.columns
-    weights = weights.select(F.col(tree).cast("int").alias("tree"), F.col(weight).cast("double").alias("weight"))
-    n = F.col("nodeData")
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"),
-        n["id"].alias("node"),
-        n["split"]["featureIndex"].alias("feature"),
-        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        n["leftChild"].alias("left"),
-        n["rightChild"].alias("right"),
-        n["prediction"].alias("value"),
-        n["rawCount"].cast("double").alias("cover"),
-    )
-    return nodes.join(F.broadcast(weights), "tree")
+def tree_nodes(model: BoostedTrees) -> DataFrame:
+    """The trees as rows: tree, node, feature (number), threshold, left, right, value, cover, gain."""
+    return SparkSession.active().createDataFrame(model.node_rows(), NODES)
 
 
 def score_by_nodes(nodes: DataFrame, matrix: DataFrame, names: Sequence[str], depth: int, trees: int) -> DataFrame:
-    """The same probabilities from the node table: one lookup join per tree level.
+    """The same probabilities from a stored node table, for models too large for one expression.
 
-    The table has at most trees * 2^(depth + 1) rows, so it is broadcast.
+    One lookup join per tree level; the table has at most trees * 2^(depth + 1) rows, so it is broadcast.
     """
-    small = F.broadcast(nodes.select("tree", F.col("node").alias("at"), "feature", "threshold", "left", "right", "value", "weight"))
+    small = F.broadcast(nodes.select("tree", F.col("node").alias("at"), "feature", "threshold", "left", "right", "value"))
     at = matrix.select(
         "account_id",
         F.array(*[F.col(n).cast("double") for n in names]).alias("x"),
@@ -103,11 +80,11 @@ def score_by_nodes(nodes: DataFrame, matrix: DataFrame, names: Sequence[str], de
     )
     for _ in range(depth):
         step = at.join(small, ["tree", "at"])
-        goes_left = F.col("x")[F.greatest("feature", F.lit(0))] <= F.col("threshold")
+        goes_left = F.coalesce(F.col("x")[F.greatest("feature", F.lit(0))], F.lit(float("-inf"))) <= F.col("threshold")
         child = F.when(F.col("left") < 0, F.col("at")).when(goes_left, F.col("left")).otherwise(F.col("right"))
         at = step.select("account_id", "x", "tree", child.alias("at"))
-    margins = at.join(small, ["tree", "at"]).groupBy("account_id").agg(F.sum(F.col("value") * F.col("weight")).alias("m"))
-    return margins.select("account_id", (1.0 / (1.0 + F.exp(-2.0 * F.col("m")))).alias("model_probability"))
+    margins = at.join(small, ["tree", "at"]).groupBy("account_id").agg(F.sum("value").alias("m"))
+    return margins.select("account_id", (1.0 / (1.0 + F.exp(-F.col("m")))).alias("model_probability"))
 
 
 # --- explanation ------------------------------------------------------------------------
@@ -125,7 +102,7 @@ def _leaf_paths(nodes: Sequence) -> list[tuple[float, dict[int, tuple[float, flo
             at, path = pending.pop()
             n = tree[at]
             if n.left < 0:
-                found.append((2.0 * n.weight * n.value, path))
+                found.append((n.value, path))
                 continue
             low, high, share = path.get(n.feature, (-math.inf, math.inf, 1.0))
             left, right = tree[n.left].cover / n.cover, tree[n.right].cover / n.cover
@@ -253,26 +230,10 @@ def model_results(
 # --- validation -------------------------------------------------------------------------
 
 
-def leave_one_group_out(rows: DataFrame, names: Sequence[str], group: str, parallel: int = 4, **changes) -> DataFrame:
-    """Out-of-fold probabilities: every group is scored by a model that never saw it.
-
-    One fit per group, a few at a time; the rows are written once and read by every fold.
-    """
-    rows = materialize(rows, "folds")
-    values = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
-
-    def fold(value):
-        model = fit_classifier(rows.filter(F.col(group) != value), names, **changes)
-        held = model.transform(rows.filter(F.col(group) == value))
-        held = held.withColumn("model_probability", vector_to_array("probability")[1])
-        return materialize(held.select("scenario_id", "account_id", "label", F.lit(value).alias("fold"), "model_probability"), "fold")
-
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        parts = list(pool.map(fold, values))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+def leave_one_group_out(rows: DataFrame, names: Sequence[str], group: str, **changes) -> DataFrame:
+    """Out-of-fold probabilities: every group is scored by a model that never saw it; all of them grow together."""
+    _, scored = boosting.fit_folds(rows, names, group, whole=False, **changes)
+    return scored.select("scenario_id", "account_id", "label", F.col(group).alias("fold"), "model_probability")
 
 
 def quality_table(out_of_fold: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -294,8 +255,8 @@ def fixed_holdout(rows: DataFrame, names: Sequence[str], held: Sequence[str], **
     rows = materialize(rows, "holdout")
     inside = F.col("scenario_id").isin(*held)
     model = fit_classifier(rows.filter(~inside), names, **changes)
-    scored = model.transform(rows.filter(inside))
-    return scored.select("scenario_id", "account_id", "label", vector_to_array("probability")[1].alias("model_probability"))
+    probability = 1.0 / (1.0 + F.exp(-model.margin()))
+    return rows.filter(inside).select("scenario_id", "account_id", "label", probability.alias("model_probability"))
 
 
 def compare_feature_sets(rows: DataFrame, feature_sets: dict[str, Sequence[str]], group: str, **changes) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moneytrail.operators import features, isolation, metrics, models, risk
+from moneytrail.operators import boosting, features, isolation, metrics, models, risk
 from moneytrail.session import scratch_path
 
 NAMES = ["a", "b", "c"]
@@ -23,7 +23,7 @@ def matrix(spark):
 
 @pytest.fixture(scope="module")
 def model(matrix):
-    return models.fit_classifier(matrix, NAMES, maxIter=4)
+    return models.fit_classifier(matrix, NAMES, trees=4)
 
 
 def probabilities(df):
@@ -40,7 +40,7 @@ def test_contributions_match_shapley_definition(spark, model, matrix):
         def at(tree, i):
             n = tree[i]
             if n.left < 0:
-                return 2 * n.weight * n.value
+                return n.value
             if n.feature in known:
                 return at(tree, n.left if x[n.feature] <= n.threshold else n.right)
             return sum(tree[k].cover / n.cover * at(tree, k) for k in (n.left, n.right))
@@ -76,13 +76,68 @@ def test_reload(spark, model, matrix):
     assert probabilities(models.score_accounts(again, matrix)) == pytest.approx(probabilities(models.score_accounts(model, matrix)), abs=1e-6)
 
 
+def test_trees_match_brute_force(spark, matrix):
+    """Gains, splits and leaf values of every node of two trees, for the model on all rows and each fold."""
+    settings = dict(trees=2, l1=0.3, l2=0.7, row_share=1.0, column_share=1.0)
+    models_of, scored = boosting.fit_folds(matrix, NAMES, "employee_id", **settings)
+    rows = matrix.orderBy("account_id").collect()
+    x = np.array([[r.a, r.b, r.c] for r in rows])
+    y, group = np.array([r.label for r in rows]), np.array([r.employee_id for r in rows])
+    probability = {r.account_id: r.model_probability for r in scored.collect()}
+    s = boosting.Settings(**settings)
+    cut = lambda g: np.sign(g) * max(abs(g) - s.l1, 0)
+    assert sorted(models_of) == ["*", "E0", "E1", "E2"]
+    for fold, model in models_of.items():
+        use, margin = group != fold, np.zeros(len(y))
+        for tree in model.trees:
+            p = 1 / (1 + np.exp(-margin))
+            g, h = (p - y) * use, p * (1 - p) * use
+            at, done = {0: np.ones(len(y), bool)}, np.zeros(len(y))
+            for node in range(len(tree.value)):
+                if node not in at:
+                    continue
+                inside = at[node]
+                part = lambda m: cut(g[m].sum()) ** 2 / (h[m].sum() + s.l2)
+                best = (-np.inf, None, None)
+                for f in range(3):
+                    for edge in model.edges[f]:
+                        left, right = inside & (x[:, f] <= edge), inside & (x[:, f] > edge)
+                        if h[left].sum() >= 1 and h[right].sum() >= 1:
+                            gain = (part(left) + part(right) - part(inside)) / 2
+                            best = max(best, (gain, f, edge), key=lambda b: (round(b[0], 9), -(b[1] or 0)))
+                if tree.feature[node] >= 0:
+                    f, edge = tree.feature[node], model.edges[tree.feature[node]][tree.split[node]]
+                    assert tree.gain[node] == pytest.approx(best[0]) and f == best[1]
+                    at[2 * node + 1], at[2 * node + 2] = inside & (x[:, f] <= edge), inside & (x[:, f] > edge)
+                else:
+                    assert node > 6 or best[0] <= 1e-6
+                    want = -s.rate * cut(g[inside].sum()) / (h[inside].sum() + s.l2)
+                    assert tree.value[node] == pytest.approx(want)
+                    done[inside] = want
+            margin += done
+        for r, m in zip(rows, margin, strict=True):
+            if r.employee_id == fold:
+                assert probability[r.account_id] == pytest.approx(1 / (1 + np.exp(-m)))
+
+
+def test_boosting_of_odd_rows(spark, matrix, monkeypatch):
+    monkeypatch.setattr(boosting, "FOLDS_AT_ONCE", 2)
+    odd = matrix.withColumn("a", F.when(F.col("a") > 1, None).otherwise(F.col("a"))).withColumn("b", F.lit(1.0))
+    odd = odd.withColumn("employee_id", F.when(F.col("employee_id") != "E2", F.col("employee_id")))
+    models_of, scored = boosting.fit_folds(odd, NAMES, "employee_id", trees=3)
+    assert set(models_of) == {"*", "E0", "E1", None} and scored.count() == 120 and scored.filter("model_probability IS NULL").count() == 0
+    assert not models_of["*"].edges[1]
+    again, _ = boosting.fit_folds(odd.repartition(3), NAMES, trees=3)
+    assert [t.feature.tolist() for t in again["*"].trees] == [t.feature.tolist() for t in models_of["*"].trees]
+
+
 def test_missing_feature(model, matrix):
     with pytest.raises(ValueError):
         models.score_accounts(model, matrix.drop("b"))
 
 
 def test_leave_one_group_out(matrix):
-    found = models.leave_one_group_out(matrix, NAMES, "employee_id", maxIter=3)
+    found = models.leave_one_group_out(matrix, NAMES, "employee_id", trees=3)
     assert found.count() == 120 and found.select("fold").distinct().count() == 3
     quality = {r.measure: r.value for r in models.quality_table(found).collect()}
     assert quality["roc_auc"] > 0.8
