@@ -1,7 +1,7 @@
 """Regularised boosted trees from histograms: every fold's trees grow in the same passes over the rows.
 
 A level of a tree is one pass: tasks count gradients and hessians by (fold, node, feature, bin), the counts
-are summed by key, and only the best split of each node comes to the driver.  A fold trains on all rows but
+are summed by key, and only the best split of each node and feature comes to the driver.  A fold trains on all rows but
 those of its own group, so validation by groups needs no pass of its own.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -25,6 +25,7 @@ ALL = "*"
 STORED_EVERY = 8
 # Folds whose histograms a task holds at a time.
 FOLDS_AT_ONCE = 16
+ROWS_PER_TASK = 50_000
 NO_GAIN = 1e-6
 
 
@@ -59,6 +60,11 @@ class Tree:
         size = 2 ** (depth + 1) - 1
         return cls(np.full(size, -1), np.zeros(size, int), np.zeros(size), np.zeros(size), np.zeros(size))
 
+    def renumbered(self, places: np.ndarray) -> Tree:
+        """The same tree with features numbered by their place in ``places``."""
+        number = {int(f): i for i, f in enumerate(places)}
+        return replace(self, feature=np.array([number.get(int(f), -1) for f in self.feature]))
+
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
         """The node that rows of bin numbers stand on."""
         at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
@@ -123,12 +129,13 @@ def leaf_value(g: float, h: float, settings: Settings) -> float:
 
 
 def split_gains(g: np.ndarray, h: np.ndarray, settings: Settings) -> np.ndarray:
-    """Gain of splitting after each bin; minus infinity where a side has too little hessian."""
-    gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
-    gr, hr = g.sum() - gl, h.sum() - hl
+    """Gain of splitting after each bin (last axis); minus infinity where a side has too little hessian."""
+    g_all, h_all = g.sum(axis=-1, keepdims=True), h.sum(axis=-1, keepdims=True)
+    gl, hl = np.cumsum(g, axis=-1)[..., :-1], np.cumsum(h, axis=-1)[..., :-1]
+    gr, hr = g_all - gl, h_all - hl
     part = lambda a, b: shrunk(a, settings.l1) ** 2 / (b + settings.l2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (part(gl, hl) + part(gr, hr) - part(g.sum(), h.sum())) / 2
+        gain = (part(gl, hl) + part(gr, hr) - part(g_all, h_all)) / 2
     return np.where((hl >= settings.least_hessian) & (hr >= settings.least_hessian), gain, -np.inf)
 
 
@@ -206,88 +213,118 @@ def _histograms(part: range, folds: list, newer, growing: list[Tree], open_nodes
             taken = sampled(pdf["_hash"].to_numpy(), number, settings.row_share)
             for k in part:
                 at = growing[k].leaf_of(bins)
-                use = taken if folds[k] == ALL else taken & (mine != k)
+                use = taken & (mine != folds[k])
                 p = 1 / (1 + np.exp(-margins[:, k]))
                 for node in open_nodes[k]:
                     rows = use & (at == node)
                     if not rows.any():
                         continue
-                    total = sums.setdefault((k, node), np.zeros((len(columns), 3, settings.bins)))
-                    g, h, b = (p - y)[rows], (p * (1 - p))[rows], bins[rows]
-                    for i, f in enumerate(columns):
-                        for j, w in enumerate((g, h, None)):
-                            total[i, j] += np.bincount(b[:, f], w, minlength=settings.bins)
+                    total = sums.setdefault((k, node), np.zeros((len(columns[k]), 3, settings.bins)))
+                    g, h = (p - y)[rows], (p * (1 - p))[rows]
+                    # The bins of all features in one count: each feature has a range of its own.
+                    place = (bins[rows][:, columns[k]] + np.arange(len(columns[k])) * settings.bins).ravel()
+                    for j, w in enumerate((g, h, np.ones(len(g)))):
+                        counted = np.bincount(place, np.repeat(w, len(columns[k])), minlength=len(columns[k]) * settings.bins)
+                        total[:, j] += counted.reshape(len(columns[k]), settings.bins)
         task = TaskContext.get().partitionId()
-        found = [(k, node, int(f), task, total[i].tobytes()) for (k, node), total in sums.items() for i, f in enumerate(columns)]
+        found = [(k, node, int(f), task, total[i].tobytes()) for (k, node), total in sums.items() for i, f in enumerate(columns[k])]
         yield pd.DataFrame(found, columns=["fold", "node", "feature", "task", "sums"])
 
     return run
 
 
-def _best_of_feature(settings: Settings):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Added in the order of tasks, so reruns give the same last digits.
-        parts = [np.frombuffer(s, np.float64).reshape(3, settings.bins) for s in pdf.sort_values("task")["sums"]]
-        g, h, n = np.sum(parts, axis=0)
-        gains = split_gains(g, h, settings)
-        at = int(np.argmax(gains))
-        left = slice(None, at + 1)
-        row = [*(int(pdf[c].iloc[0]) for c in ("fold", "node", "feature")), at, float(gains[at])]
-        row += [g.sum(), h.sum(), n.sum(), g[left].sum(), h[left].sum(), n[left].sum()]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in _BEST.split(", ")])
-
-    return run
-
-
 _BEST = "fold int, node int, feature int, split int, gain double, g double, h double, n double, gl double, hl double, nl double"
 
 
-def fit_folds(rows: DataFrame, names: Sequence[str], group: str | None = None, whole: bool = True, **changes):
-    """``(models by fold, scored)``: models without each group's rows, and, as fold ``ALL``, on all rows.
+def _best_splits(counted: DataFrame, settings: Settings) -> DataFrame:
+    """The best split of every fold, node and feature; what the tasks counted is dealt out by these keys."""
+    keys = ["fold", "node", "feature"]
 
-    ``rows`` has the feature columns and the 0/1 column ``label``.  ``scored`` has its other columns, the
-    label and ``model_probability``: of the model that did not see the row, or of the one on all rows if
-    there is no ``group``.  Null features count as lower than all values; a null group is a group.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "task"])  # added in the order of tasks: reruns give the same last digits
+        sums = np.frombuffer(b"".join(pdf["sums"]), np.float64).reshape(len(pdf), 3, settings.bins)
+        named = pdf[keys].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (named[1:] != named[:-1]).any(axis=1)]))
+        total = np.add.reduceat(sums, first, axis=0)
+        gains = split_gains(total[:, 0], total[:, 1], settings)
+        at = gains.argmax(axis=1)
+        rows = np.arange(len(at))
+        left = np.cumsum(total, axis=2)[rows, :, at]
+        found = pd.DataFrame(named[first], columns=keys).assign(split=at, gain=gains[rows, at])
+        whole = total.sum(axis=2)
+        return found.assign(**{c: whole[:, i] for i, c in enumerate("ghn")}, **{f"{c}l": left[:, i] for i, c in enumerate("ghn")})
+
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.groupBy(F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    return dealt.applyInPandas(run, _BEST)
+
+
+def fit_sets(rows: DataFrame, sets: dict[str, Sequence[str]], group: str | None = None, whole: bool = True, **changes) -> dict:
+    """``(models by fold, scored)`` for each named list of features, all grown in the same passes.
+
+    See ``fit_folds``; a model sees the features of its own list only.
     """
-    settings, names = replace(Settings(), **changes), list(names)
-    folds: list = [ALL] if whole or group is None else []
+    settings = replace(Settings(), **changes)
+    names = list(dict.fromkeys(n for own in sets.values() for n in own))
+    values: list = [ALL] if whole or group is None else []
+    held: list[int] = [-1] * len(values)
     if group is not None:
         # One model for each: they are the result, and as few.
-        values = sorted((r[0] for r in rows.select(group).distinct().collect()), key=lambda v: (v is None, str(v)))
-        folds += [(v,) for v in values]
-    number = F.lit(-1)
-    for k, v in enumerate(folds):
-        if v != ALL:
-            number = F.when(F.col(group).eqNullSafe(F.lit(v[0])), k).otherwise(number)
+        found = sorted((r[0] for r in rows.select(group).distinct().collect()), key=lambda v: (v is None, str(v)))
+        values, held = values + found, held + list(range(len(found)))
+    number = F.lit(-2)
+    for k, v in zip(held, values, strict=True):
+        if k >= 0:
+            number = F.when(F.col(group).eqNullSafe(F.lit(v)), k).otherwise(number)
     edges = bin_edges(rows, names, settings.bins)
     state = materialize(_binned(rows, names, edges, number, settings.seed), "binned")
-    models = {v: BoostedTrees(names, edges, settings) for v in folds}
+    # Few rows need few tasks: each of the many passes starts them all.
+    state = state.coalesce(max(1, state.count() // ROWS_PER_TASK))
+    models = [BoostedTrees(list(own), [edges[names.index(n)] for n in own], settings) for own in sets.values() for _ in values]
+    places = [np.array([names.index(n) for n in own]) for own in sets.values() for _ in values]
+    folds = held * len(sets)
     newer: list[list[Tree]] = []
     for t in range(settings.trees):
-        growing = _grown(state, folds, newer, t, len(names), settings)
-        for v, tree in zip(folds, growing, strict=True):
-            models[v].trees.append(tree)
+        columns = [np.sort(p[columns_of(t, len(p), settings)]) for p in places]
+        growing = _grown(state, folds, newer, t, columns, len(names), settings)
+        for model, place, tree in zip(models, places, growing, strict=True):
+            model.trees.append(tree.renumbered(place))
         newer.append(growing)
         if len(newer) == STORED_EVERY or t == settings.trees - 1:
             state, newer = _stored(state, folds, newer, len(names)), []
 
-    count = len(folds)
+    def margin(first: int) -> Column:
+        def own(fold: pd.Series, margins: pd.Series) -> pd.Series:
+            table = np.frombuffer(b"".join(margins), np.float64).reshape(len(margins), len(folds))
+            offset = len(values) - len([k for k in held if k >= 0])
+            return pd.Series(table[np.arange(len(margins)), first + np.where(fold >= 0, fold + offset, 0)])
+
+        return F.pandas_udf(own, "double")("_fold", "_margins") if settings.trees else F.lit(0.0)
 
-    def own(fold: pd.Series, margins: pd.Series) -> pd.Series:
-        table = np.frombuffer(b"".join(margins), np.float64).reshape(len(margins), count)
-        return pd.Series(table[np.arange(len(margins)), np.maximum(fold.to_numpy(), 0)])
+    result = {}
+    for i, name in enumerate(sets):
+        first = i * len(values)
+        probability = (1 / (1 + F.exp(-margin(first)))).alias("model_probability")
+        scored = state.select("_row.*", F.col("_y").cast("int").alias("label"), probability)
+        result[name] = dict(zip(values, models[first : first + len(values)], strict=True)), scored
+    return result
 
-    margin = F.pandas_udf(own, "double")("_fold", "_margins") if settings.trees else F.lit(0.0)
-    scored = state.select("_row.*", F.col("_y").cast("int").alias("label"), (1 / (1 + F.exp(-margin))).alias("model_probability"))
-    return {v if v == ALL else v[0]: m for v, m in models.items()}, scored
+
+def fit_folds(rows: DataFrame, names: Sequence[str], group: str | None = None, whole: bool = True, **changes):
+    """``(models by fold, scored)``: models without each group's rows, and, as fold ``ALL``, on all rows.
+
+    ``rows`` has the feature columns and the 0/1 column ``label``.  ``scored`` has its other columns, the
+    label and ``model_probability``: of the model that did not see the row, or of the one on all rows if
+    there is no ``group``.  Null features count as lower than all values; a null group is a group.
+    """
+    return fit_sets(rows, {"": names}, group, whole, **changes)[""]
 
 
-def _grown(state: DataFrame, folds: list, newer, number: int, width: int, settings: Settings) -> list[Tree]:
+def _grown(state: DataFrame, folds: list, newer, number: int, columns: list, width: int, settings: Settings) -> list[Tree]:
     """The next tree of every fold."""
     growing = [Tree.empty(settings.depth) for _ in folds]
     totals: list[dict[int, tuple[float, float, float]]] = [{} for _ in folds]
     open_nodes: list[list[int]] = [[0] for _ in folds]
-    columns = columns_of(number, width, settings)
     for _ in range(settings.depth):
         found = []
         for first in range(0, len(folds), FOLDS_AT_ONCE):
@@ -297,12 +334,12 @@ def _grown(state: DataFrame, folds: list, newer, number: int, width: int, settin
                     _histograms(part, folds, newer, growing, open_nodes, columns, number, width, settings),
                     "fold int, node int, feature int, task int, sums binary",
                 )
-                best = counted.groupBy("fold", "node", "feature").applyInPandas(_best_of_feature(settings), _BEST)
-                row = F.struct(*[c.split()[0] for c in _BEST.split(", ")])
-                best = best.groupBy("fold", "node").agg(F.max_by(row, F.struct("gain", -F.col("feature"))).alias("b"))
-                found += best.select("b.*").collect()  # one row per open node of a fold
+                found += _best_splits(counted, settings).collect()  # a row per open node and feature, whatever the rows
         open_nodes = [[] for _ in folds]
-        for b in found:
+        leading: dict[tuple[int, int], Row] = {}
+        for b in sorted(found, key=lambda b: (-b.gain, b.feature)):
+            leading.setdefault((b.fold, b.node), b)
+        for _, b in sorted(leading.items()):
             tree, total = growing[b.fold], totals[b.fold]
             total.setdefault(b.node, (b.g, b.h, b.n))
             if b.gain > NO_GAIN:
@@ -332,10 +369,9 @@ def root_splits(rows: DataFrame, names: Sequence[str], **changes) -> DataFrame:
     settings = replace(Settings(), row_share=1.0, column_share=1.0, **changes)
     names = list(names)
     edges = bin_edges(rows, names, settings.bins)
-    state = _binned(rows, names, edges, F.lit(-1), settings.seed)
-    grow = _histograms(range(1), [ALL], [], [Tree.empty(1)], [[0]], np.arange(len(names)), 0, len(names), settings)
-    counted = state.mapInPandas(grow, "fold int, node int, feature int, task int, sums binary")
-    best = counted.groupBy("fold", "node", "feature").applyInPandas(_best_of_feature(settings), _BEST)
+    state = _binned(rows, names, edges, F.lit(-2), settings.seed)
+    grow = _histograms(range(1), [-1], [], [Tree.empty(1)], [[0]], [np.arange(len(names))], 0, len(names), settings)
+    best = _best_splits(state.mapInPandas(grow, "fold int, node int, feature int, task int, sums binary"), settings)
     label = F.array(*[F.lit(n) for n in names])[F.col("feature")]
     cuts = F.array(*[F.array(*[F.lit(float(v)) for v in e]).cast("array<double>") for e in edges])
     usable = best.filter(F.col("gain") > F.lit(float("-inf")))

@@ -260,11 +260,9 @@ def fixed_holdout(rows: DataFrame, names: Sequence[str], held: Sequence[str], **
 
 
 def compare_feature_sets(rows: DataFrame, feature_sets: dict[str, Sequence[str]], group: str, **changes) -> DataFrame:
-    """The quality table for each named feature list."""
-    rows = materialize(rows, "ablation")
+    """The quality table for each named feature list; the models of all lists and folds grow together."""
     found = None
-    for name, names in feature_sets.items():
-        table = quality_table(leave_one_group_out(rows, names, group, **changes))
-        table = materialize(table.withColumn("feature_set", F.lit(name)), "quality")
+    for name, (_, scored) in boosting.fit_sets(rows, feature_sets, group, whole=False, **changes).items():
+        table = materialize(quality_table(materialize(scored, "folds")).withColumn("feature_set", F.lit(name)), "quality")
         found = table if found is None else found.unionByName(table)
     return found

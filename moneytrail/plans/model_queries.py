@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import density, features, graph_search, isolation, metrics, models
+from ..operators import boosting, density, features, graph_search, isolation, metrics, models
 from ..operators.graph import undirected_edges
 from ..session import materialize, scratch_path
+from . import feature_queries
 from .feature_queries import ACCOUNT_RELATIONS, ACCOUNTS, FEATURE_RELATIONS, FEATURES, matrix, rounded
 from .graph_queries import account_nodes, sent
 from .oracle import sql
 from .quality_queries import _LONG, BASELINE_FEATURES
+from .rule_queries import rule_results
 
 NAMES = features.SIGNAL_FEATURES
-TREES, DEPTH, FOREST = 10, 3, 50
+TREES, DEPTH, FOREST = boosting.Settings.trees, boosting.Settings.depth, 200
 
 
 def stored_matrix(s):
@@ -25,9 +27,16 @@ def training_rows(s, full, names=NAMES):
     return materialize(features.labeled_rows(full, s.scenarios(), names), "training")
 
 
+_fitted: dict[tuple[str, str], tuple] = {}
+
+
 def fitted(s):
-    full = stored_matrix(s)
-    return models.fit_classifier(training_rows(s, full), NAMES, maxIter=TREES), full
+    """The classifier on all scenarios and the stored matrix: one fit for all queries of a session and folder."""
+    key = (s.spark.sparkContext.applicationId, s.folder)
+    if key not in _fitted:
+        full = stored_matrix(s)
+        _fitted[key] = models.fit_classifier(training_rows(s, full), NAMES), full
+    return _fitted[key]
 
 
 def classifier_scores(s):
@@ -88,7 +97,7 @@ def model_reload(s):
 
 def group_validation(s):
     rows = training_rows(s, stored_matrix(s))
-    return models.leave_one_group_out(rows, NAMES, "employee_id", maxIter=5)
+    return models.leave_one_group_out(rows, NAMES, "employee_id")
 
 
 def validation_quality(s):
@@ -97,15 +106,23 @@ def validation_quality(s):
 
 def fixed_holdout(s):
     rows = training_rows(s, stored_matrix(s))
-    return models.fixed_holdout(rows, NAMES, ["S0", "S1"], maxIter=TREES)
+    return models.fixed_holdout(rows, NAMES, ["S0", "S1"])
 
 
 def feature_set_comparison(s):
-    full = stored_matrix(s)
+    """The 41 features without rule flags, the 44 with them, and the ten signals."""
+    results, _, _ = rule_results(s)
+    full = materialize(matrix(s, results), "matrix")
     every = [c for c in full.columns if c != "account_id"]
     rows = training_rows(s, full, every)
-    sets = {"all features": every, "signal features": list(NAMES)}
-    return models.compare_feature_sets(rows, sets, "employee_id", maxIter=3)
+    plain = [c for c in every if c not in features.FEATURE_GROUPS["rules"]]
+    sets = {"41 features": plain, "44 features": every, "10 signals": list(NAMES)}
+    return models.compare_feature_sets(rows, sets, "employee_id")
+
+
+def root_splits(s):
+    """The best first split of each signal feature, with its gain under both penalties."""
+    return rounded(boosting.root_splits(rounded(training_rows(s, stored_matrix(s))), NAMES))
 
 
 def forest(s):
@@ -172,6 +189,21 @@ def _every_account(columns):
     return sql(f"SELECT account_id, {columns} FROM accounts", *ACCOUNT_RELATIONS, **ACCOUNTS)
 
 
+_ROWS = feature_queries.QUERIES["labeled_dataset"][1]
+_SIGNALS = ", ".join(NAMES)
+# All rows start at probability 0.5: gradient 0.5 - label, hessian 0.25; L1 0.5, L2 1, least hessian 1.
+ROOT_SPLITS = f"""
+WITH long AS (SELECT label, feature, value FROM ({_ROWS}) UNPIVOT (value FOR feature IN ({_SIGNALS}))),
+e AS (SELECT DISTINCT feature, unnest(q) AS edge, top FROM (SELECT feature, max(value) AS top, quantile_disc(value,
+    [{", ".join(f"{i + 1}/256.0::DOUBLE" for i in range(255))}]) AS q FROM long GROUP BY feature)),
+s AS (SELECT feature, edge, sum(0.5 - label) FILTER (value <= edge) AS gl, 0.25 * count(*) FILTER (value <= edge) AS hl,
+    sum(0.5 - label) AS g, 0.25 * count(*) AS h FROM long JOIN e USING (feature) WHERE edge < top GROUP BY feature, edge),
+k AS (SELECT feature, edge, (greatest(abs(gl) - 0.5, 0) ** 2 / (hl + 1) + greatest(abs(g - gl) - 0.5, 0) ** 2 / (h - hl + 1)
+    - greatest(abs(g) - 0.5, 0) ** 2 / (h + 1)) / 2 AS gain FROM s WHERE hl >= 1 AND h - hl >= 1)
+SELECT feature, round(edge + 1e-9, 6) AS threshold, round(gain + 1e-9, 6) AS gain FROM k
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, edge) = 1
+"""
+
 QUERIES = {
     "classifier_scores": (classifier_scores, None),
     "tree_row_scores": (tree_row_scores, _every_account("true AS same")),
@@ -191,6 +223,7 @@ QUERIES = {
     "validation_quality": (validation_quality, None),
     "fixed_holdout": (fixed_holdout, None),
     "feature_set_comparison": (feature_set_comparison, None),
+    "root_splits": (root_splits, ROOT_SPLITS),
     "forest_nodes": (forest_nodes, None),
     "isolation_scores": (isolation_scores, None),
     "isolation_attributions": (isolation_attributions, None),

@@ -177,7 +177,7 @@ def scored_accounts(s):
     full = model_queries.stored_matrix(s)
     results, _, _ = rule_results(s)
     rows = model_queries.training_rows(s, full)
-    model = models.fit_classifier(rows, model_queries.NAMES, maxIter=model_queries.TREES)
+    model = models.fit_classifier(rows, model_queries.NAMES)
     names = [c for c in full.columns if c != "account_id" and c not in features.FEATURE_GROUPS["customer"]]
     background, _ = features.split_background(full, s.scenarios().filter(F.col("scenario_type") == "suspicious"))
     background = materialize(background, "background")

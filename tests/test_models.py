@@ -120,6 +120,18 @@ def test_trees_match_brute_force(spark, matrix):
                 assert probability[r.account_id] == pytest.approx(1 / (1 + np.exp(-m)))
 
 
+def test_feature_sets_grow_as_if_alone(matrix):
+    rows = matrix.withColumn("d", F.col("a") * 2 - F.col("c"))
+    sets = {"first": ["a", "b", "c"], "second": ["d", "b"]}
+    both = boosting.fit_sets(rows, sets, "employee_id", whole=False, trees=3)
+    for name, names in sets.items():
+        alone, scored = boosting.fit_folds(rows.drop(*{"a", "b", "c", "d"} - set(names)), names, "employee_id", whole=False, trees=3, row_share=1.0)
+        again = boosting.fit_sets(rows, sets, "employee_id", whole=False, trees=3, row_share=1.0)[name]
+        assert {k: m.node_rows() for k, m in alone.items()} == {k: m.node_rows() for k, m in again[0].items()}
+        assert probabilities(scored) == probabilities(again[1])
+    assert both["first"][1].count() == 120
+
+
 def test_boosting_of_odd_rows(spark, matrix, monkeypatch):
     monkeypatch.setattr(boosting, "FOLDS_AT_ONCE", 2)
     odd = matrix.withColumn("a", F.when(F.col("a") > 1, None).otherwise(F.col("a"))).withColumn("b", F.lit(1.0))
