@@ -94,34 +94,55 @@ def least_shared(n: np.ndarray, size: int, percent: int) -> np.ndarray:
     return np.where(whole, -(-n * percent // 100), math.floor(size * SHARED))
 
 
+def _owners(values: np.ndarray, owners: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Owners of all places of ``values`` (sorted) that hold one of ``wanted`` (distinct)."""
+    low, high = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+    size = high - low
+    return owners[np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)]
+
+
 def _block_pairs(size: int, percent: int):
     """Possible pairs of the blocks that follow each other in a partition.
 
-    Rows: value, bi, bj, outer, node, n, component, sketch.  Overlaps are counted for an outer row
-    against all rows of its block at once; only pairs that pass them and the estimate come out.
+    Rows: value, bi, bj, outer, node, n, component, lists, sketch.  A pair is compared only in the block
+    of the smallest list that both are in.  Overlaps are counted for an outer row against all rows of its
+    block at once, by a lookup in the sorted values of the block; only pairs that pass them and the
+    estimate come out.
     """
 
     def compare(rows: list[tuple], found: list[tuple]) -> None:
         inner = [r for r in rows if not r[3]]
-        if not inner:
+        outer = [r for r in rows if r[3]]
+        if not inner or not outer:
             return
-        values = np.concatenate([r[7] for r in inner])
-        owner = np.repeat(np.arange(len(inner)), [len(r[7]) for r in inner])
+        value = rows[0][0]
+        owned = np.repeat(np.arange(len(inner)), [len(r[8]) for r in inner])
+        values = np.concatenate([r[8] for r in inner])
+        order = np.argsort(values, kind="stable")
+        values, owned = values[order], owned[order]
+        # Lists of the inner rows below this one: a pair that shares any of them is met there.
+        lower = [r[7][r[7] < value] for r in inner]
+        met = np.concatenate(lower)
+        met_by = np.repeat(np.arange(len(inner)), [len(x) for x in lower])
+        order = np.argsort(met, kind="stable")
+        met, met_by = met[order], met_by[order]
         node, n, component = (np.array([r[i] for r in inner]) for i in (4, 5, 6))
         least = least_shared(n, size, percent)
-        for r in rows:
-            if not r[3]:
-                continue
-            shared = np.bincount(owner[np.isin(values, r[7])], minlength=len(inner))
+        for r in outer:
+            shared = np.bincount(_owners(values, owned, r[8]), minlength=len(inner))
             need = np.minimum(least, least_shared(np.array([r[5]]), size, percent))
             fits = 100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])
-            for i in np.flatnonzero((shared >= need) & fits & (component != r[6])):
-                other = inner[i][7]
+            fits &= (shared >= need) & (component != r[6])
+            if not fits.any():
+                continue
+            fits[_owners(met, met_by, r[7][r[7] < value])] = False
+            for i in np.flatnonzero(fits):
+                other = inner[i][8]
                 if max(n[i], r[5]) <= size:
                     score = shared[i] / (n[i] + r[5] - shared[i])
                     good = 100 * shared[i] >= percent * (n[i] + r[5] - shared[i])
                 else:
-                    score = estimate(r[7], other, size)
+                    score = estimate(r[8], other, size)
                     good = 100 * (score + SLACK) >= percent
                 if good:
                     found.append((min(r[4], int(node[i])), max(r[4], int(node[i])), float(score)))
@@ -135,13 +156,13 @@ def _block_pairs(size: int, percent: int):
             return pa.record_batch([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64()), pa.array(scores, pa.float64())], names=["hub", "node", "score"])
 
         for batch in batches:
-            sketches = batch.column(7)
-            flat, offsets = sketches.values.to_numpy().view(np.uint64), sketches.offsets.to_numpy()
+            (in_lists, at_lists), (flat, at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(7), batch.column(8)))
+            flat = flat.view(np.uint64)
             for i, row in enumerate(zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True)):
                 if row[:3] != last:
                     compare(rows, found)
                     last, rows = row[:3], []
-                rows.append((*row, flat[offsets[i] : offsets[i + 1]]))
+                rows.append((*row, in_lists[at_lists[i] : at_lists[i + 1]], flat[at[i] : at[i + 1]]))
             if found:
                 yield drain()
         compare(rows, found)
@@ -293,11 +314,13 @@ class NearDuplicates:
             if left <= PAIRS_PER_ROW * rows:
                 break
         # Each member outside the largest component of its list meets the whole list, in blocks.
-        sketched = lists.join(self.sketches.select("node", "sketch"), "node")
+        # A row carries the lists it is still in, so that a pair is compared in the smallest common one.
+        own = lists.groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("lists"))  # at most a sketch
+        sketched = lists.join(own, "node").join(self.sketches.select("node", "sketch"), "node")
         outer = F.col("component") != F.col("largest")
         bi = F.pmod(F.xxhash64("node"), F.ceil(F.col("outers") / BLOCK_ROWS))
         bj = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK_ROWS))
-        columns = [F.col(c) for c in ("node", "n", "component", "sketch")]
+        columns = [F.col(c) for c in ("node", "n", "component", "lists", "sketch")]
         each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(blocks) / BLOCK_ROWS) - 1))
         left = sketched.filter(outer).select("value", bi.alias("bi"), each("members").alias("bj"), F.lit(True).alias("outer"), *columns)
         right = sketched.select("value", each("outers").alias("bi"), bj.alias("bj"), F.lit(False).alias("outer"), *columns)
