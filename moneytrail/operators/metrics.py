@@ -51,11 +51,14 @@ def _standing() -> dict[str, Column]:
 
 
 def ranking_quality(ranked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """ROC-AUC (ties count half) and average precision."""
+    """ROC-AUC (ties count half) and average precision; null where one of the two classes is absent."""
     at = _standing()
+    both = (F.max("P") > 0) & (F.max("N") > 0)
+    pairs = F.nullif(F.max("P") * F.max("N"), F.lit(0))
+    precision = at["tp"] / F.nullif(at["tp"] + at["fp"], F.lit(0))
     return ranked.groupBy(*keys).agg(
-        (F.sum(F.col("pos") * at["below"]) / (F.max("P") * F.max("N"))).alias("roc_auc"),
-        F.sum(F.col("pos") / F.col("P") * at["tp"] / (at["tp"] + at["fp"])).alias("average_precision"),
+        (F.sum(F.col("pos") * at["below"]) / pairs).alias("roc_auc"),
+        F.when(both, F.sum(F.col("pos") / F.nullif(F.col("P"), F.lit(0)) * precision)).alias("average_precision"),
     )
 
 

@@ -216,12 +216,13 @@ def merged_payments(sources) -> DataFrame:
 def rule_payments(payments: DataFrame, needs_amount: bool = True) -> DataFrame:
     """Payments as rules may count them, with their provenance.
 
-    Rows without time, id, account or, if asked, a number as amount go.  Unless the table was merged
-    before, of rows with one id the earliest stays; its provenance is then the ledger.
+    Rows without time, id, account or, if asked, a payment format and a number as amount go; ids are
+    blank if any white space is all they hold.  Unless the table was merged before, of rows with one id
+    the earliest stays; its provenance is then the ledger.
     """
     good = F.col("ts").isNotNull()
-    for name in ("transaction_id", "from_account", "to_account"):
-        good = good & (F.trim(F.col(name).cast("string")) != "")
+    for name in ("transaction_id", "from_account", "to_account", *(("payment_format",) if needs_amount else ())):
+        good = good & (clean_text(F.col(name).cast("string")) != "")
     if needs_amount:
         good = good & F.col("amount_paid").isNotNull() & ~F.isnan(F.col("amount_paid").cast("double"))
     payments = payments.filter(good)

@@ -89,7 +89,7 @@ def high_value_cycle_accounts(s):
 
 
 def shortest_cycles(s):
-    e = high_value(s)
+    e = simple(s)
     found = graph_search.shortest_cycles(e, e.select(F.col("src").alias("account_id")).distinct())
     return found.select("account_id", "cycle_length", F.array_join("path", ">").alias("path"))
 
@@ -322,6 +322,18 @@ def _clusters(body, *needed, **extra):
     return sql(body, *needed, recursive=True, **CLUSTERS, **extra)
 
 
+CYCLES = range(2, 5)
+
+
+def _cycles(n):
+    """The smallest closed way of ``n`` edges through each account that has no shorter one."""
+    steps = "".join(f" JOIN e e{i} ON e{i}.u = e{i - 1}.v" for i in range(2, n + 1))
+    shorter = " UNION ALL ".join(f"SELECT account_id FROM cycles{m}" for m in range(2, n))
+    start = f"(SELECT * FROM e WHERE u NOT IN ({shorter}))" if shorter else "e"
+    path = ", ".join(f"e{i}.u" for i in range(1, n + 1))
+    return f"SELECT e1.u AS account_id, min([{path}]) AS path FROM {start} e1{steps} WHERE e{n}.v = e1.u GROUP BY 1"
+
+
 QUERIES = {
     "investigation_ledger": (
         investigation_ledger,
@@ -357,15 +369,9 @@ QUERIES = {
     ),
     "shortest_cycles": (
         shortest_cycles,
-        sql(
-            "SELECT account_id, cycle_length, array_to_string(path, '>') AS path FROM (SELECT path[1] AS account_id, "
-            "CAST(len(path) AS INTEGER) AS cycle_length, path, row_number() OVER (PARTITION BY path[1] ORDER BY len(path), "
-            "path) AS rn FROM p JOIN big b ON b.u = path[-1] AND b.v = path[1] WHERE len(path) >= 2) WHERE rn = 1",
-            "ledger", recursive=True, **_BIG,
-            **{
-                "p(path)": "SELECT [u] FROM (SELECT DISTINCT u FROM big) UNION ALL SELECT list_append(path, b.v) FROM p JOIN "
-                "big b ON b.u = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, b.v)"
-            },
+        _graph(
+            " UNION ALL ".join(f"SELECT account_id, {n} AS cycle_length, array_to_string(path, '>') AS path FROM cycles{n}" for n in CYCLES),
+            **{f"cycles{n}": _cycles(n) for n in CYCLES},
         ),
     ),
     "betweenness": (betweenness, _graph(f"SELECT account_id, {r6('betweenness_centrality', digits=9)} FROM btw")),

@@ -40,9 +40,12 @@ def average_precision(s):
 
 
 def ranking_by_source(s):
-    ranked = metrics.ranking_table(scored(s).filter("source is not null"), "label", "score", ["source"])
-    found = metrics.ranking_quality(materialize(ranked, "ranked").filter("P > 0 and N > 0"), ["source"])
-    return rounded(found)
+    """Every source, the null one too; a source with one class has no measures."""
+    key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
+    ranked = metrics.ranking_table(scored(s).withColumn("key", key), "label", "score", ["key"])
+    found = metrics.ranking_quality(materialize(ranked, "ranked"), ["key"])
+    source = F.when(F.col("key") != "1", F.expr("substring(key, 2)")).alias("source")
+    return rounded(found.select(source, "roc_auc", "average_precision"))
 
 
 def cut_quality(s):
@@ -222,12 +225,14 @@ QUERIES = {
     "ranking_by_source": (
         ranking_by_source,
         sql(
-            "SELECT a.source, round(avg(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE "
-            "ELSE 0 END) + 1e-9, 6) AS roc_auc, any_value(ap) AS average_precision FROM sc a JOIN sc b ON b.source = a.source "
-            "AND a.label = 1 AND b.label = 0 JOIN (SELECT source AS s, round(sum(pos / p * tp / (tp + fp)) + 1e-9, 6) AS ap FROM "
+            "SELECT g.source, auc AS roc_auc, CASE WHEN auc IS NOT NULL THEN ap END AS average_precision FROM (SELECT DISTINCT source "
+            "FROM sc) g LEFT JOIN (SELECT a.source, round(avg(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score "
+            "THEN 0.5::DOUBLE ELSE 0 END) + 1e-9, 6) AS auc FROM sc a JOIN sc b ON b.source IS NOT DISTINCT FROM a.source "
+            "AND a.label = 1 AND b.label = 0 GROUP BY 1) r ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN "
+            "(SELECT source, round(sum(pos / p * tp / (tp + fp)) + 1e-9, 6) AS ap FROM "
             "(SELECT source, pos, sum(pos) OVER (PARTITION BY source)::DOUBLE AS p, sum(pos) OVER w AS tp, sum(neg) OVER w AS "
             "fp FROM (SELECT source, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM sc GROUP BY 1, 2) WINDOW w "
-            "AS (PARTITION BY source ORDER BY score DESC)) GROUP BY 1) ON s = a.source GROUP BY 1",
+            "AS (PARTITION BY source ORDER BY score DESC)) GROUP BY 1) v ON v.source IS NOT DISTINCT FROM g.source",
             **SCORED,
         ),
     ),
