@@ -56,6 +56,18 @@ def jackknife_errors(s):
     return rounded(metrics.jackknife(scored(s), "label", "score", 0.5))
 
 
+def jackknife_of_measures(s):
+    """Two measures of a user's own: specificity at 0.5, and the mean squared error of the score."""
+    negative, low = (F.col("label") == 0).cast("int"), (F.col("score") < 0.5).cast("int")
+    measures = {
+        "specificity": metrics.SumMeasure({"kept": negative * low, "all": negative}, lambda t: t["kept"] / F.nullif(t["all"], F.lit(0.0))),
+        "squared_error": metrics.SumMeasure(
+            {"sum": F.pow(F.col("score") - F.col("label"), F.lit(2)), "n": F.lit(1)}, lambda t: t["sum"] / F.nullif(t["n"], F.lit(0.0))
+        ),
+    }
+    return rounded(metrics.jackknife_of(scored(s), measures))
+
+
 def leave_one_out_means(s):
     return rounded(metrics.leave_one_out_means(scored(s), "score").select("account_id", "mean_of_others"))
 
@@ -248,6 +260,18 @@ QUERIES = {
         ),
     ),
     "jackknife_errors": (jackknife_errors, _JACK.format(sc=SCORED["sc"])),
+    "jackknife_of_measures": (
+        jackknife_of_measures,
+        sql(
+            "SELECT measure, round(any_value(whole) + 1e-9, 6) AS value, round(sqrt((count(*) - 1) * var_pop(x)) + 1e-9, 6) AS "
+            "standard_error FROM (SELECT i.account_id, 'specificity' AS measure, count(*) FILTER (j.label = 0 AND j.score < 0.5)::DOUBLE "
+            "/ count(*) FILTER (j.label = 0) AS x, (SELECT count(*) FILTER (label = 0 AND score < 0.5)::DOUBLE / count(*) FILTER "
+            "(label = 0) FROM sc) AS whole FROM sc i JOIN sc j ON i.account_id <> j.account_id GROUP BY 1 UNION ALL SELECT "
+            "i.account_id, 'squared_error', avg((j.score - j.label) ** 2), (SELECT avg((score - label) ** 2) FROM sc) FROM sc i "
+            "JOIN sc j ON i.account_id <> j.account_id GROUP BY 1) GROUP BY 1",
+            **SCORED,
+        ),
+    ),
     "leave_one_out_means": (
         leave_one_out_means,
         sql(

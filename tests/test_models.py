@@ -241,3 +241,17 @@ def test_jackknife_matches_brute_force(spark):
     for name, fn in (("roc_auc", auc), ("f1", f1)):
         each = np.array([fn(np.delete(y, i), np.delete(p, i)) for i in range(30)])
         assert got[name] == pytest.approx(np.sqrt(29 * each.var()))
+
+
+def test_jackknife_of_a_users_measure(spark):
+    rng = np.random.default_rng(3)
+    y, p = rng.integers(0, 2, 25), rng.uniform(size=25)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)] + [(None, None)], "label int, score double")
+    hit = ((F.col("label") == 1) & (F.col("score") >= 0.3)).cast("int")
+    share = metrics.SumMeasure({"hit": hit, "all": F.col("label")}, lambda t: t["hit"] / t["all"] - 0.1 * t["all"])
+    got = metrics.jackknife_of(df, {"own": share}).collect()
+    own = lambda y, p: ((y == 1) & (p >= 0.3)).sum() / y.sum() - 0.1 * y.sum()
+    y, p = np.append(y, 0), np.append(p, 0.0)  # the row of nulls adds nothing
+    each = np.array([own(np.delete(y, i), np.delete(p, i)) for i in range(26)])
+    assert [r.measure for r in got] == ["own"] and got[0].value == pytest.approx(own(y, p))
+    assert got[0].standard_error == pytest.approx(np.sqrt(25 * each.var()))
