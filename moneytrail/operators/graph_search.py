@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release_scratch, scratch_tables
 from .skew import positions
 
+# Betweenness holds about so many (source, account) rows at a time.
+ROWS_IN_FLIGHT = 1_000_000_000
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -126,23 +129,8 @@ def shortest_cycles(simple: DataFrame, accounts: DataFrame, max_length: int = 6)
 # --- betweenness ------------------------------------------------------------------------
 
 
-def betweenness(simple: DataFrame, accounts: DataFrame, sources: int | None = None) -> DataFrame:
-    """Normalised betweenness of every account by per-source path counting.
-
-    Exact with ``sources=None``: the work is accounts x edges.  With a number, that many sources
-    are taken by hash and the sums scaled up, an estimate the caller asks for.
-    """
-    edges = materialize(simple.filter(F.col("src") != F.col("dst")).select("src", "dst"), "simple")
-    nodes = materialize(accounts.select("account_id").distinct(), "nodes")
-    total = nodes.count()
-    payers = edges.select(F.col("src").alias("source")).distinct()
-    scale = 1.0
-    if sources is not None and sources < total:
-        chosen = nodes.orderBy(F.xxhash64("account_id"), "account_id").limit(sources)
-        payers = payers.join(chosen.select(F.col("account_id").alias("source")), "source", "left_semi")
-        scale = total / sources
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-
+def _dependencies(payers: DataFrame, steps: DataFrame) -> list[DataFrame]:
+    """(node, share) per level: the shortest paths from ``payers`` through a node, by its weight in each."""
     levels = [payers.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths"))]
     while True:
         grown = levels[-1].join(steps, "node").groupBy("source", F.col("next").alias("node")).agg(
@@ -167,11 +155,46 @@ def betweenness(simple: DataFrame, accounts: DataFrame, sources: int | None = No
         deeper = level.join(gained.select("source", "node", "share"), ["source", "node"], "left").fillna(0.0)
         deeper = materialize(deeper, "shares")
         shares.append(deeper.select("node", "share"))
+    return shares
+
+
+def betweenness(
+    simple: DataFrame, accounts: DataFrame, sources: int | None = None, rows_in_flight: int = ROWS_IN_FLIGHT
+) -> DataFrame:
+    """Normalised betweenness of every account by per-source path counting.
+
+    Exact with ``sources=None``: the work is accounts x edges.  With a number, that many sources
+    are taken by hash and the sums scaled up, an estimate the caller asks for.
+
+    Sources go in waves by hash, about ``rows_in_flight`` / accounts of them at a time, so the levels
+    of a wave together hold about ``rows_in_flight`` rows at most.  Between waves only one sum per
+    account is kept; the levels are deleted.  A wave has at least one source.
+    """
+    spark = simple.sparkSession
+    edges = materialize(simple.filter(F.col("src") != F.col("dst")).select("src", "dst"), "simple")
+    nodes = materialize(accounts.select("account_id").distinct(), "nodes")
+    total = nodes.count()
+    payers = edges.select(F.col("src").alias("source")).distinct()
+    scale = 1.0
+    if sources is not None and sources < total:
+        chosen = nodes.orderBy(F.xxhash64("account_id"), "account_id").limit(sources)
+        payers = payers.join(chosen.select(F.col("account_id").alias("source")), "source", "left_semi")
+        scale = total / sources
+    payers = materialize(payers, "payers")
+    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+
+    waves = -(-payers.count() // max(1, rows_in_flight // max(1, total)))
+    sums, mark = None, scratch_tables()
+    for wave in range(waves):
+        mine = payers.filter(F.pmod(F.xxhash64("source"), F.lit(waves)) == wave)
+        shares = _dependencies(mine, steps) + ([sums] if sums is not None else [])
+        if shares:
+            sums = materialize(_union(shares).groupBy("node").agg(F.sum("share").alias("share")), "sums")
+        release_scratch(spark, mark, keep=1 if shares else 0)
     factor = scale / ((total - 1) * (total - 2)) if total > 2 else 1.0
     value = F.lit(0.0)
-    if shares:
-        sums = _union(shares).groupBy(F.col("node").alias("account_id")).agg(F.sum("share").alias("share"))
-        nodes = nodes.join(sums, "account_id", "left")
+    if sums is not None:
+        nodes = nodes.join(sums.withColumnRenamed("node", "account_id"), "account_id", "left")
         value = F.coalesce(F.col("share") * factor, F.lit(0.0))
     return nodes.select("account_id", value.alias("betweenness_centrality"))
 

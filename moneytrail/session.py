@@ -90,15 +90,22 @@ def _release_at_exit(spark: SparkSession) -> None:
         pass  # the JVM is gone already; what is left falls under the folder's own retention
 
 
-def release_scratch(spark: SparkSession) -> int:
+def scratch_tables() -> int:
+    """How many scratch tables this process holds now: a mark for ``release_scratch``."""
+    return len(_written)
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     """Delete the scratch tables this process wrote, once the results built on them are stored.
 
-    Also done when the process ends.
+    With ``since`` the first so many stay, with ``keep`` the last so many: a loop drops what its
+    rounds are done with.  All go when the process ends.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    end, gone = max(since, len(_written) - keep), 0
+    done, _written[since:end] = _written[since:end], []
+    for name in reversed(done):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 

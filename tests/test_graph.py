@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from moneytrail import session
 from moneytrail.operators import density, graph, graph_search
 
 
@@ -81,8 +82,18 @@ def test_betweenness(spark):
                 total += paths[s, v] * paths[v, t] / paths[s, t]
         want[v] = total / ((n - 1) * (n - 2))
     accounts = spark.createDataFrame([(v,) for v in nodes], "account_id string")
-    got = {r.account_id: r.betweenness_centrality for r in graph_search.betweenness(frame(spark, edges), accounts).collect()}
-    assert got == pytest.approx(want)
+    for in_flight in (graph_search.ROWS_IN_FLIGHT, 7 * n):  # one wave, a few
+        before = session.scratch_tables()
+        found = graph_search.betweenness(frame(spark, edges), accounts, rows_in_flight=in_flight)
+        assert session.scratch_tables() - before == 4  # edges, accounts, sources and the sums
+        assert {r.account_id: r.betweenness_centrality for r in found.collect()} == pytest.approx(want)
+
+
+def test_betweenness_without_paths(spark):
+    accounts = spark.createDataFrame([("a",), ("b",), ("c",)], "account_id string")
+    for edges in ([], [("a", "b"), ("c", "b")]):
+        found = graph_search.betweenness(frame(spark, edges), accounts, rows_in_flight=1)
+        assert {tuple(r) for r in found.collect()} == {("a", 0.0), ("b", 0.0), ("c", 0.0)}
 
 
 def test_clustering(spark):
