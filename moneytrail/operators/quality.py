@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ids
+from ..session import materialize
 from . import rule_config
 from .entities import explode_ids
 from .risk import scenario_accounts
+from .windows import span_coverage
 
 # The signal each rule can confirm.
 SIGNALS = {
@@ -101,6 +103,13 @@ def detection_summary(signals: DataFrame, results: DataFrame, scenarios: DataFra
     )
 
 
+def splitting_spans(results: DataFrame) -> DataFrame:
+    """Splitting results as spans of positions among the account's payments."""
+    found = results.filter(F.col("rule_id") == rule_config.SPLITTING)
+    place = {c: F.col("metrics")[c].cast("bigint") for c in ("first_position", "last_position")}
+    return found.select(F.col("account_id").alias("from_account"), "result_key", "record_count", *[v.alias(c) for c, v in place.items()])
+
+
 def evidence_audit(
     scenarios: DataFrame,
     results: DataFrame,
@@ -108,16 +117,51 @@ def evidence_audit(
     access_events: DataFrame,
     profile_changes: DataFrame,
     transactions: DataFrame,
+    positioned: DataFrame | None = None,
 ) -> DataFrame:
     """(scenario_id, rule_id, issue, records): evidence that does not fit the scenario or any table.
 
+    ``unknown_record`` is in no table and ``outside_scenario`` not in the scenario's own lists, though
+    the result names one of its accounts; ``wrong_account`` is in its lists, but the result names none
+    of its accounts.  ``absent_from_evidence`` counts records that a result claims (``record_count``)
+    and does not cite, ``missing_explanation`` results without a sentence.
+
     Each record is checked against the tables once; scenarios meet records through the account of
-    the result, counted per record, so many results citing one record stay one row.
+    the result, counted per record, so many results citing one record stay one row.  With
+    ``positioned`` payments (``rules.payment_positions``) the evidence of splitting is read off the
+    results' spans of positions by a running sum, and no row per window and payment is needed.
     """
-    owner = results.select("rule_id", "result_key", "account_id", "explanation")
-    cited = evidence.join(owner.drop("explanation"), ["rule_id", "result_key"]).groupBy(
-        "rule_id", "account_id", "record_type", "record_id"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    owner = results.select("rule_id", "result_key", "account_id", "record_count")
+    if positioned is not None:
+        spanned = F.col("rule_id") == rule_config.SPLITTING
+        owner, evidence = owner.filter(~spanned), evidence.filter(~spanned)
+    # One row per result and record, so a record cited twice does not stand for another one.
+    records = evidence.select("rule_id", "result_key", "record_type", "record_id").distinct()
+    held = records.groupBy("rule_id", "result_key").agg(F.count(F.lit(1)).alias("_held"))
+    short = owner.join(held, ["rule_id", "result_key"], "left").select(
+        "rule_id", "account_id", (F.coalesce("record_count", F.lit(0)) - F.coalesce("_held", F.lit(0))).alias("n")
+    )
+    cited = records.join(owner, ["rule_id", "result_key"]).groupBy("rule_id", "account_id", "record_type", "record_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    if positioned is not None:
+        spans = splitting_spans(results)
+        rule = F.lit(rule_config.SPLITTING).alias("rule_id")
+        covered = span_coverage(spans, positioned.select("from_account", "transaction_id", "record_type", "position"))
+        cited = cited.unionByName(
+            covered.select(
+                rule, F.col("from_account").alias("account_id"), "record_type", F.col("transaction_id").alias("record_id"),
+                F.col("covered").alias("n"),
+            )
+        )
+        # Positions have no gaps, so a span holds what lies up to the account's last payment.
+        made = positioned.groupBy("from_account").agg(F.max("position").alias("_last"))
+        there = F.least("last_position", F.coalesce("_last", F.lit(0))) - F.col("first_position") + 1
+        short = short.unionByName(
+            spans.join(made, "from_account", "left").select(
+                rule, F.col("from_account").alias("account_id"), (F.col("record_count") - F.greatest(there, F.lit(0))).alias("n")
+            )
+        )
     base = (
         access_events.select(F.lit("access_event").alias("record_type"), F.col("event_id").alias("record_id"))
         .unionByName(profile_changes.select(F.lit("profile_change").alias("record_type"), F.col("change_id").alias("record_id")))
@@ -125,7 +169,7 @@ def evidence_audit(
         .distinct()
         .withColumn("_known", F.lit(1))
     )
-    in_scenario = scenario_accounts(scenarios).select("scenario_id", "account_id")
+    in_scenario = scenario_accounts(scenarios).select("scenario_id", "account_id").distinct()
 
     def listed(column, kind, separators):
         ids = F.explode(F.array_distinct(split_ids(F.col(column), separators)))
@@ -146,20 +190,25 @@ def evidence_audit(
         .distinct()
         .withColumn("_true", F.lit(1))
     )
-    checked = (
-        cited.join(base, ["record_type", "record_id"], "left")
-        .join(in_scenario, "account_id")
-        .join(truth, ["scenario_id", "record_type", "record_id"], "left")
-    )
+    # Stored, as the two checks below join it by different keys.
+    cited = materialize(cited.join(base, ["record_type", "record_id"], "left"), "cited")
+    checked = cited.join(in_scenario, "account_id").join(truth, ["scenario_id", "record_type", "record_id"], "left")
     issue = F.when(F.col("_known").isNull(), "unknown_record").when(F.col("_true").isNull(), "outside_scenario")
-    records = checked.withColumn("issue", issue).filter("issue is not null").groupBy("scenario_id", "rule_id", "issue").agg(
-        F.sum("n").alias("records")
-    )
-    silent = owner.filter(F.coalesce("explanation", F.lit("")) == "").join(in_scenario, "account_id")
-    silent = silent.groupBy("scenario_id", "rule_id", F.lit("missing_explanation").alias("issue")).agg(
-        F.count(F.lit(1)).alias("records")
+    checked = checked.withColumn("issue", issue).filter("issue is not null").select("scenario_id", "rule_id", "issue", "n")
+    strangers = cited.join(truth.drop("_true"), ["record_type", "record_id"]).join(
+        in_scenario, ["scenario_id", "account_id"], "left_anti"
     )
-    return records.unionByName(silent)
+    strangers = strangers.select("scenario_id", "rule_id", F.lit("wrong_account").alias("issue"), "n")
+
+    def of_accounts(found, kind):
+        summed = found.groupBy("rule_id", "account_id").agg(F.sum("n").alias("n"))
+        return summed.join(in_scenario, "account_id").select("scenario_id", "rule_id", F.lit(kind).alias("issue"), "n")
+
+    absent = of_accounts(short.filter("n > 0"), "absent_from_evidence")
+    silent = results.filter(F.coalesce("explanation", F.lit("")) == "").select("rule_id", "account_id", F.lit(1).alias("n"))
+    silent = of_accounts(silent, "missing_explanation")
+    found = checked.unionByName(strangers).unionByName(absent).unionByName(silent)
+    return found.groupBy("scenario_id", "rule_id", "issue").agg(F.sum("n").alias("records"))
 
 
 def scenario_integrity(scenarios: DataFrame, access_events: DataFrame, injected: DataFrame) -> DataFrame:

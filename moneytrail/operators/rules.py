@@ -6,7 +6,7 @@ record, keyed by rule and result).  Lists of ids are rows, so no finding has to
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -235,6 +235,16 @@ def rule_payments(payments: DataFrame, needs_amount: bool = True) -> DataFrame:
 # --- transaction splitting --------------------------------------------------------------
 
 
+def payment_positions(payments: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+    """Payments of ``rule_payments`` with the ``position`` that splitting results refer to."""
+    return positions(
+        payments.select(
+            "from_account", "transaction_id", "to_account", "ts", "amount_paid", "payment_format", "source_dataset", "record_type"
+        ),
+        ["from_account"], [F.col("ts"), F.col("transaction_id")], limit=limit,
+    )
+
+
 def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -> RuleOutput:
     config = rule_config.SplittingConfig.from_mapping(settings)
     rule, name = rule_config.SPLITTING, "Transaction splitting"
@@ -278,13 +288,7 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
         window_start=F.col("window_start"),
         window_end=F.col("window_end"),
     )
-    ordered = positions(
-        payments.select(
-            "from_account", "transaction_id", "to_account", "ts", "amount_paid", "payment_format", "source_dataset", "record_type"
-        ),
-        ["from_account"], [F.col("ts"), F.col("transaction_id")], limit=limit,
-    )
-    members = windows.window_members(found, ordered)
+    members = windows.window_members(found, payment_positions(payments, limit))
     evidence = shaped(
         members,
         EVIDENCE_SCHEMA,
@@ -421,13 +425,14 @@ def in_scope(
     return results
 
 
-def _checked(rule: Rule, output: RuleOutput, with_evidence: bool) -> RuleOutput:
+def _checked(rule: Rule, output: RuleOutput, with_evidence: bool | Collection[str]) -> RuleOutput:
     if not isinstance(output, RuleOutput):
         raise TypeError("a rule must return a RuleOutput")
     if output.results.columns != RESULT_SCHEMA.names or output.evidence.columns != EVIDENCE_SCHEMA.names:
         raise TypeError(f"{rule.rule_id} returned tables of another shape")
     results = materialize(output.results, "results")
-    evidence = materialize(output.evidence, "evidence") if with_evidence else output.evidence.limit(0)
+    wanted = with_evidence if isinstance(with_evidence, bool) else rule.rule_id in with_evidence
+    evidence = materialize(output.evidence, "evidence") if wanted else output.evidence.limit(0)
     if not results.filter(~F.col("rule_id").eqNullSafe(F.lit(rule.rule_id))).isEmpty():
         raise ValueError("rule_id of a result does not match the rule")
     return RuleOutput(results, evidence)
@@ -437,13 +442,14 @@ def run_rules(
     registry: RuleRegistry,
     context: Mapping[str, DataFrame],
     configuration: Mapping | None = None,
-    with_evidence: bool = True,
+    with_evidence: bool | Collection[str] = True,
     **scope: str,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(results, evidence, failures)`` of all active rules.
 
     Plans are lazy, so each rule's results and evidence are written within its own guard: an error
-    shows up there and the other rules go on.  Without ``with_evidence`` that table stays empty.
+    shows up there and the other rules go on.  ``with_evidence`` may name the rules whose evidence is
+    wanted; without it that table stays empty.
     """
     spark = next(iter(context.values())).sparkSession
     results = spark.createDataFrame([], RESULT_SCHEMA)

@@ -102,6 +102,31 @@ def window_members(windows: DataFrame, positioned: DataFrame, block: int = 1024)
     )
 
 
+def span_coverage(spans: DataFrame, positioned: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+    """The payments that at least one span covers, with ``covered``: how many spans do.
+
+    ``spans`` holds ``from_account``, ``first_position`` and ``last_position``; ``positioned`` holds
+    ``from_account``, ``position`` and payment columns.  A running sum of starts and ends gives the
+    number, so no payment is repeated per span.
+    """
+    edges = F.explode(
+        F.array(
+            F.struct(F.col("first_position").alias("position"), F.lit(1).cast("bigint").alias("step")),
+            F.struct((F.col("last_position") + 1).alias("position"), F.lit(-1).cast("bigint").alias("step")),
+        )
+    )
+    # One mark per position, however many spans begin or end there.
+    marks = spans.select("from_account", edges.alias("e")).groupBy("from_account", F.col("e.position").alias("position")).agg(
+        F.sum("e.step").alias("step")
+    )
+    payments = positioned.withColumns({"step": F.lit(0).cast("bigint"), "mark": F.lit(1)})
+    swept = running(
+        payments.unionByName(marks.withColumn("mark", F.lit(0)), allowMissingColumns=True),
+        ["from_account"], [F.col("position"), F.col("mark")], {"covered": ("sum", F.col("step"))}, limit=limit,
+    )
+    return swept.filter("mark = 1 and covered > 0").drop("step", "mark")
+
+
 def fan_windows(
     payments: DataFrame,
     hub: str,

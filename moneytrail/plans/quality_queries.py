@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, quality
+from ..operators import features, metrics, quality, rule_config, rules
 from ..operators.skew import quantiles
 from ..session import materialize
 from .feature_queries import ALL_FEATURES, FEATURE_RELATIONS, FEATURES, matrix, r6, rounded
@@ -133,9 +133,10 @@ def detection_summary(s):
 
 
 def evidence_audit(s):
-    results, evidence, _ = rule_results(s, with_evidence=True)
+    results, evidence, _ = rule_results(s, with_evidence=[rule_config.PRIVILEGE_CHANGE, rule_config.CIRCULAR])
+    positioned = rules.payment_positions(rules.rule_payments(s.ledger()))
     return quality.evidence_audit(
-        s.scenarios(), results, evidence, s.access_events(), s.profile_changes(), s.injected()
+        s.scenarios(), results, evidence, s.access_events(), s.profile_changes(), s.injected(), positioned
     )
 
 
@@ -202,11 +203,12 @@ _SIGNAL_ROWS = {
 
 _AUDIT = {
     **RULE_ROWS,
-    "cited": """SELECT 'INSIDER.PRIVILEGE_CHANGE' AS rule_id, account_id, 'access_event' AS kind, event_id AS id FROM pe
-        UNION ALL SELECT 'INSIDER.PRIVILEGE_CHANGE', account_id, 'profile_change', change_id FROM pairs
-        UNION ALL SELECT 'AML.CIRCULAR_TRANSFER', account_id, 'transaction', t.x FROM rings,
+    "cited": """SELECT 'INSIDER.PRIVILEGE_CHANGE' AS rule_id, account_id, 'access_event' AS kind, event_id AS id, event_id
+            || ':' || n AS key FROM pe
+        UNION ALL SELECT 'INSIDER.PRIVILEGE_CHANGE', account_id, 'profile_change', change_id, event_id || ':' || n FROM pairs
+        UNION ALL SELECT 'AML.CIRCULAR_TRANSFER', account_id, 'transaction', t.x, ids FROM rings,
             unnest(string_split(ids, ';')) AS t(x)
-        UNION ALL SELECT 'AML.TRANSACTION_SPLITTING', w.from_account, 'transaction', m.transaction_id FROM split w JOIN
+        UNION ALL SELECT 'AML.TRANSACTION_SPLITTING', w.from_account, 'transaction', m.transaction_id, w.transaction_id FROM split w JOIN
             (SELECT from_account, transaction_id, row_number() OVER (PARTITION BY from_account ORDER BY ts, transaction_id)
             AS rn FROM ledger) m ON m.from_account = w.from_account AND m.rn BETWEEN w.first_position AND w.last_position""",
     "known": "SELECT event_id AS id, 'access_event' AS kind FROM access_events UNION SELECT change_id, 'profile_change' FROM "
@@ -355,10 +357,16 @@ QUERIES = {
     "evidence_audit": (
         evidence_audit,
         sql(
-            """SELECT scenario_id, rule_id, issue, count(*) AS records FROM (SELECT a.scenario_id, c.rule_id, CASE WHEN k.id IS
-            NULL THEN 'unknown_record' WHEN t.id IS NULL THEN 'outside_scenario' END AS issue FROM cited c JOIN
-            scenario_accounts a USING (account_id) LEFT JOIN known k ON k.id = c.id AND k.kind = c.kind LEFT JOIN truth t ON
-            t.scenario_id = a.scenario_id AND t.kind = c.kind AND t.id = c.id) WHERE issue IS NOT NULL GROUP BY ALL""",
+            """SELECT scenario_id, rule_id, issue, CAST(sum(n) AS BIGINT) AS records FROM (SELECT a.scenario_id, c.rule_id,
+            1 AS n, CASE WHEN k.id IS NULL THEN 'unknown_record' WHEN t.id IS NULL THEN 'outside_scenario' END AS issue
+            FROM cited c JOIN scenario_accounts a USING (account_id) LEFT JOIN known k ON k.id = c.id AND k.kind = c.kind
+            LEFT JOIN truth t ON t.scenario_id = a.scenario_id AND t.kind = c.kind AND t.id = c.id
+            UNION ALL SELECT t.scenario_id, c.rule_id, 1, 'wrong_account' FROM cited c JOIN truth t ON t.kind = c.kind AND
+            t.id = c.id WHERE (t.scenario_id, c.account_id) NOT IN (SELECT (scenario_id, account_id) FROM scenario_accounts)
+            UNION ALL SELECT a.scenario_id, r.rule_id, r.record_count - coalesce(h.n, 0), 'absent_from_evidence' FROM results r
+            JOIN scenario_accounts a USING (account_id) LEFT JOIN (SELECT rule_id, key, count(*) AS n FROM cited GROUP BY ALL) h
+            ON h.rule_id = r.rule_id AND h.key = r.result_key WHERE r.record_count > coalesce(h.n, 0))
+            WHERE issue IS NOT NULL GROUP BY ALL""",
             *RULE_RELATIONS, "scenario_accounts", "injected", recursive=True, **_AUDIT,
         ),
     ),
