@@ -15,16 +15,15 @@ from .rule_queries import RULE_RELATIONS, RULE_ROWS, rule_results
 
 
 def component_scores(s):
-    """Components that SQL can compute too: rule hits, and three features as stand-ins for model scores."""
+    """Components that SQL can compute too: all rule hits, and three features as stand-ins for model scores."""
     full = materialize(
         matrix(s).select("account_id", "wire_fraction", "sub_threshold_fraction", "cross_bank_ratio"), "components"
     )
     results, _, _ = rule_results(s)
-    small = full.filter(F.col("account_id") != "A0")
     return (
         full,
-        rules.fired_rules(results.filter(F.col("rule_id") != "AML.TRANSACTION_SPLITTING")),
-        small.select("account_id", (F.col("wire_fraction") * 2.98713).alias("model_probability")),
+        rules.fired_rules(results),
+        full.select("account_id", F.col("wire_fraction").alias("model_probability")),
         full.select(
             "account_id", F.col("sub_threshold_fraction").alias("isolation_score"),
             (F.col("sub_threshold_fraction") >= 0.1).alias("is_isolation_flagged"),
@@ -228,11 +227,11 @@ RISK = {
     **RULE_ROWS,
     **FEATURES,
     "comp": """SELECT a.account_id, coalesce(f.fired_rules, '') AS fired_rules, coalesce(f.score, 0) AS rule_score,
-        CASE WHEN a.account_id = 'A0' THEN 0 ELSE wire_fraction * 2.98713::DOUBLE END AS model_probability,
+        wire_fraction AS model_probability,
         sub_threshold_fraction AS isolation_score, sub_threshold_fraction >= 0.1 AS is_isolation_flagged,
         cross_bank_ratio AS graph_anomaly_score FROM amounts a LEFT JOIN (SELECT account_id, 1.0::DOUBLE AS score,
-        string_agg(rule_id, ';' ORDER BY CASE rule_id WHEN 'INSIDER.PRIVILEGE_CHANGE' THEN 0 ELSE 1 END) AS fired_rules FROM
-        (SELECT DISTINCT account_id, rule_id FROM results WHERE rule_id <> 'AML.TRANSACTION_SPLITTING') GROUP BY 1) f
+        string_agg(rule_id, ';' ORDER BY CASE rule_id WHEN 'INSIDER.PRIVILEGE_CHANGE' THEN 0 WHEN
+        'AML.CIRCULAR_TRANSFER' THEN 1 ELSE 2 END) AS fired_rules FROM (SELECT DISTINCT account_id, rule_id FROM results) GROUP BY 1) f
         USING (account_id)""",
     "fused": """SELECT *, round(0.0::DOUBLE + rule_score * 0.16::DOUBLE + model_probability * 0.5::DOUBLE + isolation_score *
         0.14::DOUBLE + graph_anomaly_score * 0.2::DOUBLE, 4) AS risk_score, round(0.0::DOUBLE + rule_score * 0.35::DOUBLE +
