@@ -79,7 +79,10 @@ CUES = {
         "cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "overlay",
         "privacy", "warning", "signup",
     ),
-    "comment": ("comment", "comments", "commentlist", "reply", "replies", "discussion", "disqus", "responses", "respond"),
+    "comment": (
+        "comment", "comments", "commentlist", "reply", "replies", "discussion", "disqus", "responses", "respond",
+        "kommentar", "kommentare", "antworten", "commentaire", "commentaires", "comentario", "comentarios", "commento", "commenti",
+    ),
     "share": ("share", "social", "sharing", "follow", "tweet"),
     "form": ("form", "search", "login", "signin", "register", "contact"),
     "content": ("article", "content", "post", "entry", "story", "main", "body", "text", "prose", "articlebody"),
@@ -98,10 +101,16 @@ NAMES = (
     *(f"own:{i}" for i in range(5)),
     *(f"below:{i}" for i in range(5)),
     "own links some", "own links most", "below links some", "below links most", "ends like a sentence",
-    "first tenth", "last tenth", "inside boilerplate tag", "inside boilerplate name", "inside content tag", "text siblings",
+    "first tenth", "last tenth", "text siblings", "content and other names", "no names",
+    *(f"share:{i}" for i in range(4)),
+    "boilerplate tag, much text", "boilerplate name, much text", "boilerplate tag, most text", "boilerplate name, most text",
+    "after comment heading", "begins with comment heading", "list after text",
 )
 INDEX = {n: i for i, n in enumerate(NAMES)}
-EDGES = ("any", "child boilerplate tag", "child boilerplate name", "child content", "parent body", "child p")
+EDGES = (
+    "any", "child boilerplate tag", "child boilerplate name", "child content", "parent body", "child p", "parent boilerplate tag",
+    "parent boilerplate name", "parent content tag", "parent most text", "parent content name", "parent begins with comment heading",
+)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -274,22 +283,55 @@ def _size(n: int) -> int:
     return 0 if n == 0 else 1 if n < 20 else min(4, 2 + int(math.log(n / 20, 4)))
 
 
+def _says(node: Node) -> set[str]:
+    if not node.short or len(node.short) >= 100:
+        return set()
+    return {k for w in re.findall(r"[a-z]+", node.short.lower()) for k in CUE_OF.get(w, ()) if k in _SAYS}
+
+
 def features(page: PageParser) -> tuple[list[list[int]], list[list[int]]]:
-    """Numbers of the active node features and edge features of every node; all features are 0 or 1."""
+    """Numbers of the active node features and edge features of every node; all features are 0 or 1.
+
+    Names and tags count at their own element only, weighed against its share of the page's unlinked
+    text; they reach other elements through the edges.  The names of html and body tell of the site,
+    not of a part of the page, and count nowhere.
+    """
     nodes, total = page.nodes, max(1, len(page.blocks))
-    found, edges, inside = [], [], []
+    plain = max(1, nodes[0].below - nodes[0].below_linked)
     texts = [0] * len(nodes)
-    for node in nodes[1:]:
-        texts[node.parent] += node.own > 60
-    for node in nodes:
+    said = [_says(node) for node in nodes]
+    heads_comments, after_heading, after_text = ([False] * len(nodes) for _ in range(3))
+    text_seen = [False] * len(nodes)
+    opened = [False] * len(nodes)
+    for at, node in enumerate(nodes[1:], 1):
+        up = node.parent
+        texts[up] += node.own > 60
+        after_heading[at], after_text[at] = opened[up], text_seen[up]
+        if "comment" in said[at] and len(node.short.split()) <= 4 and TAG_GROUP.get(node.tag) in ("heading", "div", "p"):
+            opened[up] = True
+            if not text_seen[up] and nodes[up].own == 0:
+                heads_comments[up] = True
+        if node.own > 60:
+            text_seen[up] = True
+    traits, found, edges = [], [], []
+    for at, node in enumerate(nodes):
         group = TAG_GROUP.get(node.tag, "other")
+        named = set() if group == "body" else node.named
+        share = (node.below - node.below_linked) / plain
+        much = 0 if share < 0.02 else 1 if share < 0.25 else 2 if share < 0.5 else 3
         bad_tag = group in ("nav", "header", "footer", "aside", "form")
-        bad_name = bool(node.named - {"content"})
-        up = inside[node.parent] if node.parent >= 0 else (False, False, False)
-        active = ["bias", f"tag:{group}", f"own:{_size(node.own)}", f"below:{_size(node.below)}"]
-        active += [f"named:{k}" for k in node.named]
-        if node.short and len(node.short) < 100:
-            active += {f"says:{k}" for w in re.findall(r"[a-z]+", node.short.lower()) for k in CUE_OF.get(w, ()) if k in _SAYS}
+        bad_name = bool(named - {"content"})
+        content_tag, content_name = group in ("article", "main"), "content" in named
+        active = ["bias", f"tag:{group}", f"own:{_size(node.own)}", f"below:{_size(node.below)}", f"share:{much}"]
+        active += [f"named:{k}" for k in named]
+        active += [f"says:{k}" for k in said[at]]
+        if bad_name and content_name:
+            active.append("content and other names")
+        if not named:
+            active.append("no names")
+        if much >= 2:
+            kinds = (("boilerplate tag", bad_tag), ("boilerplate name", bad_name))
+            active += [f"{kind}, " + ("most text" if much == 3 else "much text") for kind, on in kinds if on]
         if node.hidden:
             active.append("hidden")
         if "©" in node.short:
@@ -303,25 +345,29 @@ def features(page: PageParser) -> tuple[list[list[int]], list[list[int]]]:
             active.append("first tenth")
         elif node.first >= 0.9 * total:
             active.append("last tenth")
-        for flag, name in zip(up, ("inside boilerplate tag", "inside boilerplate name", "inside content tag"), strict=True):
-            if flag:
-                active.append(name)
+        if after_heading[at]:
+            active.append("after comment heading")
+        if heads_comments[at]:
+            active.append("begins with comment heading")
+        if group == "list" and after_text[at]:
+            active.append("list after text")
         if node.parent >= 0 and texts[node.parent] > 2:
             active.append("text siblings")
-        content = group in ("article", "main")
-        inside.append((up[0] or bad_tag, up[1] or bad_name, up[2] or content))
+        traits.append((bad_tag and much < 2, bad_name and not content_name and much < 2, content_tag, much == 3, content_name, heads_comments[at]))
         found.append([INDEX[a] for a in active])
         tied = [0]
-        if bad_tag:
+        if bad_tag and much < 2:
             tied.append(1)
-        if bad_name:
+        if bad_name and not content_name and much < 2:
             tied.append(2)
-        if content or "content" in node.named:
+        if content_tag or content_name:
             tied.append(3)
         if node.parent >= 0 and nodes[node.parent].tag in ("html", "body"):
             tied.append(4)
         if group == "p":
             tied.append(5)
+        if node.parent >= 0:
+            tied += [6 + i for i, on in enumerate(traits[node.parent]) if on]
         edges.append(tied)
     return found, edges
 

@@ -10,6 +10,14 @@ SOCIAL = ("Share", "Tweet", "Follow us", "Like", "Email")
 MENU = ("Home", "News", "About", "Contact", "Sports", "Archive", "Login", "Shop", "Blog", "Help")
 
 
+# Names that pages give to wrappers and articles and that say nothing about them.
+MISLEADING = (
+    "has-top-banner", "comments-open", "tag-news", "alert-weather", "no-sidebar", "with-ads", "menu-closed", "post-footer-meta",
+    "form-page", "share-enabled", "related-topic", "search-results-off", "has-cookie-bar", "sticky-header", "popular-post",
+)
+COMMENT_HEADS = ("Comments", "3 comments", "2 Kommentare", "Kommentare", "12 commentaires", "5 comentarios", "1 reply", "Discussion", "Responses (4)")
+
+
 class PageMaker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -81,7 +89,28 @@ class PageMaker:
         names = self.named("sidebar", "related", "widget", "rail", "popular", "side", "secondary", "latest", chance=0.97 if tag != "aside" else 0.4)
         return f"<{tag}{names}>{inner}</{tag}>"
 
+    def misleading(self, chance: float) -> str:
+        if self.r.random() > chance:
+            return ""
+        good = self.r.choice(("", "post ", "entry ", "page ", "content ", ""))
+        return f' class="{good}{" ".join(self.r.sample(MISLEADING, self.r.randint(1, 2)))}"'
+
+    def unnamed_comments(self) -> str:
+        """Comments that only their heading tells."""
+        head = self.r.choice(("h2", "h3", "h4", "div"))
+        item = self.r.choice((
+            lambda: f"<p><b>{self.word().capitalize()}</b></p><p>{self.text(high=4)}</p>",
+            lambda: f"<div><b>{self.word().capitalize()}</b><p>{self.text(high=3)}</p></div>",
+            lambda: f"<div><div>{self.word().capitalize()}, {self.r.randint(1, 28)}.{self.r.randint(1, 12)}.</div><p>{self.text(high=5)}</p></div>",
+            lambda: f"<ul><li>{self.word()}: {self.text(high=3)}</li></ul>",
+        ))
+        inner = f"<{head}>{self.r.choice(COMMENT_HEADS)}</{head}>" + "".join(item() for _ in range(self.r.randint(1, 5)))
+        tag = self.r.choice(("div", "div", "section", ""))
+        return f"<{tag}>{inner}</{tag}>" if tag else inner
+
     def comments(self) -> str:
+        if self.r.random() < 0.3:
+            return self.unnamed_comments()
         tag = self.r.choice(("section", "div", "div", "ol"))
         item = lambda: self.r.choice((
             f"<p>{self.text(high=4)}</p>", f"<div{self.named('comment', 'reply')}><b>{self.word()}</b><p>{self.text(high=4)}</p></div>",
@@ -106,6 +135,7 @@ class PageMaker:
             f"<h2{g}>{self.text(style, high=1)}</h2>", f"<ul{g}>" + "".join(f"<li{g}>{self.text(style, high=2)}</li>" for _ in range(4)) + "</ul>",
             f"<blockquote{g}>{self.text(style)}</blockquote>", f"<blockquote{g}><p{g}>{self.text(style)}</p></blockquote>",
             f"<pre{g}>{self.text(style)}</pre>", f"<div{g}>{self.text(style)}</div>",
+            f"<ul{g}>" + "".join(f'<li{g}><a href="/{self.word()}">{self.text(style, high=1)}</a></li>' for _ in range(self.r.randint(3, 12))) + "</ul>",
             f"<table{g}><tr{g}><td{g}>{self.word()}</td><td{g}>{self.text(style, high=1)}</td></tr></table>",
             f"<figure{g}><figcaption{g}>{self.text(style, high=1)}</figcaption></figure>", f"<section{g}><h3{g}>{self.word()}</h3><p{g}>{self.text(style)}</p></section>",
         ))
@@ -120,10 +150,13 @@ class PageMaker:
                 parts.insert(self.r.randint(min(1, len(parts)), len(parts)), extra())
         tag = self.r.choice(("article", "article", "main", "div", "div", "section", "td"))
         names = self.named("article", "content", "post", "entry", "story", "text", "main", chance=0.75 if tag in ("div", "section", "td") else 0.3)
+        names = self.misleading(0.2) or names
         made = f"<{tag}{names}{g}>{''.join(parts)}" + (f"</{tag}>" if self.r.random() < 0.95 else "")
         if tag == "td":
             return f"<table><tr><td>{self.links(4, None)}</td>{made}</tr></table>"
         if self.r.random() < 0.35:
+            if self.r.random() < 0.4:  # other parts beside the article, in one wrapper with it
+                made += "".join(x() for x in self.r.sample((self.comments, self.sidebar, self.share, self.advert, self.form), 2))
             made = f"<main{g}>{made}</main>" if tag != "main" and self.r.random() < 0.5 else f"<div{self.named('wrapper', 'container', 'content', 'row')}{g}>{made}</div>"
         return made
 
@@ -134,12 +167,18 @@ class PageMaker:
         if r.random() < 0.3:
             r.shuffle(after)
         foot = [x() for x, chance in ((self.footer, 0.9), (self.notice, 0.2)) if r.random() < chance]
-        middle = "".join(before) + self.content() + "".join(after)
+        made = self.content()
+        if r.random() < 0.15:
+            made = f"<div{self.misleading(0.6)}>{made}</div>"
+        middle = "".join(before) + made + "".join(after)
         if r.random() < 0.3:
             middle = f"<div{self.named('wrapper', 'page', 'container', 'site')}>{middle}</div>"
+        everything = middle + "".join(foot)
+        if r.random() < 0.12:
+            everything = f"<form{self.named('aspnetForm', 'form', 'mainForm', 'Form1', chance=0.8)} method=post>{everything}</form>"
         head = f"<head><title>{self.text(high=1)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head>"
         end = r.choice(("</body></html>", "", "</html>"))
-        return f"<!DOCTYPE html><html>{head}<body>{middle}{''.join(foot)}{end}"
+        return f"<!DOCTYPE html><html>{head}<body{self.misleading(0.3)}>{everything}{end}"
 
 
 def labelled_pages(count: int, seed: int = 11) -> list[str]:

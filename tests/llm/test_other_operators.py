@@ -16,6 +16,8 @@ from moneytrail.llm import chat, embedding_dedup, extraction, packing, quality,
 from moneytrail.llm.dom import parse
 from moneytrail.llm.labelled_pages import labelled_pages
 
+from .independent_pages import independent_pages
+
 FOLDER = "/root/testdata/sf0.01"
 
 
@@ -213,6 +215,18 @@ def test_labelled_pages_are_read_right():
     assert ((p >= 0.5) == gold)[texts].mean() > 0.98
 
 
+def test_pages_written_apart():
+    """Whole articles from layouts that the training pages were not drawn from."""
+    pages = independent_pages()
+    both = wanted = given = 0
+    for (layout, _, lines), text in zip(pages, extraction.extract_texts(extraction.trained_model(), [h for _, h, _ in pages]), strict=True):
+        want, got = Counter(lines), Counter(x for x in text.split("\n") if x)
+        hit = sum(len(x) * n for x, n in (want & got).items())
+        both, wanted, given = both + hit, wanted + sum(map(len, lines)), given + sum(len(x) * n for x, n in got.items())
+        assert hit == sum(map(len, lines)), layout
+    assert len(pages) >= 100 and both >= 0.98 * wanted and both >= 0.98 * given
+
+
 def test_extraction(spark):
     article = "<article><h1>A&amp;B  title</h1><p><b>First &lt;p&gt;\n line.<br><p>Second &#233; <a href=x>link</a> line.</article>"
     page = f"<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class=ad>Buy now.</div>{article}<footer>&copy; x</footer>"
