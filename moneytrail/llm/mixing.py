@@ -22,8 +22,8 @@ def source_targets(
     """(source_key, source_size, target) from one row per source with its key and size.
 
     Sources by key take the weights in turn and share ``share`` times all words; no target exceeds
-    ``ceiling`` times its source, the excess goes to the others by weight.  In order of
-    ceiling / weight the sources that hit their ceiling come first, so one pass of prefix sums finds
+    ``ceiling`` times its source, the excess goes to the others by weight.  With ``share`` at or above
+    ``ceiling`` every source has its ceiling as target.  In order of ceiling / weight the sources that hit their ceiling come first, so one pass of prefix sums finds
     the level at which the budget is used up.
     """
     sizes = sizes.withColumn("one", F.lit(1).cast("bigint"))
@@ -38,12 +38,9 @@ def source_targets(
     )
     own = (totals.select("budget").scalar() - F.col("tops")) / (totals.select("all_weights").scalar() - F.col("weights"))
     ranked = materialize(ranked.withColumn("full", F.col("weight") * own > F.col("top")), "full")
-    left = ranked.agg(
-        (
-            (F.sum("source_size") * F.lit(float(share)) - F.sum(F.when(F.col("full"), F.col("top")).otherwise(0)))
-            / F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight")))
-        ).alias("unit")
-    )
+    open_weights = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight")))
+    open_words = F.sum("source_size") * F.lit(float(share)) - F.sum(F.when(F.col("full"), F.col("top")).otherwise(0))
+    left = ranked.agg(F.when(open_weights > 0, open_words / open_weights).alias("unit"))
     target = F.when(F.col("full"), F.col("top").cast("double")).otherwise(F.col("weight") * left.scalar())
     return materialize(ranked.select("source_key", "source_size", target.alias("target")), "targets")
 
@@ -88,8 +85,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Keeps the columns of ``docs``; ``n_chars``, where there is one, follows the text.  A document
     that is not taken goes; one taken in part loses the words after its budget and keeps the white
-    space between the others.  Rows with the same id and source share what was decided for them:
-    each of them gets one of the decisions, in order of size.
+    space between the others.  Rows with the same id, source and size get one of the decisions made
+    for them each: the first ones one epoch more, the next one the words up to the cut.
     """
     names = docs.columns
     packed = docs.select(
@@ -104,16 +101,29 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         .agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     )
     decided = materialize(decided, "decided")
-    r = decided.select(
-        F.col("doc_id").alias("d"), F.col("source_key").alias("s"), F.col("size").alias("z"), "taken", "rows"
-    ).hint("merge")  # at every size, so each text moves once
-    joined = packed.join(
-        r, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("source_key") == F.col("s")) & (F.col("size") == F.col("z"))
+    # Words beyond the epochs that all equal rows get.  The cut of a source goes through one group of
+    # equal rows at most, so groups of several rows with such words are no more than the sources.
+    extra = F.when(F.col("size") > 0, F.expr("taken % (rows * size)")).otherwise(0)
+    cut = (F.col("rows") > 1) & (extra > 0)
+    zero = F.lit(0).cast("bigint")
+
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("source_key") == F.col("s")) & (F.col("size") == F.col("z"))
+    plain, parted = (
+        decided.filter(kind).select(
+            F.col("doc_id").alias("d"), F.col("source_key").alias("s"), F.col("size").alias("z"), "taken", "rows"
+        )
+        for kind in (~cut, cut)
     )
-    # Equal rows share their words evenly; what does not divide goes to copies of the whole text.
-    mine = (F.col("taken") / F.col("rows")).cast("bigint")
-    copies = F.when(F.col("size") > 0, (mine / F.col("size")).cast("bigint")).otherwise(0)
-    part = mine - copies * F.col("size")
+    joined = packed.join(plain.hint("merge"), same).withColumn("number", zero)  # at every size, so each text moves once
+    if not parted.isEmpty():
+        pieces = materialize(packed.join(parted, same).withColumn("row_id", F.monotonically_increasing_id()), "parted")
+        ids = pieces.select("s", "z", key_of(F.col("d")).alias("k"), "row_id", F.lit(1).cast("bigint").alias("one"))
+        numbers = prefix_sums(ids, ["s", "z", "k"], ["row_id"], {"number": "one"}, "numbers").select("row_id", "number")
+        joined = joined.unionByName(pieces.join(numbers.hint("merge"), "row_id").drop("row_id"))
+    epochs = F.when(F.col("size") > 0, F.expr("taken div (rows * size)")).otherwise(zero)
+    share = F.greatest(zero, F.least(F.col("size"), extra - F.col("number") * F.col("size")))
+    copies = epochs + F.when((F.col("size") > 0) & (share == F.col("size")), 1).otherwise(0)
+    part = F.when(share < F.col("size"), share).otherwise(zero)
     spread = joined.select(
         "row",
         "size",

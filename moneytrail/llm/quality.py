@@ -177,7 +177,7 @@ def train_classifier(
 
     ``sample_per_label`` documents of either label with the smallest id hashes are taken; the scores
     are then shifted back to the label's share among all labelled rows.  Null labels are ignored; of
-    repeated labels the smallest counts.  Without documents of both labels the network stays
+    repeated labels the smallest counts, of documents with one id those with the smallest chunks.  Without documents of both labels the network stays
     untrained and every score follows the share of label 1 (0.5 if there is none).
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -198,7 +198,9 @@ def train_classifier(
     chosen = materialize(chosen, "sample")
     # The sample is bounded by its parameter, 24 bytes a row.
     text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = text.mapInArrow(_sample_chunks, "doc_id bigint, label int, chunks array<binary>").collect()
+    chunks = text.mapInArrow(_sample_chunks, "doc_id bigint, label int, chunks array<binary>")
+    # One row an id, however often the table repeats it.
+    rows = chunks.groupBy("doc_id", "label").agg(F.min("chunks").alias("chunks")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["chunks"]))
     if len({r["label"] for r in rows}) == 2:
         y = np.array([r["label"] for r in rows], "f4")

@@ -158,6 +158,17 @@ def test_packing_balances_cost():
     assert max(cost.values()) < 1.25 * min(cost.values())
 
 
+def test_repeated_ids_are_sampled_once(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id % 4 as doc_id", "concat('text ', cast(id as string)) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality.ByteNetwork, "train", lambda self, chunks, y, *more: seen.append((chunks, y.tolist())))
+    for _ in range(2):
+        quality.train_classifier(docs.repartition(3), labels)
+    known = sorted(r["doc_id"] for r in labels.filter(~quality.held_out(F.col("doc_id"))).collect())
+    assert seen[0] == seen[1] and seen[0][1] == [i % 2 for i in known]
+
+
 # --- extraction ---
 
 

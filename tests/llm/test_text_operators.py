@@ -1,6 +1,7 @@
 """Exact dedup, near dedup, line dedup, mixing and the pipeline on small tables against brute force."""
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -206,6 +207,19 @@ def test_mixed_documents_hold_what_was_taken(spark, rows):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in taken.items() if v}
 
 
+@pytest.mark.parametrize("number, lengths", [(1, (10, 10, 10)), (None, (17, 10, 10))])
+def test_equal_rows_are_cut_as_decided(spark, number, lengths):
+    docs = table(spark, [(number, " ".join(f"w{k}" for k in range(n)), "a") for n in lengths])
+    for share in (0.87, 1.5, 3):  # at 3 the source is at its ceiling
+        want, taken = [], 0
+        for r in mixing.mix(docs, share=share).collect():
+            taken += r["taken"]
+            want += [r["size"]] * (r["taken"] // r["size"]) + [r["taken"] % r["size"]] * (r["taken"] % r["size"] > 0)
+        assert taken == min(2 * sum(lengths), math.floor(share * sum(lengths) + 0.5))
+        words = [len(r["text"].split()) for r in mixing.mixed_documents(docs, share=share).collect()]
+        assert sorted(words) == sorted(want)
+
+
 @pytest.mark.parametrize(
     "operator",
     [exact_dedup.dedup, minhash.near_duplicates, line_dedup.dedup_lines, mixing.mix, mixing.mixed_documents, minhash.without_near_duplicates],
