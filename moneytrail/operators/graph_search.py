@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, release_scratch, scratch_tables
 from .skew import positions
 
+# Accounts of a walk that its row carries; longer walks are stored in parts.
+WALK_PART = 6
 # Betweenness holds about so many (source, account) rows at a time.
 ROWS_IN_FLIGHT = 1_000_000_000
 
@@ -264,7 +266,8 @@ def random_walks(
     """(start, walk, path): ``walks`` walks of up to ``length`` accounts from every account.
 
     A step is one equi join on (account, neighbour number).  The number is spread by a hash, so the
-    walks standing on a hub are spread too, and a row carries the degree of where it goes next.
+    walks standing on a hub are spread too, and a row carries the degree of where it goes next.  Uniform
+    walks carry their last few accounts only; the parts before are stored and put together at the end.
 
     With ``p`` or ``q`` other than 1 a step depends on the account before: going back weighs 1 / p,
     staying among its neighbours 1, going away from it 1 / q.  Such steps are drawn by rejection: a
@@ -287,6 +290,7 @@ def random_walks(
         F.coalesce("degree", F.lit(0)).alias("degree"),
         F.array("account_id").alias("path"),
     )
+    parts = []
     for step in range(1, length):
         if step > 1 and (p, q) != (1.0, 1.0):
             state = _biased_step(materialize(state, "walks"), links, step, seed, p, q)
@@ -295,9 +299,16 @@ def random_walks(
             "choice", F.when(F.col("degree") > 0, walk_choice(F.col("start"), F.col("walk"), step, F.col("degree"), seed))
         )
         state = _moved(keyed.join(links, ["node", "choice"], "left"))
-        if step % 6 == 0:
+        if step % WALK_PART == 0 and step < length - 1 and (p, q) == (1.0, 1.0):
             state = materialize(state, "walks")
-    return state.select("start", "walk", "path")
+            parts.append(state.select("start", "walk", "path"))
+            state = state.withColumn("path", F.slice("path", 1, 0))
+    parts.append(state.select("start", "walk", "path"))
+    if len(parts) == 1:
+        return parts[0]
+    every = _union([part.withColumn("part", F.lit(i)) for i, part in enumerate(parts)])
+    whole = every.groupBy("start", "walk").agg(F.array_sort(F.collect_list(F.struct("part", "path"))).alias("parts"))
+    return whole.select("start", "walk", F.flatten("parts.path").alias("path"))
 
 
 def _moved(proposed: DataFrame) -> DataFrame:

@@ -177,6 +177,25 @@ def test_dbscan(spark, block):
         assert [got[eps][i] for i in range(len(x))] == want.tolist()
 
 
+def test_walks_carry_a_few_accounts_only(spark, monkeypatch):
+    links = [(f"N{i}", f"N{(i + s) % 9}") for i in range(9) for s in (1, 2, 7, 8)]
+    links = spark.createDataFrame(links, "src string, dst string")
+    accounts = spark.createDataFrame([(f"N{i}",) for i in range(9)] + [("ALONE",)], "account_id string")
+    stored, write = [], graph_search.materialize
+
+    def kept(df, label="step"):
+        stored.append(write(df, label))
+        return stored[-1]
+
+    monkeypatch.setattr(graph_search, "materialize", kept)
+    found = {(r.start, r.walk): r.path for r in graph_search.random_walks(accounts, links, 3, 20).collect()}
+    longest = max(df.selectExpr("max(size(path)) AS n").first().n for df in stored if "path" in df.columns)
+    assert longest <= graph_search.WALK_PART + 1
+    monkeypatch.setattr(graph_search, "WALK_PART", 100)
+    assert found == {(r.start, r.walk): r.path for r in graph_search.random_walks(accounts, links, 3, 20).collect()}
+    assert found["ALONE", 0] == ["ALONE"] and all(len(p) == 20 for (s, _), p in found.items() if s != "ALONE")
+
+
 def test_projection_keeps_communities_apart(spark):
     walks = spark.createDataFrame(
         [(a, 0, [a, b, a, b]) for a, b in (("A", "B"), ("B", "A"), ("C", "D"), ("D", "C"))] + [("E", 0, ["E"])],
