@@ -196,6 +196,17 @@ def test_walks_carry_a_few_accounts_only(spark, monkeypatch):
     assert found["ALONE", 0] == ["ALONE"] and all(len(p) == 20 for (s, _), p in found.items() if s != "ALONE")
 
 
+def test_walk_pairs_count_both_ways(spark):
+    walks = [(a, i, list(p)) for i, (a, p) in enumerate((("A", "ABACBD"), ("B", "BB"), ("C", "C"), ("D", "DCBABCDA")))]
+    found = graph_search.walk_pairs(spark.createDataFrame(walks, "start string, walk int, path array<string>"), 2).collect()
+    want = {}
+    for _, _, p in walks:
+        for i, j in itertools.permutations(range(len(p)), 2):
+            if abs(i - j) <= 2 and p[i] != p[j]:
+                want[p[i], p[j]] = want.get((p[i], p[j]), 0) + 1
+    assert {(r.account_id, r.other): r.n for r in found} == want and len(found) == len(want)
+
+
 def test_projection_keeps_communities_apart(spark):
     walks = spark.createDataFrame(
         [(a, 0, [a, b, a, b]) for a, b in (("A", "B"), ("B", "A"), ("C", "D"), ("D", "C"))] + [("E", 0, ["E"])],
