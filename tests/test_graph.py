@@ -196,6 +196,18 @@ def test_walks_carry_a_few_accounts_only(spark, monkeypatch):
     assert found["ALONE", 0] == ["ALONE"] and all(len(p) == 20 for (s, _), p in found.items() if s != "ALONE")
 
 
+def test_betweenness_with_many_payers(spark):
+    """An account paid by many: its dependencies go back to those on a way to it only."""
+    first, other = [f"P{i}" for i in range(3000)], [f"Q{i}" for i in range(3000)]
+    edges = [(p, "X") for p in first] + [("X", "Z")] + [(q, "Z") for q in other] + [("Z", "W")]
+    nodes = {x for e in edges for x in e} | {"ALONE"}
+    accounts = spark.createDataFrame([(v,) for v in sorted(nodes)], "account_id string")
+    got = {r.account_id: r.betweenness_centrality for r in graph_search.betweenness(frame(spark, edges), accounts).collect()}
+    n = len(nodes)
+    assert got["X"] == pytest.approx(3000 * 2 / ((n - 1) * (n - 2))) and got["Z"] == pytest.approx(6001 / ((n - 1) * (n - 2)))
+    assert sum(v > 0 for v in got.values()) == 2 and len(got) == n
+
+
 def test_walk_pairs_count_both_ways(spark):
     walks = [(a, i, list(p)) for i, (a, p) in enumerate((("A", "ABACBD"), ("B", "BB"), ("C", "C"), ("D", "DCBABCDA")))]
     found = graph_search.walk_pairs(spark.createDataFrame(walks, "start string, walk int, path array<string>"), 2).collect()
