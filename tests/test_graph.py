@@ -196,6 +196,23 @@ def test_walks_carry_a_few_accounts_only(spark, monkeypatch):
     assert found["ALONE", 0] == ["ALONE"] and all(len(p) == 20 for (s, _), p in found.items() if s != "ALONE")
 
 
+def test_cycle_searches_leave_out_accounts_that_only_pay(spark, monkeypatch):
+    ring = [("A", "B"), ("B", "C"), ("C", "A"), ("C", "B")]
+    edges = frame(spark, ring + [(f"P{i}", x) for i in range(300) for x in "ABC"] + [("A", "END"), ("Q", "P0")])
+    rows, write = [], graph_search.materialize
+
+    def counted(df, label="step"):
+        stored = write(df, label)
+        rows.append((label, stored.count()))
+        return stored
+
+    monkeypatch.setattr(graph_search, "materialize", counted)
+    assert {r.account_id for r in graph_search.accounts_on_cycles(edges).collect()} == set("ABC")
+    found = graph_search.shortest_cycles(edges, edges.selectExpr("src AS account_id").distinct()).collect()
+    assert {(r.account_id, r.cycle_length, tuple(r.path)) for r in found} == {("A", 3, tuple("ABC")), ("B", 2, tuple("BC")), ("C", 2, tuple("CB"))}
+    assert max(n for label, n in rows if label != "simple") < 20
+
+
 def test_betweenness_with_many_payers(spark):
     """An account paid by many: its dependencies go back to those on a way to it only."""
     first, other = [f"P{i}" for i in range(3000)], [f"Q{i}" for i in range(3000)]
