@@ -126,8 +126,9 @@ def evidence_audit(
     of its accounts.  ``absent_from_evidence`` counts records that a result claims (``record_count``)
     and does not cite, ``missing_explanation`` results without a sentence.
 
-    Each record is checked against the tables once; scenarios meet records through the account of
-    the result, counted per record, so many results citing one record stay one row.  With
+    Each record is checked against the tables once, and many results citing one record stay one row.
+    Records meet only the scenarios that list them; what all scenarios of an account share is a total
+    per account, so the rows do not grow with records times scenarios.  With
     ``positioned`` payments (``rules.payment_positions``) the evidence of splitting is read off the
     results' spans of positions by a running sum, and no row per window and payment is needed.
     """
@@ -175,30 +176,34 @@ def evidence_audit(
         ids = F.explode(F.array_distinct(split_ids(F.col(column), separators)))
         return scenarios.select("scenario_id", F.lit(kind).alias("record_type"), ids.alias("record_id"))
 
-    own_changes = (
-        profile_changes.select(
-            F.col("change_id").alias("record_id"), F.col("customer_id").alias("account_id"),
-            F.col("changed_by_employee_id").alias("employee_id"),
-        )
-        .join(in_scenario.join(scenarios.select("scenario_id", "employee_id"), "scenario_id"), ["account_id", "employee_id"])
-        .select("scenario_id", F.lit("profile_change").alias("record_type"), "record_id")
-    )
-    truth = (
-        listed("related_event_ids", "access_event", ";,")
-        .unionByName(listed("related_transaction_ids", "transaction", ";,"))
-        .unionByName(own_changes)
-        .distinct()
-        .withColumn("_true", F.lit(1))
-    )
-    # Stored, as the two checks below join it by different keys.
+    # Stored, as the checks below read it by different keys.
     cited = materialize(cited.join(base, ["record_type", "record_id"], "left"), "cited")
-    checked = cited.join(in_scenario, "account_id").join(truth, ["scenario_id", "record_type", "record_id"], "left")
-    issue = F.when(F.col("_known").isNull(), "unknown_record").when(F.col("_true").isNull(), "outside_scenario")
-    checked = checked.withColumn("issue", issue).filter("issue is not null").select("scenario_id", "rule_id", "issue", "n")
-    strangers = cited.join(truth.drop("_true"), ["record_type", "record_id"]).join(
-        in_scenario, ["scenario_id", "account_id"], "left_anti"
-    )
-    strangers = strangers.select("scenario_id", "rule_id", F.lit("wrong_account").alias("issue"), "n")
+    truth = listed("related_event_ids", "access_event", ";,").unionByName(listed("related_transaction_ids", "transaction", ";,"))
+    met = cited.join(truth.distinct(), ["record_type", "record_id"]).select("scenario_id", "rule_id", "account_id", "_known", "n")
+    # Changes belong to scenarios by account and employee: those with the same ones are counted together.
+    makers = profile_changes.select(
+        F.col("change_id").alias("record_id"),
+        F.struct(F.col("customer_id").alias("account_id"), F.col("changed_by_employee_id").alias("employee_id")).alias("maker"),
+    )
+    makers = makers.groupBy("record_id").agg(F.array_sort(F.collect_set("maker")).alias("makers"))
+    changed = cited.filter(F.col("record_type") == "profile_change").join(makers, "record_id")
+    changed = materialize(changed.groupBy("rule_id", "account_id", "_known", "makers").agg(F.sum("n").alias("n")), "changed")
+    staffed = in_scenario.join(scenarios.select("scenario_id", "employee_id"), "scenario_id")
+    of_makers = changed.select("makers").distinct().select("makers", F.explode("makers").alias("m")).select("makers", "m.*")
+    of_makers = of_makers.join(staffed, ["account_id", "employee_id"]).select("makers", "scenario_id").distinct()
+    met = met.unionByName(changed.join(of_makers, "makers").select("scenario_id", "rule_id", "account_id", "_known", "n"))
+    met = met.join(in_scenario.withColumn("_own", F.lit(1)), ["scenario_id", "account_id"], "left")
+    strangers = met.filter("_own IS NULL").select("scenario_id", "rule_id", F.lit("wrong_account").alias("issue"), "n")
+    # Scenarios share the totals of their accounts; what is in their own lists is taken off.
+    known = lambda n: F.coalesce(F.sum(F.when(F.col("_known").isNotNull(), n)), F.lit(0))
+    unknown = F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("unknown")
+    totals = cited.groupBy("rule_id", "account_id").agg(unknown, known(F.col("n")).alias("known")).join(in_scenario, "account_id")
+    totals = totals.select("scenario_id", "rule_id", "unknown", "known").unionByName(
+        met.filter("_own IS NOT NULL AND _known IS NOT NULL").select("scenario_id", "rule_id", F.lit(0).alias("unknown"), (-F.col("n")).alias("known"))
+    )
+    totals = totals.groupBy("scenario_id", "rule_id").agg(F.sum("unknown").alias("unknown_record"), F.sum("known").alias("outside_scenario"))
+    issues = F.explode(F.array(*[F.struct(F.lit(c).alias("issue"), F.col(c).alias("n")) for c in ("unknown_record", "outside_scenario")]))
+    checked = totals.select("scenario_id", "rule_id", issues.alias("i")).select("scenario_id", "rule_id", "i.*").filter("n > 0")
 
     def of_accounts(found, kind):
         summed = found.groupBy("rule_id", "account_id").agg(F.sum("n").alias("n"))

@@ -97,3 +97,47 @@ def test_spans_equal_members(spark):
     ordered = rules.payment_positions(rules.rule_payments(payments))
     found = windows.span_coverage(quality.splitting_spans(out.results), ordered)
     assert each and each == {(r.from_account, r.transaction_id): r.covered for r in found.collect()}
+
+
+def test_records_times_scenarios_are_never_formed(spark, monkeypatch):
+    """Accounts with many scenarios: results by definition, stored rows as many as records."""
+    rng = random.Random(5)
+    accounts, staff = ["A", "B", "C"], ["E1", "E2"]
+    scenarios = [
+        (f"S{i}", "suspicious", ";".join(rng.sample(accounts, rng.randrange(1, 3))), rng.choice(staff),
+         ";".join(rng.sample(["e1", "e2", "e3"], rng.randrange(0, 3))), ",".join(rng.sample(["t1", "t2", "t3"], rng.randrange(0, 3))))
+        for i in range(60)
+    ]
+    changes = [(f"c{i}", rng.choice(accounts), rng.choice(staff)) for i in range(20)] + [("c0", "A", "E2"), ("c1", None, "E1")]
+    results = [(PRIVILEGE, f"p{i}", rng.choice([*accounts, "Z", None]), 0, "why") for i in range(40)]
+    records = [("access_event", f"e{i}") for i in range(1, 5)] + [("transaction", f"t{i}") for i in range(1, 5)]
+    records += [("profile_change", f"c{i}") for i in range(25)]
+    evidence = sorted({(PRIVILEGE, f"p{i}", *rng.choice(records)) for i in range(40) for _ in range(6)})
+    want = {}
+    for s, _, own, who, events, paid in scenarios:
+        own, lists = own.split(";"), {("access_event", x) for x in events.split(";")} | {("transaction", x) for x in paid.split(",")}
+        lists |= {("profile_change", c) for c, a, e in changes if a in own and e == who}
+        for _, key, kind, record in evidence:
+            account = next(r[2] for r in results if r[1] == key)
+            known = record[1:] in {str(i) for i in range(20)} if kind == "profile_change" else record[1:] != "4"
+            issues = []
+            if account in own and not known:
+                issues.append("unknown_record")
+            elif account in own and (kind, record) not in lists:
+                issues.append("outside_scenario")
+            if account not in own and (kind, record) in lists:
+                issues.append("wrong_account")
+            for issue in issues:
+                want[s, PRIVILEGE, issue] = want.get((s, PRIVILEGE, issue), 0) + 1
+    rows, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, label="step": rows.append(write(df, label)) or rows[-1])
+    found = quality.evidence_audit(
+        spark.createDataFrame(scenarios, tables(spark)[0].schema),
+        spark.createDataFrame([(*r, {}) for r in results], "rule_id string, result_key string, account_id string, record_count long, explanation string, metrics map<string,string>"),
+        spark.createDataFrame(evidence, "rule_id string, result_key string, record_type string, record_id string"),
+        spark.createDataFrame([(f"e{i}",) for i in range(1, 4)], "event_id string"),
+        spark.createDataFrame(changes, "change_id string, customer_id string, changed_by_employee_id string"),
+        spark.createDataFrame([(f"t{i}",) for i in range(1, 4)], "transaction_id string"),
+    )
+    assert {(r.scenario_id, r.rule_id, r.issue): r.records for r in found.collect()} == want
+    assert len(rows) == 2 and all(df.count() <= len(evidence) for df in rows)
