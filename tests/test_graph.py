@@ -177,6 +177,62 @@ def test_dbscan(spark, block):
         assert [got[eps][i] for i in range(len(x))] == want.tolist()
 
 
+def cloud(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.25, (40, 3)) for c in ((0, 0, 0), (1.4, 0, 0), (4, 4, 0), (4, 4, 1))] + [rng.uniform(-2, 6, (60, 3))])
+    return np.concatenate([x, np.repeat(x[:1], 12, axis=0)])
+
+
+def as_points(spark, x):
+    return spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+
+
+@pytest.mark.parametrize("tree", [False, True])
+def test_dbscan_with_and_without_pivots(spark, monkeypatch, tree):
+    monkeypatch.setattr(density, "FEW_BLOCKS", 0 if tree else 1e9)
+    monkeypatch.setattr(density, "all_near", lambda *_: False)
+    x, radii = cloud(3), [0.35, 0.5, 1.0]
+    got = {}
+    for r in density.dbscan(as_points(spark, x), radii, 5, block=9, fanout=6).collect():
+        got.setdefault(r.eps, {})[r.id] = r.cluster_label
+    for eps in radii:
+        assert [got[eps][i] for i in range(len(x))] == brute_dbscan(x, eps, 5).tolist()
+    near = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.5).sum(1)
+    counted = {r.id: r.neighbours for r in density.neighbour_counts(as_points(spark, x), 0.5, block=9, fanout=6).collect()}
+    assert [counted[i] for i in range(len(x))] == near.tolist()
+
+
+def test_points_without_pivots_meet_few_blocks(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(600, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points, compared = as_points(spark, x), []
+    monkeypatch.setattr(density, "FEW_BLOCKS", 0)
+    layout = density._layout(points, 1.3, block=30)
+    assert isinstance(layout, density.AllPairs) and layout.blocks == 20
+    met = density.AllPairs._met
+    monkeypatch.setattr(
+        density.AllPairs, "_met", lambda self, members, visitors, offsets, few=False: compared.append(members.count() * len(offsets)) or met(self, members, visitors, offsets, few)
+    )
+    got = {r.key: r.n for r in layout.counts([1.3, 1.35], stop=5).collect()}
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    keys = {r.id: r.key for r in layout.ids.collect()}
+    for e, r in enumerate((1.3, 1.35)):
+        for i, n in enumerate((near <= r).sum(1)):
+            assert got[keys[i]][e] == n if n < 5 else 5 <= got[keys[i]][e] <= n
+    assert sum(compared) < 600 * 20 / 2  # (point, block) pairs; all of them would be 12,000
+
+
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e20])
+def test_close_pairs_at_the_radius(size):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-3, 4, (70, 5)) * size, rng.integers(-3, 4, (50, 5)) * size
+    radii = [2.0 * size, 5.0 * size]  # whole numbers: many distances are the radius itself
+    d, got = density._distances(a, b), [set(), set()]
+    for e, i, j in density._close_pairs(a, b, radii):
+        got[e] |= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert got == [{tuple(p) for p in np.argwhere(d <= r).tolist()} for r in radii]
+
+
 def test_walks_carry_a_few_accounts_only(spark, monkeypatch):
     links = [(f"N{i}", f"N{(i + s) % 9}") for i in range(9) for s in (1, 2, 7, 8)]
     links = spark.createDataFrame(links, "src string, dst string")
