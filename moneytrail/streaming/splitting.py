@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+# Open windows are many times the payments: they are kept outside the heap and stored as changes.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def splitting_alerts(
     payments: DataFrame,
@@ -34,13 +40,20 @@ def splitting_alerts(
 def run_available(alerts: DataFrame, spark: SparkSession) -> DataFrame:
     """Process all files that are there, append the alerts to a table, and return it."""
     out, state = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-state")
-    query = (
-        alerts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        query = (
+            alerts.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(alerts.schema).parquet(out)

@@ -141,3 +141,21 @@ def test_records_times_scenarios_are_never_formed(spark, monkeypatch):
     )
     assert {(r.scenario_id, r.rule_id, r.issue): r.records for r in found.collect()} == want
     assert len(rows) == 2 and all(df.count() <= len(evidence) for df in rows)
+
+
+def test_open_windows_of_the_stream_are_kept_outside_the_heap(spark, tmp_path):
+    import glob
+
+    from moneytrail import session
+    from moneytrail.streaming import splitting
+
+    spark.sql("SELECT explode(sequence(0, 99)) AS i").selectExpr(
+        "concat('A', i % 3) AS from_account", "double(i) AS amount_paid", "timestamp_seconds(1700000000 + i * 3600) AS ts"
+    ).write.parquet(f"{tmp_path}/in")
+    payments = spark.readStream.schema("from_account string, amount_paid double, ts timestamp").parquet(f"{tmp_path}/in")
+    found = splitting.run_available(splitting.splitting_alerts(payments, "6 hours", minimum=2, boundary=50), spark)
+    assert found.count() > 0
+    (state,) = glob.glob(f"{session.scratch_dir(spark)}/alerts-state-*/offsets/0")[-1:]
+    with open(state) as f:
+        assert "RocksDB" in f.read()
+    assert all(spark.conf.get(key, None) != value for key, value in splitting.STATE_SETTINGS.items())
