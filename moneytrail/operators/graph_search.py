@@ -237,14 +237,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if open_edges.isEmpty():
             break
         src, dst = F.col("src"), F.col("dst")
-        pairs = [(src, dst), (dst, src), (src, src), (dst, dst)]
+        pairs = [(src, dst), (dst, src)]
         ends = open_edges.select(
             F.explode(F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in pairs])).alias("e")
         ).select("e.u", "e.v")
-        tag = F.struct(F.xxhash64(F.lit(len(hooks)), F.col("v")).alias("h"), F.col("v").alias("v"))
+        tag = lambda c: F.struct(F.xxhash64(F.lit(len(hooks)), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         # Stored, so that the join below reads two exchanges and a hub's rows can be split.
-        near = materialize(ends.groupBy("u").agg(F.min(tag).alias("t")), "near")
-        far = ends.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("t").alias("t"))
+        near = ends.groupBy("u").agg(F.min(tag("v")).alias("t"))
+        near = materialize(near.select("u", F.least("t", tag("u")).alias("t")), "near")
+        far = ends.join(near.withColumnRenamed("u", "v"), "v").select("u", "t").unionByName(near)
+        far = far.groupBy("u").agg(F.min("t").alias("t"))
         hook = materialize(far.select("u", F.col("t.v").alias("to")), "hooks")
         hooks.append(hook)
         moved = (
