@@ -213,6 +213,12 @@ def merged_payments(sources) -> DataFrame:
     return merge_sources([(dataset, kind, usable_payments(raw)) for dataset, kind, raw in sources])
 
 
+def _only(payments: DataFrame, *names: str) -> DataFrame:
+    """The columns a rule uses, with their provenance if they have one: others are not sorted and stored with them."""
+    wanted = (*names, "source_dataset", "record_type")
+    return payments.select(*[c for c in payments.columns if c in wanted])
+
+
 def rule_payments(payments: DataFrame, needs_amount: bool = True) -> DataFrame:
     """Payments as rules may count them, with their provenance.
 
@@ -249,7 +255,8 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
     config = rule_config.SplittingConfig.from_mapping(settings)
     rule, name = rule_config.SPLITTING, "Transaction splitting"
     hours, boundary = config.time_window_hours, float(config.below_reporting_boundary)
-    payments = materialize(rule_payments(context["payments"]), "payments")
+    used = _only(context["payments"], "transaction_id", "ts", "from_account", "to_account", "amount_paid", "payment_format")
+    payments = materialize(rule_payments(used), "payments")
     limit = settings.get("hot_rows", HOT_ROWS)
     found = windows.splitting_windows(payments, hours, config.minimum_outgoing_transactions, boundary, limit)
     results = shaped(
@@ -313,7 +320,8 @@ def transaction_splitting(context: Mapping[str, DataFrame], settings: Mapping) -
 def circular_transfer(context: Mapping[str, DataFrame], settings: Mapping) -> RuleOutput:
     config = rule_config.CircularConfig.from_mapping(settings)
     rule, name, hours = rule_config.CIRCULAR, "Circular transfer", config.time_window_hours
-    payments = materialize(rule_payments(context["payments"], needs_amount=False), "payments")
+    used = _only(context["payments"], "transaction_id", "ts", "from_account", "to_account")
+    payments = materialize(rule_payments(used, needs_amount=False), "payments")
     found = cycles.circular_transfers(payments, hours, config.minimum_transactions, config.max_hops)
     found = materialize(found, "rings")
     path = F.concat_ws(" -> ", "accounts", "account_id")
