@@ -63,6 +63,14 @@ def estimate(a: np.ndarray, b: np.ndarray, size: int) -> float:
     return (np.isin(union, a) & np.isin(union, b)).sum() / len(union)
 
 
+def full_estimates(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """``estimate`` of rows of ``a`` (or its one row) and ``b`` at once, all sketches of ``size`` values."""
+    both = np.sort(np.concatenate([np.broadcast_to(a, b.shape), b], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    place = np.arange(2, 2 * size + 1) - np.cumsum(again, axis=1)  # in the union, from 1
+    return (again & (place <= size)).sum(axis=1) / size
+
+
 def _estimates(size: int, percent: int):
     """Keep pairs that may be similar; ``score`` is the estimate.  Whole sets are compared exactly."""
 
@@ -75,9 +83,15 @@ def _estimates(size: int, percent: int):
                 offsets, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
                 sides.append((offsets, flat))
             (o1, f1), (o2, f2) = sides
+            full = np.flatnonzero((np.diff(o1) == size) & (np.diff(o2) == size) & (np.maximum(n1, n2) > size))
+            each = np.arange(size)
+            known = np.zeros(batch.num_rows)
+            known[full] = full_estimates(f1[o1[full][:, None] + each], f2[o2[full][:, None] + each], size)
+            at_once = np.zeros(batch.num_rows, bool)
+            at_once[full] = True
             for i in range(batch.num_rows):
                 a, b = f1[o1[i] : o1[i + 1]], f2[o2[i] : o2[i + 1]]
-                found = estimate(a, b, size if max(n1[i], n2[i]) > size else len(a) + len(b))
+                found = known[i] if at_once[i] else estimate(a, b, size if max(n1[i], n2[i]) > size else len(a) + len(b))
                 whole = n1[i] <= size and n2[i] <= size
                 if similar(a, b, percent) if whole else 100 * (found + SLACK) >= percent:
                     keep.append(i)
@@ -105,9 +119,8 @@ def _block_pairs(size: int, percent: int):
     """Possible pairs of the blocks that follow each other in a partition.
 
     Rows: value, bi, bj, outer, node, n, component, lists, sketch.  A pair is compared only in the block
-    of the smallest list that both are in.  Overlaps are counted for an outer row against all rows of its
-    block at once, by a lookup in the sorted values of the block; only pairs that pass them and the
-    estimate come out.
+    of the smallest list that both are in.  Overlaps and estimates of an outer row are counted against all
+    rows of its block at once, if any are left to meet there; only pairs that pass both come out.
     """
 
     def compare(rows: list[tuple], found: list[tuple]) -> None:
@@ -116,7 +129,8 @@ def _block_pairs(size: int, percent: int):
         if not inner or not outer:
             return
         value = rows[0][0]
-        owned = np.repeat(np.arange(len(inner)), [len(r[8]) for r in inner])
+        length = np.array([len(r[8]) for r in inner])
+        owned = np.repeat(np.arange(len(inner)), length)
         values = np.concatenate([r[8] for r in inner])
         order = np.argsort(values, kind="stable")
         values, owned = values[order], owned[order]
@@ -129,23 +143,24 @@ def _block_pairs(size: int, percent: int):
         node, n, component = (np.array([r[i] for r in inner]) for i in (4, 5, 6))
         least = least_shared(n, size, percent)
         for r in outer:
-            shared = np.bincount(_owners(values, owned, r[8]), minlength=len(inner))
-            need = np.minimum(least, least_shared(np.array([r[5]]), size, percent))
-            fits = 100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])
-            fits &= (shared >= need) & (component != r[6])
+            fits = (component != r[6]) & (100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5]))
+            fits[_owners(met, met_by, r[7][r[7] < value])] = False
             if not fits.any():
                 continue
-            fits[_owners(met, met_by, r[7][r[7] < value])] = False
-            for i in np.flatnonzero(fits):
-                other = inner[i][8]
-                if max(n[i], r[5]) <= size:
-                    score = shared[i] / (n[i] + r[5] - shared[i])
-                    good = 100 * shared[i] >= percent * (n[i] + r[5] - shared[i])
-                else:
-                    score = estimate(r[8], other, size)
-                    good = 100 * (score + SLACK) >= percent
-                if good:
-                    found.append((min(r[4], int(node[i])), max(r[4], int(node[i])), float(score)))
+            shared = np.bincount(_owners(values, owned, r[8]), minlength=len(inner))
+            need = np.minimum(least, least_shared(np.array([r[5]]), size, percent))
+            left = np.flatnonzero(fits & (shared >= need))
+            union = n[left] + r[5] - shared[left]
+            whole = np.maximum(n[left], r[5]) <= size
+            score, good = shared[left] / union, 100 * shared[left] >= percent * union
+            full = ~whole & (length[left] == size) & (len(r[8]) == size)
+            if full.any():
+                score[full] = full_estimates(r[8][None, :], np.stack([inner[i][8] for i in left[full]]), size)
+            for k in np.flatnonzero(~whole & ~full):
+                score[k] = estimate(r[8], inner[left[k]][8], size)
+            good = np.where(whole, good, 100 * (score + SLACK) >= percent)
+            for i, at in zip(node[left[good]].tolist(), score[good].tolist(), strict=True):
+                found.append((min(r[4], i), max(r[4], i), at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, found = None, [], []

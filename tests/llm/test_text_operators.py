@@ -5,6 +5,8 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -126,6 +128,37 @@ def test_contained_documents_link(spark):
     assert {x[0] - 1 for x in got if not x[3]} == linked
 
 
+def test_block_pairs_are_estimated_at_once(monkeypatch):
+    # Near copies of one text in one list: only sketches that are not full may be estimated one by one.
+    r, shingler = random.Random(3), Shingler(4)
+    base = [f"w{j}" for j in range(300)]
+    sets = []
+    for _ in range(30):
+        text = list(base)
+        for j in r.sample(range(300), r.randrange(2, 40)):
+            text[j] = f"x{r.randrange(10_000)}"
+        sets.append(shingler(" ".join(text)))
+    sketches = [s[:96] for s in sets]
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    slow = {(i, j): float(minhash.estimate(sketches[i], sketches[j], 96)) for i, j in pairs}
+    wanted = {
+        (*p, s) for p, s in slow.items()
+        if 100 * (s + minhash.SLACK) >= 80 and len(np.intersect1d(sketches[p[0]], sketches[p[1]])) >= math.floor(96 * minhash.SHARED)
+        and 100 * min(len(sets[p[0]]), len(sets[p[1]])) >= 80 * max(len(sets[p[0]]), len(sets[p[1]]))
+    }
+    ids = [i for i in range(30) for _ in range(2)]
+    columns = [[7] * 60, [0] * 60, [0] * 60, [True, False] * 30, ids, [len(sets[i]) for i in ids], ids, [[7]] * 60]
+    arrays = [pa.array(c) for c in columns] + [pa.array([sketches[i].view(np.int64) for i in ids], pa.list_(pa.int64()))]
+    batch = pa.record_batch(arrays, names=list("abcdefghi"))
+
+    def one_by_one(*_):
+        raise AssertionError("a pair of full sketches was estimated by itself")
+
+    monkeypatch.setattr(minhash, "estimate", one_by_one)
+    got = {tuple(x.values()) for part in minhash._block_pairs(96, 80)(iter([batch])) for x in part.to_pylist()}
+    assert got == wanted and 50 < len(got) < len(pairs)
+
+
 def line_want(rows, at_least=3):
     keys = lambda t: [x.strip(SPACE).encode().lower() for x in (t or "").split("\n")]
     holders = defaultdict(set)
