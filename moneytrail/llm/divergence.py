@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +21,9 @@ FIRST_PREFIX, GROWTH = 8, 4
 # two prefixes may share a bit, then one too many goes on; a level never loses one that should.
 FILTER_BITS = 26
 TERM_RANKS = 200
-# Distinct terms of documents, with repeats between them, in a block of one lang and in all open blocks of a task.
-BLOCK_TERMS = 1 << 18
-HELD_TERMS = 1 << 20
+# Terms of documents, repeats counted, in a block of one lang and in all open blocks of a task.
+BLOCK_TERMS = 1 << 19
+HELD_TERMS = 1 << 21
 PROFILES_PER_BLOCK = 2048
 END = b"\0"  # closes a whole term; no term holds it
 
@@ -38,29 +37,50 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
 
 
+class _Numbers(dict):
+    """Terms to numbers from 0 on, in the order in which they are first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        found = self[term] = len(self)
+        return found
+
+
 class _Gathered:
     """Documents of one lang that come together in a task, with one dictionary of their terms."""
 
     def __init__(self, lang: str):
-        self.lang, self.numbers = lang, {}
-        self.sources, self.sizes, self.terms, self.counts = [], [], [], []
+        self.lang, self.numbers, self.held = lang, _Numbers(), 0
+        self.sources, self.parts = [], []
 
-    def add(self, source: str, found: Counter) -> None:
-        numbers = self.numbers
+    def add(self, source: str, terms: list[bytes]) -> int:
+        """How much more is held."""
         self.sources.append(source)
-        self.sizes.append(len(found))
-        self.terms += [numbers.setdefault(t, len(numbers)) for t in found]
-        self.counts += found.values()
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, terms), np.int32, len(terms)))
+        self.held += len(terms) + 1
+        return len(terms) + 1
 
     def row(self) -> pa.RecordBatch:
+        # Terms of all documents are counted by one sort of (document, term).
+        width = max(1, len(self.numbers))
+        key = np.repeat(np.arange(len(self.parts)) * width, [len(p) for p in self.parts]) + np.concatenate(self.parts)
+        key.sort()
+        first = _firsts(key)
+        document, term = np.divmod(key[first], width)
+        counts = np.diff(first, append=len(key))
+        sizes = np.bincount(document, minlength=len(self.parts)).tolist()
         columns = [
             pa.array([self.lang], pa.string()), pa.array([self.sources], pa.list_(pa.string())),
-            pa.array([self.sizes], pa.list_(pa.int32())), pa.array([b" ".join(self.numbers)], pa.binary()),
-            pa.array([np.array(self.terms, "<i4").tobytes()], pa.binary()), pa.array([np.array(self.counts, "<i8").tobytes()], pa.binary()),
+            pa.array([sizes], pa.list_(pa.int32())), pa.array([b" ".join(self.numbers)], pa.binary()),
+            pa.array([term.astype("<i4").tobytes()], pa.binary()), pa.array([counts.astype("<i4").tobytes()], pa.binary()),
         ]
         return pa.record_batch(columns, names=["lang", "sources", "sizes", "dictionary", "terms", "counts"])
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
 BLOCK_SCHEMA = "lang string, sources array<string>, sizes array<int>, dictionary binary, terms binary, counts binary"
 
 
@@ -74,10 +94,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block = open_blocks.get(lang)
                 if block is None:
                     block = open_blocks[lang] = _Gathered(lang)
-                block.add(source, found := Counter(terms_of(text)))
-                held += len(found) + 1
-                if len(block.terms) + len(block.sizes) > BLOCK_TERMS:
-                    held -= len(block.terms) + len(block.sizes)
+                held += block.add(source, terms_of(text))
+                if block.held > BLOCK_TERMS:
+                    held -= block.held
                     yield open_blocks.pop(lang).row()
             if held > HELD_TERMS:  # many langs with a few documents each
                 yield from [b.row() for b in open_blocks.values()]
@@ -122,7 +141,7 @@ def _prefix_counts(length: int, before: int, pages: dict[int, bytes] | None):
 
 
 def _term_counts(before: int, pages: dict[int, bytes]):
-    """(lang, source, term, count) of the terms whose prefixes went on to the end."""
+    """(lang, term, held) of the terms whose prefixes went on to the end; held: (source, count) of each source of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,15 +153,21 @@ def _term_counts(before: int, pages: dict[int, bytes]):
                 names, source = np.unique(np.array(sources, object), return_inverse=True)
                 term = np.frombuffer(terms, "<i4")
                 kept = live[term]
-                key = (np.repeat(source, sizes) * len(split) + term)[kept]
-                found, place = np.unique(key, return_inverse=True)
-                sums = np.zeros(len(found), np.int64)
-                np.add.at(sums, place, np.frombuffer(counts, "<i8")[kept])
+                key = (term.astype(np.int64) * len(names) + np.repeat(source, sizes))[kept]
+                if not len(key):
+                    continue
+                order = np.argsort(key)
+                key = key[order]
+                first = _firsts(key)
+                sums = np.add.reduceat(np.frombuffer(counts, "<i4")[kept][order].astype(np.int64), first)
+                term, source = np.divmod(key[first], len(names))
+                each = _firsts(term)
+                held = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(source)), pa.array(sums)], ["source", "count"])
                 columns = [
-                    pa.array([lang] * len(found), pa.string()), pa.array(names[found // len(split)], pa.string()),
-                    pa.array([split[i] for i in (found % len(split)).tolist()], pa.binary()), pa.array(sums),
+                    pa.array([lang] * len(each), pa.string()), pa.array(split, pa.binary()).take(pa.array(term[each])),
+                    pa.ListArray.from_arrays(pa.array(np.append(each, len(term)), pa.int32()), held),
                 ]
-                yield pa.record_batch(columns, names=["lang", "source", "term", "count"])
+                yield pa.record_batch(columns, names=["lang", "term", "held"])
 
     return run
 
@@ -177,9 +202,9 @@ def kept_terms(documents: DataFrame, least: int = LEAST_DOCUMENTS, first_prefix:
         length *= GROWTH
     # Only whole terms are left, each in enough documents; some more share their bits and go in the join.
     kept = prefixes.select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("term"))
-    counted = documents.mapInArrow(_term_counts(before, pages), "lang string, source string, term binary, count bigint")
-    # One shuffle, by term, serves both sums and the join; blocks have summed up what a task can.
-    dealt = counted.repartition(partitions(documents), "lang", "term")
+    counted = documents.mapInArrow(_term_counts(before, pages), "lang string, term binary, held array<struct<source:string,count:bigint>>")
+    # One shuffle, by term, serves both sums and the join; a row has what a block holds of a term.
+    dealt = counted.repartition(partitions(documents), "lang", "term").select("lang", "term", F.inline("held"))
     summed = dealt.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
     sure = summed.join(kept.hint("merge"), ["lang", "term"], "left_semi")
     held = F.array_sort(F.collect_list(F.struct("source", "count"))).alias("held")

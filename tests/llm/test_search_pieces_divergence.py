@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -208,6 +209,17 @@ def test_source_audit(spark, rows, monkeypatch, settings):
     assert sorted(tuple(r) for r in got.collect()) == audited(rows, 3, 9)
 
 
+def test_a_block_sends_a_term_once():
+    texts = ["b a a", None, "A c", "c, c b", "", "d"]
+    columns = [pa.array(["en"] * 6), pa.array(["x", "x", "y", "y", "z", "x"]), pa.array(texts, pa.string())]
+    blocks = list(divergence._blocks(iter([pa.record_batch(columns, names=["lang", "source", "text"])])))
+    every = {page: b"\xff" * 4096 for page in range(1 << (divergence.FILTER_BITS - 15))}
+    found = [r for b in divergence._term_counts(8, every)(iter(blocks)) for r in b.to_pylist()]
+    held = {r["term"]: [(h["source"], h["count"]) for h in r["held"]] for r in found}
+    assert len(found) == 4 and held == {b"a": [("x", 2), ("y", 1)], b"b": [("x", 1), ("y", 1)], b"c": [("y", 3)], b"d": [("x", 1)]}
+    assert not list(divergence._term_counts(8, {})(iter(blocks)))  # no term goes on
+
+
 def test_source_audit_of_nothing(spark):
     assert divergence.audit_sources(frame(spark, [])).count() == 0
     alone = divergence.audit_sources(frame(spark, [(1, "once only", "en", "a"), (2, "other words", "en", "b")]))
