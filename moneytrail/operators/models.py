@@ -111,27 +111,46 @@ def _leaf_paths(nodes: Sequence) -> list[tuple[float, dict[int, tuple[float, flo
     return found
 
 
-def _contributions(x: np.ndarray, leaves) -> np.ndarray:
-    """Shapley values of the path-dependent expectation: a leaf has few features, so all subsets are summed."""
-    phi = np.zeros(x.shape)
-    for value, path in leaves:
-        features = list(path)
-        d = len(features)
-        follows = {f: (x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in features}
-        for f in features:
-            others = [g for g in features if g != f]
-            total = np.zeros(len(x))
-            for k in range(d):
-                weight = math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
-                for known in itertools.combinations(others, k):
-                    term = np.full(len(x), weight)
-                    for g in others:
-                        term = term * (follows[g] if g in known else path[g][2])
-                    total += term
-            phi[:, f] += value * total * (follows[f] - path[f][2])
+def _shapley_table(value: float, shares: Sequence[float]) -> np.ndarray:
+    """Shapley values of one leaf by which of its features follow its path: bit i of the row number is feature i.
+
+    A leaf has few features, so all their subsets are summed.
+    """
+    d = len(shares)
+    follows = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(bool)
+    phi = np.zeros((1 << d, d))
+    for i in range(d):
+        others = [j for j in range(d) if j != i]
+        total = np.zeros(1 << d)
+        for k in range(d):
+            weight = math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
+            for known in itertools.combinations(others, k):
+                term = np.full(1 << d, weight)
+                for j in others:
+                    term = term * (follows[:, j] if j in known else shares[j])
+                total += term
+        phi[:, i] = value * total * (follows[:, i] - shares[i])
     return phi
 
 
+def _leaf_tables(leaves) -> list[tuple[list[tuple[int, float, float]], np.ndarray]]:
+    """For each leaf the (feature, above, up to) of its path and its Shapley values."""
+    return [([(f, *p[:2]) for f, p in path.items()], _shapley_table(v, [p[2] for p in path.values()])) for v, path in leaves]
+
+
+def _contributions(x: np.ndarray, tables) -> np.ndarray:
+    """Shapley values of the path-dependent expectation: every leaf looks them up by the features that follow its path."""
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    for path, table in tables:
+        number = np.zeros(len(x), np.int64)
+        for i, (f, above, up_to) in enumerate(path):
+            number += ((columns[f] > above) & (columns[f] <= up_to)).astype(np.int64) << i
+        for i, (f, *_) in enumerate(path):
+            phi[f] += table[number, i]
+    return phi.T
+
+
 def expected_log_odds(nodes: DataFrame) -> float:
     """The log-odds when nothing is known about an account."""
     return float(sum(v * math.prod(p[2] for p in path.values()) for v, path in _leaf_paths(nodes.collect())))
@@ -142,12 +161,12 @@ def feature_contributions(nodes: DataFrame, matrix: DataFrame, names: Sequence[s
 
     The node table is bounded by the number and depth of the trees and travels with the tasks.
     """
-    leaves = _leaf_paths(nodes.collect())
+    tables = _leaf_tables(_leaf_paths(nodes.collect()))
 
     @F.pandas_udf("array<double>")
     def contributions(x: pd.Series) -> pd.Series:
         values = np.array(x.tolist(), dtype=np.float64).reshape(len(x), len(names))
-        return pd.Series(list(_contributions(values, leaves)))
+        return pd.Series(list(_contributions(values, tables)))
 
     x = F.array(*[F.col(n).cast("double") for n in names])
     labels = F.array(*[F.lit(n) for n in names])

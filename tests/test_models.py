@@ -1,6 +1,7 @@
 """Models, measures and fusion."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -30,6 +31,29 @@ def probabilities(df):
     return {r.account_id: r.model_probability for r in df.collect()}
 
 
+def test_contributions_are_looked_up_by_path():
+    # Three leaves, one with four features; values that miss or follow each bound, and null as NaN.
+    inf = float("inf")
+    leaves = [
+        (0.7, {0: (-inf, 0.5, 0.25), 2: (0.1, 0.9, 0.5), 1: (0.3, inf, 0.75), 3: (-inf, 0.2, 0.1)}),
+        (-0.4, {1: (-inf, 0.3, 0.6)}), (0.2, {}),
+    ]
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.uniform(size=(60, 4)), [[0.5, 0.3, 0.1, 0.2], [np.nan] * 4]])
+    got = models._contributions(x, models._leaf_tables(leaves))
+    for row, phi in zip(x, got, strict=True):
+        want = np.zeros(4)
+        for value, path in leaves:
+            for order in itertools.permutations(path):
+                product = value * np.prod([p[2] for p in path.values()])
+                for f in order:
+                    low, high, share = path[f]
+                    after = product / share * (low < row[f] <= high)
+                    want[f] += (after - product) / math.factorial(len(path))
+                    product = after
+        assert phi == pytest.approx(want, abs=1e-12)
+
+
 def test_contributions_match_shapley_definition(spark, model, matrix):
     nodes = models.tree_nodes(model)
     table = {}
