@@ -213,23 +213,34 @@ class NearDuplicates:
         plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         rows = plain.mapInArrow(_sketches(shingle_words, sketch), SKETCH_SCHEMA)
         self.rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "sketches")
+        each, value = self.rows.count(), 8  # bytes
         # Rows with one set are one class: equal 128-bit digests of the full sets.  Null ids link with nothing.
         usable = self.rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
         classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "row_id")).alias("first"))
         self.classes = materialize(
-            classes.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.row_id").alias("node")), "classes"
+            classes.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.row_id").alias("node")), "classes", 32 * each
         )
         nodes = self.classes.select(F.col("node").alias("row_id"))
         first = self.rows.join(nodes.hint("merge"), "row_id", "left_semi")
         self.sketches = materialize(
-            first.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "class-sketches"
+            first.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "class-sketches", value * (sketch + 2) * each
         )
-        self.lists = materialize(self._inverted_lists(), "lists")
-        self.texts = materialize(self._texts(plain), "texts")
+        lists = materialize(self._inverted_lists(each), "lists", 3 * value * sketch * each)
+        # Only what two or more classes share goes on: lists, and the sketches and texts of their members.
+        shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("value")
+        self.lists = materialize(lists.join(shared, "value", "left_semi"), "shared-lists", 3 * value * lists.count())
+        self.entries = self.lists.count()
+        nodes = materialize(self.lists.select("node").distinct(), "nodes", value * self.entries)
+        self.members = nodes.count()
+        self.sketches = materialize(
+            self.sketches.join(nodes, "node", "left_semi"), "shared-sketches", value * (sketch + 2) * self.members
+        )
+        self.texts = materialize(self._texts(plain, nodes), "texts")
         self.links: DataFrame | None = None
+        self.linked = 0
         self.components: DataFrame | None = None
 
-    def _inverted_lists(self) -> DataFrame:
+    def _inverted_lists(self, each: int) -> DataFrame:
         """(value, node, n): the rarest retained values of every class, as many as a link needs.
 
         If two sketches share at least ``o`` values, their ``size - o + 1`` rarest ones share one.
@@ -237,7 +248,7 @@ class NearDuplicates:
         """
         postings = self.sketches.select("node", "n", F.explode("sketch").alias("value"))
         common = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        common = materialize(common, "common-values")
+        common = materialize(common, "common-values", 8 * self.size * each)
         size, part = F.least(F.col("n"), F.lit(self.size)), self.percent / 100
         small = math.floor(self.size * part)  # up to here both sets lie in their sketches whole
         shared = F.when(F.col("n") <= small, F.ceil(F.col("n") * self.percent / 100)).otherwise(math.floor(self.size * SHARED))
@@ -250,11 +261,9 @@ class NearDuplicates:
             F.col("v.value").alias("value"), "node", "n"
         )
 
-    def _texts(self, plain: DataFrame) -> DataFrame:
-        """(node, text) of all classes in lists that two or more share."""
-        shared = self.lists.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("value")
-        nodes = self.lists.join(shared, "value", "left_semi").select("node").distinct()
-        wanted = materialize(self.classes.join(nodes, "node").select("node", "doc_id", "digest"), "wanted")
+    def _texts(self, plain: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(node, text) of the classes ``nodes``."""
+        wanted = materialize(self.classes.join(nodes, "node").select("node", "doc_id", "digest"), "wanted", 32 * self.members)
         width = self.width
 
         def digests(batches):
@@ -283,9 +292,13 @@ class NearDuplicates:
         other = self.texts.select("node", F.col("text").alias("t2"))
         both = pairs.select("hub", "node").join(other, "node").join(hub, "hub").select("hub", "node", "t1", "t2")
         found = materialize(both.mapInArrow(_verified(self.width, self.percent), "src bigint, dst bigint"), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
+        count = found.count()
+        if not count and self.components is not None:
+            return  # nothing new is connected
+        self.links, self.linked = found if self.links is None else self.links.unionByName(found), self.linked + count
         ids = self.lists.select(F.col("node").alias("id"))
-        self.components = materialize(connected_components(ids, self.links).withColumnRenamed("id", "node"), "components")
+        named = connected_components(ids, self.links, self.linked).withColumnRenamed("id", "node")
+        self.components = materialize(named, "components", 16 * self.members)
 
     def _apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are not connected yet."""
@@ -300,7 +313,7 @@ class NearDuplicates:
         best = possible.groupBy("node").agg(F.max(F.struct("score", "hub")).alias("b")).select("node", F.col("b.hub").alias("hub"))
         self._verify(best)
         rest = self._apart(possible.select("hub", "node")).join(best, ["hub", "node"], "left_anti")
-        rest = materialize(rest, "rest")
+        rest = materialize(rest, "rest", 16 * possible.count())
         if not rest.isEmpty():
             self._verify(rest)
 
@@ -314,15 +327,17 @@ class NearDuplicates:
         list with its first member, which then leaves the list, and lists of one component end.
         What is left after a few rounds is compared pair by pair across components.
         """
-        lists, rows = self.lists, self.lists.count()
+        lists, rows = self.lists, self.entries
+        if not rows:
+            return
         for _ in range(STAR_ROUNDS):
             hubs = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("members"))
             hubs = materialize(
-                hubs.filter("members > 1").select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("n1")), "hubs"
+                hubs.filter("members > 1").select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("n1")), "hubs", 24 * rows
             )
             joined = lists.select("value", "node", "n").join(hubs, "value").filter(F.col("node") != F.col("hub"))
             pairs = joined.filter(self._sized("n", "n1")).select("hub", "node").distinct()
-            self._compare(self._possible(materialize(self._apart(pairs), "pairs")))
+            self._compare(self._possible(materialize(self._apart(pairs), "pairs", 16 * rows)))
             lists, left = self._open_lists(joined.select("value", "node", "n"))
             if not left:
                 return
@@ -346,17 +361,18 @@ class NearDuplicates:
 
     def _open_lists(self, lists: DataFrame) -> tuple[DataFrame, int]:
         """Lists of several components with the largest one of each, and how many pairs they may yield."""
-        named = materialize(lists.join(self.components, "node"), "named-lists")
+        rows = self.entries
+        named = materialize(lists.join(self.components, "node"), "named-lists", 32 * rows)
         counts = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"))
         top = counts.groupBy("value").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"))
         mixed = materialize(
             top.filter("members > top.m").select(
                 "value", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.m")).alias("outers"), "members"
             ),
-            "mixed",
+            "mixed", 32 * rows,
         )
         left = mixed.agg(F.sum(F.col("outers") * F.col("members"))).first()[0] or 0
-        return materialize(named.join(mixed, "value"), "lists"), left
+        return materialize(named.join(mixed, "value"), "lists", 56 * rows), left
 
     def result(self) -> DataFrame:
         named = self.classes
@@ -365,10 +381,11 @@ class NearDuplicates:
             label = F.coalesce("component", "node")
         else:
             label = F.col("node")
-        named = materialize(named.select("digest", "doc_id", label.alias("component")), "named")
+        size = 32 * self.rows.count()
+        named = materialize(named.select("digest", "doc_id", label.alias("component")), "named", size)
         smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        smallest = materialize(smallest, "smallest")
-        known = materialize(named.join(smallest, "component").select(F.col("digest").alias("_digest"), "component_id"), "known")
+        smallest = materialize(smallest, "smallest", size)
+        known = materialize(named.join(smallest, "component").select(F.col("digest").alias("_digest"), "component_id"), "known", size)
         rows = self.rows.select("doc_id", "n_shingles", "digest")
         linked = rows.filter(F.col("doc_id").isNotNull()).join(known, F.col("digest") == F.col("_digest"), "left")
         nameless = rows.filter(F.col("doc_id").isNull()).withColumn("component_id", F.lit(None).cast("bigint"))

@@ -107,6 +107,25 @@ def test_near_duplicates(spark, rows, width):
     assert sum(not x[3] for x in got) > 10
 
 
+def test_small_tables_take_few_tasks(spark, rows):
+    # Many shuffle partitions: what the rounds store is small and written by a task per core, and only shared classes go on.
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        state = minhash.NearDuplicates(table(spark, rows).filter("doc_id IS NOT NULL"), 4, 80, 96)
+        state.link()
+        cores = spark.sparkContext.defaultParallelism
+        assert all(0 < len(t.inputFiles()) <= cores for t in (state.classes, state.lists, state.sketches, state.components))
+        nodes = {r.node for r in state.lists.select("node").distinct().collect()}
+        assert {r.node for r in state.sketches.collect()} == nodes == {r.node for r in state.components.collect()}
+        assert 0 < len(nodes) < state.classes.count()
+        assert state.lists.groupBy("value").count().filter("count < 2").isEmpty()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_residual_pairs_are_compared(spark, rows, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
     got = [tuple(r) for r in minhash.near_duplicates(table(spark, rows), shingle_words=4).collect()]
