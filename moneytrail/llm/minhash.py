@@ -29,6 +29,8 @@ SLACK = 0.18
 # the rows of all lists.
 STAR_ROUNDS = 4
 PAIRS_PER_ROW = 64
+# Values of the sketches that are compared in blocks: most sets lie in them whole, so that their pairs are settled there.
+WIDE_SKETCH = 512
 # Rows of a list that are compared with so many others in one block.
 BLOCK_ROWS = 256
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>"
@@ -120,10 +122,20 @@ def _block_pairs(size: int, percent: int):
 
     Rows: value, bi, bj, outer, node, n, component, lists, sketch.  A pair is compared only in the block
     of the smallest list that both are in.  Overlaps and estimates of an outer row are counted against all
-    rows of its block at once, if any are left to meet there; only pairs that pass both come out.
+    rows of its block at once, if any are left to meet there; only pairs that pass both come out, and of
+    links between whole sets only those that join two components which no link of the task joined before.
     """
+    slack = SLACK * math.sqrt(SKETCH / size)  # as many standard deviations at every size
 
-    def compare(rows: list[tuple], found: list[tuple]) -> None:
+    def root(joined: dict[int, int], component: int) -> int:
+        while component in joined:
+            upper = joined[component]
+            if upper in joined:
+                joined[component] = joined[upper]
+            component = upper
+        return component
+
+    def compare(rows: list[tuple], found: list[tuple], joined: dict[int, int]) -> None:
         inner = [r for r in rows if not r[3]]
         outer = [r for r in rows if r[3]]
         if not inner or not outer:
@@ -158,12 +170,18 @@ def _block_pairs(size: int, percent: int):
                 score[full] = full_estimates(r[8][None, :], np.stack([inner[i][8] for i in left[full]]), size)
             for k in np.flatnonzero(~whole & ~full):
                 score[k] = estimate(r[8], inner[left[k]][8], size)
-            good = np.where(whole, good, 100 * (score + SLACK) >= percent)
-            for i, at in zip(node[left[good]].tolist(), score[good].tolist(), strict=True):
+            good = np.flatnonzero(np.where(whole, good, 100 * (score + slack) >= percent))
+            good = good[np.argsort(~whole[good], kind="stable")]  # sure links first
+            for k, i, c, at in zip(good.tolist(), node[left[good]].tolist(), component[left[good]].tolist(), score[good].tolist(), strict=True):
+                a, b = root(joined, r[6]), root(joined, c)
+                if a == b:
+                    continue
+                if whole[k]:
+                    joined[max(a, b)] = min(a, b)
                 found.append((min(r[4], i), max(r[4], i), at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows, found = None, [], []
+        last, rows, found, joined = None, [], [], {}
 
         def drain():
             hubs, nodes, scores = zip(*set(found), strict=True) if found else ((), (), ())
@@ -175,12 +193,12 @@ def _block_pairs(size: int, percent: int):
             flat = flat.view(np.uint64)
             for i, row in enumerate(zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True)):
                 if row[:3] != last:
-                    compare(rows, found)
+                    compare(rows, found, joined)
                     last, rows = row[:3], []
                 rows.append((*row, in_lists[at_lists[i] : at_lists[i + 1]], flat[at[i] : at[i + 1]]))
             if found:
                 yield drain()
-        compare(rows, found)
+        compare(rows, found, joined)
         yield drain()
 
     return run
@@ -346,7 +364,11 @@ class NearDuplicates:
         # Each member outside the largest component of its list meets the whole list, in blocks.
         # A row carries the lists it is still in, so that a pair is compared in the smallest common one.
         own = lists.groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("lists"))  # at most a sketch
-        sketched = lists.join(own, "node").join(self.sketches.select("node", "sketch"), "node")
+        own = materialize(own, "own-lists", 8 * (self.size + 1) * self.members)
+        wide = max(self.size, WIDE_SKETCH)
+        texts = self.texts.join(own.select("node"), "node", "left_semi").select("node", "text")
+        sketches = materialize(texts.mapInArrow(_sketches(self.width, wide), SKETCH_SCHEMA), "wide-sketches")
+        sketched = lists.join(own, "node").join(sketches.select(F.col("doc_id").alias("node"), "sketch"), "node")
         outer = F.col("component") != F.col("largest")
         bi = F.pmod(F.xxhash64("node"), F.ceil(F.col("outers") / BLOCK_ROWS))
         bj = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK_ROWS))
@@ -356,7 +378,7 @@ class NearDuplicates:
         right = sketched.select("value", each("outers").alias("bi"), bj.alias("bj"), F.lit(False).alias("outer"), *columns)
         order = ["value", "bi", "bj"]
         dealt = left.unionByName(right).repartition(partitions(lists), *order).sortWithinPartitions(*order)
-        found = dealt.mapInArrow(_block_pairs(self.size, self.percent), "hub bigint, node bigint, score double")
+        found = dealt.mapInArrow(_block_pairs(wide, self.percent), "hub bigint, node bigint, score double")
         self._compare(materialize(found.groupBy("hub", "node").agg(F.max("score").alias("score")), "possible"))
 
     def _open_lists(self, lists: DataFrame) -> tuple[DataFrame, int]:

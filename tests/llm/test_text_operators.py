@@ -278,3 +278,20 @@ def test_equal_rows_are_cut_as_decided(spark, number, lengths):
 )
 def test_empty_table(spark, operator):
     assert operator(table(spark, [])).count() == 0
+
+
+def test_block_links_of_whole_sets_are_a_forest():
+    # 40 near copies of one text, all linked and each a component: as many links come out as join them, not all pairs.
+    r, shingler = random.Random(5), Shingler(4)
+    base = [f"w{j}" for j in range(200)]
+    sets = [shingler(" ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in r.sample(range(200), 40)]
+    ids = [i for i in range(40) for _ in range(2)]
+    columns = [[7] * 80, [0] * 80, [0] * 80, [True, False] * 40, ids, [len(sets[i]) for i in ids], ids, [[7]] * 80]
+    arrays = [pa.array(c) for c in columns] + [pa.array([sets[i].view(np.int64) for i in ids], pa.list_(pa.int64()))]
+    batch = pa.record_batch(arrays, names=list("abcdefghi"))
+    got = [tuple(x.values())[:2] for part in minhash._block_pairs(512, 80)(iter([batch])) for x in part.to_pylist()]
+    assert len(got) == 39 and all(similar(sets[a], sets[b], 80) for a, b in got)
+    reached = {0}
+    for _ in range(40):
+        reached |= {x for pair in got if reached & set(pair) for x in pair}
+    assert reached == set(range(40))
