@@ -54,7 +54,8 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
             rows.append((tree, node, -1, 0.0, -1, -1, len(part), depth))
             continue
         feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        # Rounding may draw the upper end where both ends are neighbours: both sides must get rows.
+        threshold = min(float(rng.uniform(low[feature], high[feature])), float(np.nextafter(high[feature], -np.inf)))
         goes_left = part[:, feature] <= threshold
         left, right = count, count + 1
         count += 2

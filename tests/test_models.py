@@ -31,6 +31,14 @@ def probabilities(df):
     return {r.account_id: r.model_probability for r in df.collect()}
 
 
+def test_trees_split_values_that_are_neighbours():
+    # Two values with no number between them: a draw that rounds to the upper one would leave a side empty.
+    x = np.array([[0.1], [np.nextafter(0.1, 1)]] * 4)
+    for tree in range(40):
+        grown = isolation._grow(tree, x, 42)
+        assert grown["size"].tolist() == [8, 4, 4] and (grown["size"] > 0).all()
+
+
 def test_contributions_are_looked_up_by_path():
     # Three leaves, one with four features; values that miss or follow each bound, and null as NaN.
     inf = float("inf")
