@@ -12,11 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import table
-from .tokens import END_ID, WordTokenizer
+from .tokens import END_ID, word_tokenizer
 
 SEQUENCE_TOKENS = 2048
 # Documents are collected until they hold this many tokens, then packed together.
 BLOCK_TOKENS = 1 << 20
+# About so many bytes of text are tokenized together.
+BYTES_AT_ONCE = 4 << 20
+# After so many documents a task looks whether a block is full.
+CHECKED = 256
 # A document of n tokens costs n + QUADRATIC * n * n: feed-forward work and attention.
 QUADRATIC = 1 / 2048
 END = END_ID.to_bytes(4, "little")
@@ -114,18 +118,21 @@ def pack(docs: DataFrame, tokenizer: str, sequence_tokens: int = SEQUENCE_TOKENS
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 40, sequence_tokens)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = words.encode(part.column(1).to_pylist())
-                for doc_id, found in zip(part.column(0).to_pylist(), ids, strict=True):
+            rows = CHECKED * max(1, batch.num_rows * BYTES_AT_ONCE // max(batch.nbytes, 1) // CHECKED)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = words.encode(part.column(1))
+                for i, (doc_id, found) in enumerate(zip(part.column(0).to_pylist(), ids, strict=True), 1):
                     packer.add(doc_id, found + END)
-                if packer.tokens >= block_tokens:
-                    packer.pack()
-                if len(packer.rows) >= 5000:
-                    yield packer.drain()
+                    if i % CHECKED and i < len(ids):
+                        continue
+                    if packer.tokens >= block_tokens:
+                        packer.pack()
+                    if len(packer.rows) >= 5000:
+                        yield packer.drain()
         packer.finish()
         if packer.rows:
             yield packer.drain()

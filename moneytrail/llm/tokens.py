@@ -5,6 +5,12 @@ from __future__ import annotations
 import re
 import string
 import struct
+from functools import lru_cache
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # At most this many words are kept with their ids in a worker; an emptied memory only costs time.
 REMEMBERED_WORDS = 400_000
@@ -38,25 +44,34 @@ class WordTokenizer:
         self._known: dict[str, bytes] = {"": b""}
         self._parts: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            text = text or ""
-            for space in "\n\t\r\x0b\x0c":
-                if space in text:
-                    text = text.replace(space, " ")
-            split.append(text.split(" "))
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of every text; null counts as empty.
+
+        Arrow cuts the texts and numbers their words, so each different word is looked up once for all texts.
+        """
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         if len(self._known) > REMEMBERED_WORDS:
             self._known = {"": b""}
         if len(self._parts) > REMEMBERED_WORDS:
             self._parts = {"": b""}
-        known = self._known
-        once = self._learn({w for words in split for w in words if w not in known})
-        if once:
-            return [b"".join([known[w] if w in known else once[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        numbered = words.flatten().dictionary_encode()
+        different, known = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self._known
+        once = self._learn([w for w in different if w not in known])
+        found = [known[w] if w in known else once[w] for w in different] if once else [known[w] for w in different]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = numbered.indices.to_numpy(zero_copy_only=False)
+        size = sizes[word]
+        ends = np.cumsum(size)
+        place = np.repeat((np.cumsum(sizes) - sizes)[word] - (ends - size), size)
+        place += np.arange(len(place))
+        joined = ids[place].tobytes()
+        offsets = words.offsets.to_numpy()
+        cuts = (4 * np.concatenate([[0], ends])[offsets - offsets[0]]).tolist() if len(offsets) else []
+        return [joined[i:j] for i, j in pairwise(cuts)]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         known, once, odd = self._known, {}, []
         for word in words:
             core = word.rstrip(string.punctuation)
@@ -78,5 +93,11 @@ class WordTokenizer:
         return ids
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(definition: str) -> WordTokenizer:
+    """The tokenizer of this process: tasks that a worker runs one after the other share the words it knows."""
+    return WordTokenizer(definition)
+
+
 def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moneytrail.llm import chat, embedding_dedup, extraction, packing, quality, sharding
+from moneytrail.llm import chat, embedding_dedup, extraction, packing, quality, sharding, tokens
 from moneytrail.llm.dom import parse
 from moneytrail.llm.labelled_pages import labelled_pages
 
@@ -146,6 +146,20 @@ def test_packing_places_every_id(spark):
     assert packing.pack(docs.limit(0), definition).count() == 0
 
 
+def test_word_ids_of_arrow_texts():
+    from tokenizers import Tokenizer
+
+    definition = packing.tokenizer_definition()
+    words, tokenizer = tokens.word_tokenizer(definition), Tokenizer.from_str(definition)
+    texts = ["left out", "", None, " \x0b\x0c", "a\x85b c\xa0d\x1cE", "Ünï, x.!? " * 30, "x" * 5000 + " a", "don't\r\nstop\t", "a a\x00a"]
+    part = pa.array(texts).slice(1, 7)
+    plain = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.encode(part) == plain[1:8] and words.encode(texts) == plain
+    assert words.encode(part.slice(0, 0)) == [] and words.encode(part.slice(1, 1)) == [b""]
+    # A worker's next task finds the words known already.
+    assert tokens.word_tokenizer(definition) is words
+
+
 def test_packing_balances_cost():
     r = random.Random(5)
     packer = packing.Packer(0)
