@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,12 +42,13 @@ def split_ids(value: Column, separators: str = ";") -> Column:
 
 
 def contains_any(parts: Sequence[Column], terms: Sequence[str]) -> Column:
-    """Do the joined, lower-cased parts contain any term as a substring?"""
+    """Do the joined, lower-cased parts contain any term as a substring?
+
+    The terms look at one element of an array, so the text is put together once and not for every term.
+    """
     text = F.concat_ws(" ", *[F.lower(clean_text(p)) for p in parts])
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.contains(text, F.lit(term.strip().lower()))
-    return found
+    wanted = [term.strip().lower() for term in terms]
+    return F.exists(F.array(text), lambda t: reduce(lambda found, w: found | F.contains(t, F.lit(w)), wanted, F.lit(False)))
 
 
 def money(value: Column) -> Column:

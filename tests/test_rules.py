@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from moneytrail.functions.text import contains_any
 from moneytrail.operators import clean, cycles, rule_config, rules, windows
 
 HOUR = 3600
@@ -230,3 +231,13 @@ def test_invalid_settings(kind, settings):
 def test_settings_by_rule_or_flat():
     assert rule_config.settings_for({"R": {"a": 1}}, "R") == {"a": 1}
     assert rule_config.settings_for({"a": 1}, "R") == {"a": 1}
+
+
+def test_terms_are_sought_in_one_text(spark):
+    rows = [(0, "Grant", " wire", None), (1, None, None, None), (2, "x", "Auth", "y"), (3, "au", "th", "li mit")]
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    hit = contains_any([F.col("a"), F.col("b"), F.col("c")], ["GRANT ", "auth", "t w", "limit", "risk"])
+    assert {r.n: r.hit for r in df.select("n", hit.alias("hit")).collect()} == {0: True, 1: False, 2: True, 3: False}
+    assert not any(r[0] for r in df.select(contains_any([F.col("a")], [])).collect())
+    # However many terms there are, a row's text is put together once.
+    assert df.filter(hit)._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
