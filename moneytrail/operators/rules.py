@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -375,6 +376,10 @@ def circular_transfer(context: Mapping[str, DataFrame], settings: Mapping) -> Ru
 
 # --- running rules ----------------------------------------------------------------------
 
+# Failures of the engine, not of a rule: full disks, lost workers, no memory, a session that is gone.  Errors that Spark
+# finds in a plan or its data come as exceptions of their own.
+ENGINE_ERRORS = (Py4JError, MemoryError, ConnectionError)
+
 RULES = (
     Rule(rule_config.PRIVILEGE_CHANGE, "Privilege change", "insider-threat", privilege_change),
     Rule(rule_config.CIRCULAR, "Circular transfer", "AML", circular_transfer),
@@ -451,6 +456,7 @@ def run_rules(
     context: Mapping[str, DataFrame],
     configuration: Mapping | None = None,
     with_evidence: bool | Collection[str] = True,
+    isolate: bool | Collection[str] = True,
     **scope: str,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(results, evidence, failures)`` of all active rules.
@@ -458,6 +464,10 @@ def run_rules(
     Plans are lazy, so each rule's results and evidence are written within its own guard: an error
     shows up there and the other rules go on.  ``with_evidence`` may name the rules whose evidence is
     wanted; without it that table stays empty.
+
+    ``isolate`` may name the rules that may fail, or none with False: others raise their error.  Who does not
+    pass on the failures wants False, as results without a rule's rows look whole.  A failure of the engine is
+    raised always.
     """
     spark = next(iter(context.values())).sparkSession
     results = spark.createDataFrame([], RESULT_SCHEMA)
@@ -471,7 +481,11 @@ def run_rules(
             if not settings.get("enabled", True):
                 continue
             output = _checked(rule, rule.evaluate(context, settings), with_evidence)
+        except ENGINE_ERRORS:
+            raise
         except Exception as error:
+            if not (isolate if isinstance(isolate, bool) else rule.rule_id in isolate):
+                raise
             failures.append((rule.rule_id, rule.rule_name, type(error).__name__, str(error)))
             continue
         kept = in_scope(output.results, **scope)

@@ -111,7 +111,7 @@ def fixed_holdout(s):
 
 def feature_set_comparison(s):
     """The 41 features without rule flags, the 44 with them, and the ten signals."""
-    results, _, _ = rule_results(s)
+    results, _ = rule_results(s)
     full = materialize(matrix(s, results), "matrix")
     every = [c for c in full.columns if c != "account_id"]
     rows = training_rows(s, full, every)

@@ -122,18 +122,18 @@ def _lists(df):
 
 
 def scenario_signals(s):
-    results, _, _ = rule_results(s)
+    results, _ = rule_results(s)
     return _lists(quality.scenario_signals(s.scenarios(), results)).withColumn("matched", F.col("matched").cast("int"))
 
 
 def detection_summary(s):
-    results, _, _ = rule_results(s)
+    results, _ = rule_results(s)
     signals = materialize(quality.scenario_signals(s.scenarios(), results), "signals")
     return rounded(quality.detection_summary(signals, results, s.scenarios()))
 
 
 def evidence_audit(s):
-    results, evidence, _ = rule_results(s, with_evidence=[rule_config.PRIVILEGE_CHANGE, rule_config.CIRCULAR])
+    results, evidence = rule_results(s, with_evidence=[rule_config.PRIVILEGE_CHANGE, rule_config.CIRCULAR])
     positioned = rules.payment_positions(rules.rule_payments(s.ledger()))
     return quality.evidence_audit(
         s.scenarios(), results, evidence, s.access_events(), s.profile_changes(), s.injected(), positioned

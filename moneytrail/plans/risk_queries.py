@@ -19,7 +19,7 @@ def component_scores(s):
     full = materialize(
         matrix(s).select("account_id", "wire_fraction", "sub_threshold_fraction", "cross_bank_ratio"), "components"
     )
-    results, _, _ = rule_results(s)
+    results, _ = rule_results(s)
     return (
         full,
         rules.fired_rules(results),
@@ -174,7 +174,7 @@ def alert_narratives(s):
 def scored_accounts(s):
     """Real component scores for every account: rules, trees, isolation forest and graph."""
     full = model_queries.stored_matrix(s)
-    results, _, _ = rule_results(s)
+    results, _ = rule_results(s)
     rows = model_queries.training_rows(s, full)
     model = models.fit_classifier(rows, model_queries.NAMES)
     names = [c for c in full.columns if c != "account_id" and c not in features.FEATURE_GROUPS["customer"]]
