@@ -20,6 +20,8 @@ WALK_PART = 6
 MAPPED_LINKS = (1_000, 1 << 28)
 # Walks of one task, about.
 TASK_WALKS = 100_000
+# Numbers that a task of betweenness has in one array, about.
+SPREAD = 1 << 22
 # Betweenness holds about so many (source, account) rows at a time.
 ROWS_IN_FLIGHT = 1_000_000_000
 
@@ -177,6 +179,124 @@ def _dependencies(payers: DataFrame, steps: DataFrame) -> list[DataFrame]:
     return shares
 
 
+def _spread(nodes: np.ndarray, begin: np.ndarray, near: np.ndarray):
+    """(place in ``nodes``, neighbour) of all neighbours, at most about ``SPREAD`` at a time."""
+    size = begin[nodes + 1] - begin[nodes]
+    ends, first = np.cumsum(size), 0
+    while first < len(nodes):
+        before = ends[first] - size[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + SPREAD, side="right")))
+        n = size[first:last]
+        at = np.repeat(np.arange(first, last), n)
+        yield at, near[np.arange(before, ends[last - 1]) + np.repeat(begin[nodes[first:last]] - (ends[first:last] - n), n)].astype(np.int64)
+        first = last
+
+
+def _added(keys: np.ndarray, values: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, all below ``cells``, and the sum of the positive values of each."""
+    if 8 * len(keys) < cells:
+        keys, place = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(place, values, len(keys))
+    sums = np.bincount(keys, values, cells)
+    keys = np.flatnonzero(sums)
+    return keys, sums[keys]
+
+
+class _Shares:
+    """The shares of ``_dependencies`` by number, for a few sources at a time, from arrays of neighbours.
+
+    Only accounts that are paid have numbers; a source comes with the numbers of those that it pays.
+    """
+
+    def __init__(self, near: np.ndarray, begin: np.ndarray):
+        self.near, self.begin, self.accounts = near, begin, len(begin) - 1
+        self.sources = max(1, min(4096, SPREAD // max(1, self.accounts)))
+        cells = self.sources * self.accounts
+        self.level, self.unit, self.shares = np.full(cells, -1, np.int32), np.zeros(cells), np.zeros(self.accounts)
+
+    def add(self, source: np.ndarray, own: np.ndarray, to: np.ndarray) -> None:
+        """Sources numbered from 0, of number ``own`` (-1: none) each, and what they pay: (``source``, ``to``)."""
+        cells = len(own) * self.accounts
+        named = np.flatnonzero(own >= 0)
+        start = named * self.accounts + own[named]
+        self.level[start] = 0
+        keys, paths = _added(source * self.accounts + to, np.ones(len(to)), cells)
+        levels = []
+        while len(keys):
+            levels.append((keys, paths))
+            self.level[keys] = len(levels)
+            parts = []
+            for at, far in _spread(keys % self.accounts, self.begin, self.near):
+                far += keys[at] // self.accounts * self.accounts
+                fresh = self.level[far] < 0
+                parts.append(_added(far[fresh], paths[at[fresh]], cells))
+            keys, paths = parts[0] if len(parts) == 1 else _added(*(np.concatenate(x) for x in zip(*parts)), cells)
+        # Each account hands its share back along the edges that shortest paths use.
+        for depth in range(len(levels), 0, -1):
+            keys, paths = levels[depth - 1]
+            share = np.zeros(len(keys))
+            if depth < len(levels):
+                for at, far in _spread(keys % self.accounts, self.begin, self.near):
+                    far += keys[at] // self.accounts * self.accounts
+                    deeper = self.level[far] == depth + 1
+                    share += np.bincount(at[deeper], self.unit[far[deeper]], len(keys))
+                share *= paths
+                self.shares += np.bincount(keys % self.accounts, share, self.accounts)
+            self.unit[keys] = (1.0 + share) / paths
+        for keys, _ in levels:
+            self.level[keys] = -1
+        self.level[start] = -1
+
+
+def _mapped_shares(pairs: DataFrame, payers: DataFrame) -> DataFrame:
+    """(account_id, share) over all sources in ``payers``: a task takes some sources and all their paths, and reads
+    the edges between paid accounts from files that it maps.  Accounts that only pay are on no path but their own."""
+    spark = pairs.sparkSession
+    named, count = mapped.share_names(pairs.select(F.col("dst").alias("account_id")).distinct(), [F.col("account_id")])
+    # Edges of sources that are not paid lead nowhere from a paid account: they have no number, so they are left out.
+    near_file, begin_file = mapped.share_links(pairs, named, count)
+
+    def shared(batches):
+        names = mapped.mapped_names(named)
+        index = pd.Index(names.to_pandas(), dtype=object)
+        state = _Shares(np.asarray(mapped.mapped_array(near_file)), np.asarray(mapped.mapped_array(begin_file)))
+        last, held, seen = None, [], 0
+
+        def flush(held, most):
+            """Takes whole sources in portions; what belongs to source ``most`` or later is left."""
+            source, own, to = (np.concatenate(x) for x in zip(*held))
+            first = int(source[0])
+            while first < most:
+                upto = min(first + state.sources, most)
+                a, b = np.searchsorted(source, [first, upto])
+                numbers, at = np.unique(source[a:b], return_index=True)
+                state.add(source[a:b] - first, own[a:b][at], to[a:b])
+                first = upto
+            a = np.searchsorted(source, most)
+            return [(source[a:], own[a:], to[a:])] if a < len(source) else []
+
+        for batch in batches:
+            src = batch.column(0).to_pandas().to_numpy()
+            if not len(src):
+                continue
+            new = np.concatenate([[src[0] != last], src[1:] != src[:-1]])
+            source = seen - 1 + np.cumsum(new)
+            seen, last = int(source[-1]) + 1, src[-1]
+            held.append((source, mapped.numbers_of(index, batch.column(0)), mapped.numbers_of(index, batch.column(1)).astype(np.int64)))
+            if seen - 1 - held[0][0][0] >= state.sources or sum(len(x[0]) for x in held) > SPREAD:
+                held = flush(held, seen - 1)
+        if held:
+            flush(held, seen)
+        some = np.flatnonzero(state.shares)
+        yield pa.record_batch([names.take(pa.array(some)), pa.array(state.shares[some])], ["account_id", "share"])
+
+    # More tasks than cores, as the sources of some take longer.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    mine = pairs.join(payers, "src", "left_semi").select("src", "dst")
+    found = mine.repartition(tasks, "src").sortWithinPartitions("src").mapInArrow(shared, "account_id string, share double")
+    return found.groupBy("account_id").agg(F.sum("share").alias("share"))
+
+
 def betweenness(
     simple: DataFrame, accounts: DataFrame, sources: int | None = None, rows_in_flight: int = ROWS_IN_FLIGHT
 ) -> DataFrame:
@@ -188,9 +308,22 @@ def betweenness(
     Sources go in waves by hash, about ``rows_in_flight`` / accounts of them at a time, so the levels
     of a wave together hold about ``rows_in_flight`` rows at most.  Between waves only one sum per
     account is kept; the levels are deleted.  A wave has at least one source.
+
+    Over ``MAPPED_LINKS`` edges a task follows all paths of some sources in memory instead, in arrays of ``SPREAD`` numbers.
     """
     spark = simple.sparkSession
     pairs = simple.filter(F.col("src") != F.col("dst")).select("src", "dst")
+    if MAPPED_LINKS[0] <= pairs.count() <= MAPPED_LINKS[1]:
+        nodes = materialize(accounts.select("account_id").distinct(), "nodes")
+        total, scale = nodes.count(), 1.0
+        payers = pairs.select("src").distinct()
+        if sources is not None and sources < total:
+            chosen = nodes.orderBy(F.xxhash64("account_id"), "account_id").limit(sources)
+            payers, scale = payers.join(chosen.select(F.col("account_id").alias("src")), "src", "left_semi"), total / sources
+        factor = scale / ((total - 1) * (total - 2)) if total > 2 else 1.0
+        value = F.coalesce(F.col("share") * factor, F.lit(0.0))
+        sums = materialize(_mapped_shares(pairs, payers), "sums")
+        return nodes.join(sums, "account_id", "left").select("account_id", value.alias("betweenness_centrality"))
     # Levels hold numbers instead of names.
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("account_id"), F.lit(False).alias("asked"))
     names = accounts.select("account_id", F.lit(True).alias("asked")).unionByName(ends)
