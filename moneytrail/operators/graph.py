@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import money
+from ..session import materialize
+from . import graph_search, mapped
 from .entities import distinct_ids, explode_ids, ledger_touching
 
+# Accounts by number whose triangles are listed at a time.
+BLOCK = 2048
+
 LEDGER_COLUMNS = [
     "transaction_id", "ts", "from_account", "to_account", "amount_paid", "payment_currency", "payment_format",
     "is_laundering", "is_synthetic",
@@ -163,10 +170,21 @@ def clustering(simple: DataFrame) -> DataFrame:
     pairs = simple.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
         F.count(F.lit(1)).alias("w")
     )
+    in_files = graph_search.MAPPED_LINKS[0] <= simple.count() <= graph_search.MAPPED_LINKS[1]
+    if in_files:
+        pairs = materialize(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("account_id"), "w")
     sizes = ends.groupBy("account_id").agg(
         F.sum("w").alias("total"), F.count_if(F.col("w") == 2).alias("mutual"), F.count(F.lit(1)).alias("n")
     )
+    counts = _mapped_triangles(pairs, sizes) if in_files else _joined_triangles(pairs, sizes)
+    possible = 2 * (F.col("total") * (F.col("total") - 1) - 2 * F.col("mutual"))
+    value = F.when(F.col("t") > 0, F.col("t") / possible).otherwise(0.0)
+    return sizes.join(counts, "account_id", "left").select("account_id", value.alias("clustering_coefficient"))
+
+
+def _joined_triangles(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(account_id, t): twice the triangles of each account by the weights of their sides."""
     rank_a = sizes.select(F.col("account_id").alias("a"), F.struct("n", "account_id").alias("ra"))
     rank_b = sizes.select(F.col("account_id").alias("b"), F.struct("n", "account_id").alias("rb"))
     ranked = pairs.join(rank_a, "a").join(rank_b, "b")
@@ -184,10 +202,48 @@ def clustering(simple: DataFrame) -> DataFrame:
     triangles = wedges.join(closing, ["x", "y"]).select(
         F.explode(F.array("low", "x", "y")).alias("account_id"), (2 * F.col("wx") * F.col("wy") * F.col("wz")).alias("t")
     )
-    counts = triangles.groupBy("account_id").agg(F.sum("t").alias("t"))
-    possible = 2 * (F.col("total") * (F.col("total") - 1) - 2 * F.col("mutual"))
-    value = F.when(F.col("t") > 0, F.col("t") / possible).otherwise(0.0)
-    return sizes.join(counts, "account_id", "left").select("account_id", value.alias("clustering_coefficient"))
+    return triangles.groupBy("account_id").agg(F.sum("t").alias("t"))
+
+
+def _mapped_triangles(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same from a file that tasks map: accounts are numbered by degree, and a pair of weight 2 is listed twice."""
+    spark = pairs.sparkSession
+    ranked = materialize(sizes.select("account_id", "n"), "sizes")
+    named, count = mapped.share_names(ranked, [F.col("n"), F.col("account_id")])
+    ranks = ranked.select("account_id", F.struct("n", "account_id").alias("rank"))
+    links = pairs.join(ranks.toDF("a", "ra"), "a").join(ranks.toDF("b", "rb"), "b")
+    up = F.col("ra") < F.col("rb")
+    ends = F.when(up, F.struct(F.col("a").alias("src"), F.col("b").alias("dst"))).otherwise(F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    links = links.select(F.explode(F.array_repeat(ends, F.col("w").cast("int"))).alias("e")).select("e.src", "e.dst")
+    near_file, begin_file = mapped.share_links(links, named, count)
+
+    def counted(batches):
+        names = mapped.mapped_names(named)
+        near, begin = np.asarray(mapped.mapped_array(near_file)), np.asarray(mapped.mapped_array(begin_file))
+        total = np.zeros(count)
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                first, last = block * BLOCK, min((block + 1) * BLOCK, count)
+                low = np.repeat(np.arange(first, last), np.diff(begin[first : last + 1]))
+                middle = near[begin[first] : begin[last]].astype(np.int64)
+                sides = low * count + middle  # in ascending order
+                for at, high in graph_search._spread(middle, begin, near):
+                    at, high = at[high > middle[at]], high[high > middle[at]]
+                    third = low[at] * count + high
+                    place = np.searchsorted(sides, third)
+                    there = np.flatnonzero(sides[np.minimum(place, len(sides) - 1)] == third)
+                    at, high, third = at[there], high[there], third[there]
+                    weight = 2.0 * (np.searchsorted(sides, third, side="right") - place[there])
+                    for end in (low[at], middle[at], high):
+                        total += np.bincount(end, weight, count)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([names.take(pa.array(some)), pa.array(total[some].astype(np.int64))], ["account_id", "t"])
+
+    blocks = -(-count // BLOCK)
+    tasks = min(blocks, 4 * spark.sparkContext.defaultParallelism)
+    every = spark.range(0, blocks).repartition(max(1, tasks), "id")
+    found = every.mapInArrow(counted, "account_id string, t bigint")
+    return found.groupBy("account_id").agg(F.sum("t").alias("t"))
 
 
 def connected_employees(edges: DataFrame, accounts: DataFrame, account_nodes: DataFrame) -> DataFrame:
