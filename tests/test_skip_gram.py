@@ -60,8 +60,10 @@ def test_tiles_train_as_far_as_pairs_in_a_fraction_of_the_time():
     assert taken[1] < taken[0] / 5
 
 
-def test_every_account_has_a_vector(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1 << 15])
+def test_every_account_has_a_vector(spark, monkeypatch, few):
     monkeypatch.setattr(graph_search, "BLOCK_ACCOUNTS", 9)
+    monkeypatch.setattr(graph_search, "FEW_PAIRS", few)
     walks = some_walks(spark, 40)
     runs = [{r.account_id: tuple(r.vector) for r in graph_search.skip_gram(walks, 4, 3, epochs=2).collect()} for _ in range(2)]
     assert runs[0] == runs[1]
